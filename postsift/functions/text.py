@@ -82,16 +82,23 @@ def mask_numbers(col: Column) -> Column:
 
 
 def expand_contractions(
-    col: Column, table: Iterable[tuple[str, str]] | None = fv.CONTRACTIONS
+    col: Column,
+    table: Iterable[tuple[str, str]] | None = fv.CONTRACTIONS,
+    source: Column | None = None,
 ) -> Column:
-    """Write out contractions; `table` holds (pattern, replacement) pairs, None leaves the text."""
+    """Write out contractions; `table` holds (pattern, replacement) pairs, None leaves the text.
+
+    `source` is a text that has every apostrophe `col` has: a cheap stand-in for the test below.
+    """
     if table is None:
         return col
     expanded = reduce(
         lambda c, rule: F.regexp_replace(c, UNICODE_ANY_CASE + rule[0], rule[1]), table, col
     )
     # Most texts have no apostrophe; the others pay for the rules.
-    return F.when(F.contains(col, F.lit("'")) | F.contains(col, F.lit("’")), expanded).otherwise(col)
+    seen = col if source is None else source
+    apostrophe = F.contains(seen, F.lit("'")) | F.contains(seen, F.lit("’"))
+    return F.when(apostrophe, expanded).otherwise(col)
 
 
 def clean_text(
@@ -100,7 +107,8 @@ def clean_text(
     """Null to blank, NFC, then URLs, handles, numbers, contractions, and the outer white space."""
     text = blank_if_null(col)
     text = normalize_nfc(text) if nfc else text
-    return strip_text(expand_contractions(mask_numbers(strip_handles(strip_urls(text))), table))
+    plain = mask_numbers(strip_handles(strip_urls(text)))
+    return strip_text(expand_contractions(plain, table, source=col))
 
 
 def mask_terms(

@@ -188,6 +188,15 @@ def noise_report(
     )
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters must not compute again.
+
+    A filter on a plain projected column is pushed below the projection with the expression copied
+    into it, so a chain of regexes would run once per mention. A one-element generator stops that.
+    """
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 # --- disclosure -----------------------------------------------------------------------
 
 
@@ -214,10 +223,10 @@ def clinical_filter(
     nfc: bool = True,
 ) -> DataFrame:
     """Add `reason`, `post_cleaned`, `post_masked`; NULL all texts of a rejected row."""
-    cleaned = df.withColumn("post_cleaned", tx.clean_text(F.col("post"), contractions, nfc))
-    judged = cleaned.withColumn("reason", clinical_outcome(F.col("post_cleaned"), fp_threshold))
+    cleaned = compute_once(df, "post_cleaned", tx.clean_text(F.col("post"), contractions, nfc))
+    judged = compute_once(cleaned, "reason", clinical_outcome(F.col("post_cleaned"), fp_threshold))
     kept = nullify_when(judged, F.col("reason") == "no_pattern", ["post", "post_cleaned"])
-    return kept.withColumn("post_masked", tx.mask_terms(F.col("post_cleaned"))).select(
+    return compute_once(kept, "post_masked", tx.mask_terms(F.col("post_cleaned"))).select(
         *df.columns, "reason", "post_cleaned", "post_masked"
     )
 
