@@ -65,9 +65,9 @@ FROM vocab WHERE substr(md5(word), 6, 1) < '8'
 )
 VAD_ROWS = """
 SELECT word,
-  CAST(ascii(substr(md5(word), 3, 1)) AS DOUBLE) / CAST(128 AS DOUBLE) AS valence,
-  CAST(ascii(substr(md5(word), 4, 1)) AS DOUBLE) / CAST(128 AS DOUBLE) AS arousal,
-  CAST(ascii(substr(md5(word), 5, 1)) AS DOUBLE) / CAST(128 AS DOUBLE) AS dominance
+  CAST(ascii(substr(md5(word), 3, 1)) AS DOUBLE) / CAST(127 AS DOUBLE) AS valence,
+  CAST(ascii(substr(md5(word), 4, 1)) AS DOUBLE) / CAST(127 AS DOUBLE) AS arousal,
+  CAST(ascii(substr(md5(word), 5, 1)) AS DOUBLE) / CAST(127 AS DOUBLE) AS dominance
 FROM vocab WHERE substr(md5(word), 7, 1) < '8'
 """
 # Two categories per word, so that the join is many-to-many.

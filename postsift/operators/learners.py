@@ -1,10 +1,59 @@
-"""Learners on Spark ML (see below)."""
+"""Learners on Spark ML: linear models, boosted trees, random search and out-of-fold stacking.
+
+Every model offers `scores(df, out)`, which adds an ARRAY<DOUBLE> of class probabilities as Column
+expressions over JVM model transforms; nothing but fitted parameters comes to the driver. Loops on
+the driver run over classes, folds and trials only.
+"""
+
 from __future__ import annotations
 
+import json
+import math
+import random
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LinearSVC,
+    LinearSVCModel,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postsift import fixed_values as fv
+from postsift.functions.scores import softmax
+from postsift.operators import evaluate as ev
+from postsift.operators.sampling import union_all
+from postsift.sources.staging import pin
+
+# (kind, low, high); "log" draws are uniform in the logarithm.
+LOGISTIC_SPACE = {"c": ("log", 1e-3, 10.0), "tol": ("log", 1e-4, 1e-3)}
+SVM_SPACE = {"c": ("log", 1e-3, 5.0), "tol": ("log", 1e-4, 1e-3)}
+BOOST_SPACE = {
+    "max_depth": ("int", 4, 12),
+    "learning_rate": ("log", 0.01, 0.3),
+    "n_estimators": ("int", 300, 2000),
+    "min_child_samples": ("int", 10, 100),
+    "subsample": ("float", 0.5, 1.0),
+    "colsample_bytree": ("float", 0.5, 1.0),
+}
+BOOST_DEFAULTS = {
+    "max_depth": 5,
+    "learning_rate": 0.1,
+    "n_estimators": 100,
+    "min_child_samples": 20,
+    "subsample": 1.0,
+    "colsample_bytree": 1.0,
+}
+
 
 def index_labels(df: DataFrame, label: str, out: str = "label") -> tuple[list[str], DataFrame]:
     """Names in alphabetical order and the rows with their number in `out`."""
@@ -14,7 +63,274 @@ def index_labels(df: DataFrame, label: str, out: str = "label") -> tuple[list[st
 
 
 def label_name(
-    df: DataFrame, names: list[str], index: str = "label", out: str = "label_name"
+    df: DataFrame, names: Sequence[str], index: str = "label", out: str = "label_name"
 ) -> DataFrame:
     table = F.array(*[F.lit(n) for n in names])
     return df.withColumn(out, table[F.col(index).cast("int")])
+
+
+# --- linear models ----------------------------------------------------------------------
+
+
+@dataclass
+class Logistic:
+    model: LogisticRegressionModel
+
+    def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
+        scored = self.model.transform(df)
+        return scored.select(*df.columns, vector_to_array("probability").alias(out))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> "Logistic":
+        return cls(LogisticRegressionModel.load(path))
+
+
+def fit_logistic(
+    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000,
+    features: str = "features", label: str = "label", weight: str = "weight",
+) -> Logistic:
+    """Multinomial logistic regression. C weighs the summed loss, Spark's regParam the mean loss."""
+    total = df.agg(F.sum(weight)).first()[0]
+    learner = LogisticRegression(
+        featuresCol=features, labelCol=label, weightCol=weight, family="multinomial",
+        standardization=False, regParam=1.0 / (c * total), tol=tol, maxIter=max_iter,
+    )
+    return Logistic(learner.fit(df))
+
+
+@dataclass
+class OneVsRest:
+    """One binary model per class. Its transforms stay in the JVM, class after class."""
+
+    models: list[Any]
+    kind: str  # svm or boost
+    features: str = "features"
+
+    def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """softmax of the SVM decisions, or the shares of the boosted class odds."""
+        scored = df
+        for i, model in enumerate(self.models):
+            one = model.copy({model.rawPredictionCol: f"_raw{i}"})
+            keep = [c for c in scored.columns]
+            scored = one.transform(scored).select(*keep, f"_raw{i}")
+        margins = [vector_to_array(f"_raw{i}")[1] for i in range(len(self.models))]
+        if self.kind == "svm":
+            p = softmax(F.array(*margins))
+        else:
+            odds = [1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins]
+            p = F.transform(F.array(*odds), lambda x: x / sum(odds[1:], odds[0]))
+        return scored.withColumn(out, p).select(*df.columns, out)
+
+    def save(self, path: str) -> None:
+        for i, model in enumerate(self.models):
+            model.write().overwrite().save(f"{path}/class={i}")
+        spark = SparkSession.active()
+        meta = [(json.dumps({"kind": self.kind, "n": len(self.models), "features": self.features}),)]
+        spark.createDataFrame(meta, "meta string").coalesce(1).write.mode("overwrite").text(
+            f"{path}/meta"
+        )
+
+    @classmethod
+    def load(cls, path: str) -> "OneVsRest":
+        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
+        reader = LinearSVCModel if meta["kind"] == "svm" else GBTClassificationModel
+        models = [reader.load(f"{path}/class={i}") for i in range(meta["n"])]
+        return cls(models, meta["kind"], meta["features"])
+
+
+def _per_class(n: int, fit: Callable[[int], Any], parallelism: int) -> list[Any]:
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(fit, range(n)))
+
+
+def fit_linear_svm(
+    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000, n_classes: int = 2,
+    features: str = "features", label: str = "label", weight: str = "weight", parallelism: int = 4,
+) -> OneVsRest:
+    """One-vs-rest linear SVM; the balanced weight applies to the positive side of each problem."""
+    sums = {
+        int(r[label]): (r["n"], r["w"])
+        for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).collect()
+    }  # one row per class
+    rows = sum(n for n, _ in sums.values())
+
+    def fit(i: int) -> LinearSVCModel:
+        n, w = sums.get(i, (0, 0.0))
+        mine = F.col(label) == i
+        side = df.select(
+            features, mine.cast("double").alias("_y"),
+            F.when(mine, F.col(weight)).otherwise(1.0).alias("_w"),
+        )
+        learner = LinearSVC(
+            featuresCol=features, labelCol="_y", weightCol="_w", standardization=False,
+            regParam=1.0 / (c * (w + rows - n)), tol=tol, maxIter=max_iter,
+        )
+        return learner.fit(side)
+
+    return OneVsRest(_per_class(n_classes, fit, parallelism), "svm", features)
+
+
+# --- boosted trees ----------------------------------------------------------------------
+
+
+def _fit_boosted(
+    df: DataFrame, params: Mapping[str, Any], n_classes: int, features: str, label: str,
+    valid: str | None, seed: int, parallelism: int,
+) -> OneVsRest:
+    p = {**BOOST_DEFAULTS, **params}
+
+    def fit(i: int) -> GBTClassificationModel:
+        keep = [features] + ([valid] if valid else [])
+        side = df.select(*keep, (F.col(label) == i).cast("double").alias("_y"))
+        learner = GBTClassifier(
+            featuresCol=features, labelCol="_y", maxIter=int(p["n_estimators"]),
+            stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
+            minInstancesPerNode=int(p["min_child_samples"]), subsamplingRate=float(p["subsample"]),
+            featureSubsetStrategy=_share_text(p["colsample_bytree"]), seed=seed,
+        )
+        if valid:
+            # Boosting stops when the held-out loss no longer improves.
+            learner = learner.setValidationIndicatorCol(valid)
+        return learner.fit(side)
+
+    return OneVsRest(_per_class(n_classes, fit, parallelism), "boost", features)
+
+
+def _share_text(share: float) -> str:
+    return "all" if share >= 1.0 else f"{share:.4f}"
+
+
+def fit_boosted_flat(
+    df: DataFrame, params: Mapping[str, Any] | None = None, n_classes: int = 2,
+    features: str = "features", label: str = "label", valid: str | None = None,
+    seed: int = fv.SEED, parallelism: int = 4,
+) -> OneVsRest:
+    """Boosted trees on the flat vector of term and lexicon features."""
+    return _fit_boosted(df, params or {}, n_classes, features, label, valid, seed, parallelism)
+
+
+def fit_boosted_meta(
+    df: DataFrame, params: Mapping[str, Any] | None = None, n_classes: int = 2,
+    features: str = "meta", label: str = "label", valid: str | None = None,
+    seed: int = fv.SEED, parallelism: int = 4,
+) -> OneVsRest:
+    """Boosted trees on the base models' probabilities beside the lexicon features."""
+    return _fit_boosted(df, params or {}, n_classes, features, label, valid, seed, parallelism)
+
+
+# --- model selection --------------------------------------------------------------------
+
+
+def draw(space: Mapping[str, tuple[str, float, float]], n: int, seed: int = fv.SEED) -> list[dict]:
+    """`n` seeded random parameter sets."""
+    rng = random.Random(seed)
+
+    def one(kind: str, low: float, high: float) -> float | int:
+        if kind == "log":
+            return math.exp(rng.uniform(math.log(low), math.log(high)))
+        return rng.randint(int(low), int(high)) if kind == "int" else rng.uniform(low, high)
+
+    return [{name: one(*bounds) for name, bounds in space.items()} for _ in range(n)]
+
+
+def predictions(df: DataFrame, p: str = "p", out: str = "prediction") -> DataFrame:
+    best = F.array_position(p, F.array_max(p)) - 1
+    return df.withColumn(out, best.cast("double"))
+
+
+def macro_f1_of(scored: DataFrame, label: str = "label", p: str = "p") -> float:
+    cm = ev.confusion(predictions(scored, p), label, "prediction")
+    return float(ev.macro_f1(cm).first()[0])
+
+
+def log_loss_of(scored: DataFrame, label: str = "label", p: str = "p") -> float:
+    return float(ev.log_loss(scored, label, p).first()[0])
+
+
+METRICS = {"macro_f1": (macro_f1_of, True), "log_loss": (log_loss_of, False)}
+
+
+@dataclass
+class Tuning:
+    best: dict[str, Any]
+    score: float
+    trials: list[dict[str, Any]] = field(default_factory=list)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, json.dumps(t["params"], sort_keys=True), float(t["score"])) for i, t in enumerate(self.trials)]
+        return spark.createDataFrame(rows, "trial long, params string, score double")
+
+
+def tune(
+    df: DataFrame,
+    fit: Callable[..., Any],
+    space: Mapping[str, tuple[str, float, float]],
+    n_trials: int,
+    metric: str = "macro_f1",
+    folds: int = fv.FOLDS,
+    fold: str = "fold",
+    seed: int = fv.SEED,
+    parallelism: int = 2,
+    early_stop: bool = False,
+) -> Tuning:
+    """Random search by the mean metric over given folds.
+
+    `fit(train, **params)` returns a model with `scores`; with `early_stop` the held-out fold is
+    also given to it as the column `valid`. Trials run as concurrent Spark jobs.
+    """
+    measure, larger = METRICS[metric]
+
+    def run(params: dict[str, Any]) -> dict[str, Any]:
+        found = []
+        for i in range(folds):
+            held = df.filter(F.col(fold) == i)
+            if early_stop:
+                model = fit(df.withColumn("valid", F.col(fold) == i), valid="valid", **params)
+            else:
+                model = fit(df.filter(F.col(fold) != i), **params)
+            found.append(measure(model.scores(held)))
+        return {"params": params, "score": sum(found) / folds, "folds": found}
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        trials = list(pool.map(run, draw(space, n_trials, seed)))
+    best = (max if larger else min)(trials, key=lambda t: t["score"])
+    return Tuning(best["params"], best["score"], trials)
+
+
+# --- stacking ---------------------------------------------------------------------------
+
+
+def oof_union(parts: Sequence[DataFrame]) -> DataFrame:
+    """Held-out predictions of all folds; each row was held out once."""
+    return union_all(parts)
+
+
+def oof_stack(
+    train: DataFrame, test: DataFrame, learners: Mapping[str, Callable[[DataFrame], Any]],
+    folds: int = fv.FOLDS, fold: str = "fold", key: str = "post_id",
+) -> tuple[DataFrame, DataFrame]:
+    """(train predictions, test predictions): key and one probability array per learner.
+
+    A train row is scored by the models that did not see its fold. A test row is scored by every
+    fold's models one after the other, and the mean is taken inside the row, without a shuffle.
+    """
+    names = list(learners)
+    parts, tested = [], test
+    for i in range(folds):
+        rest, held = train.filter(F.col(fold) != i), train.filter(F.col(fold) == i)
+        for name in names:
+            model = learners[name](rest)
+            held = model.scores(held, name)
+            tested = model.scores(tested, f"{name}_{i}")
+        parts.append(pin(held.select(key, *names), "oof"))
+
+    def mean(name: str):
+        arrays = F.arrays_zip(*[F.col(f"{name}_{i}") for i in range(folds)])
+        return F.transform(
+            arrays, lambda s: sum((s[f"{name}_{i}"] for i in range(1, folds)), s[f"{name}_0"]) / folds
+        )
+
+    return oof_union(parts), tested.select(key, *[mean(n).alias(n) for n in names])
