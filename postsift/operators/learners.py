@@ -15,6 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -80,6 +82,10 @@ class Logistic:
         scored = self.model.transform(df)
         return scored.select(*df.columns, vector_to_array("probability").alias(out))
 
+    def linear(self) -> tuple[np.ndarray, np.ndarray]:
+        """(classes x features, intercepts)"""
+        return self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -124,6 +130,15 @@ class OneVsRest:
             p = F.transform(F.array(*odds), lambda x: x / sum(odds[1:], odds[0]))
         return scored.withColumn(out, p).select(*df.columns, out)
 
+    def linear(self) -> tuple[np.ndarray, np.ndarray]:
+        """(classes x features, intercepts) of a linear SVM."""
+        if self.kind != "svm":
+            raise ValueError("trees have no coefficients")
+        return (
+            np.stack([m.coefficients.toArray() for m in self.models]),
+            np.array([m.intercept for m in self.models]),
+        )
+
     def save(self, path: str) -> None:
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/class={i}")
@@ -309,28 +324,82 @@ def oof_union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def oof_stack(
-    train: DataFrame, test: DataFrame, learners: Mapping[str, Callable[[DataFrame], Any]],
+    train: DataFrame, learners: Mapping[str, Callable[[DataFrame], Any]],
     folds: int = fv.FOLDS, fold: str = "fold", key: str = "post_id",
-) -> tuple[DataFrame, DataFrame]:
-    """(train predictions, test predictions): key and one probability array per learner.
+) -> tuple[DataFrame, dict[str, list[Any]]]:
+    """(key and one probability array per learner for every train row, models per learner).
 
-    A train row is scored by the models that did not see its fold. A test row is scored by every
-    fold's models one after the other, and the mean is taken inside the row, without a shuffle.
+    A train row is scored by the models that did not see its fold.
     """
     names = list(learners)
-    parts, tested = [], test
+    parts, models = [], {name: [] for name in names}
     for i in range(folds):
         rest, held = train.filter(F.col(fold) != i), train.filter(F.col(fold) == i)
         for name in names:
-            model = learners[name](rest)
-            held = model.scores(held, name)
-            tested = model.scores(tested, f"{name}_{i}")
+            models[name].append(learners[name](rest))
+            held = models[name][-1].scores(held, name)
         parts.append(pin(held.select(key, *names), "oof"))
+    return oof_union(parts), models
+
+
+# --- linear scoring of any amount of text -------------------------------------------------
+
+
+@dataclass
+class LinearBank:
+    """Several linear models applied to long-form term weights in one join and one aggregation.
+
+    The coefficient table has one row per selected term with the coefficients of all classes of all
+    models: its size is set by the selection (32 000 terms), not by the data, so it is broadcast.
+    No vector is built and no row leaves the JVM; the sums combine on the map side.
+    """
+
+    blocks: dict[str, tuple[np.ndarray, np.ndarray]]  # name: (classes x terms, intercepts)
+
+    @classmethod
+    def of(cls, models: Mapping[str, "Logistic | OneVsRest"]) -> "LinearBank":
+        return cls({name: m.linear() for name, m in models.items()})
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        stacked = np.concatenate([c for c, _ in self.blocks.values()]).T
+        used = np.flatnonzero(np.any(stacked != 0.0, axis=1))
+        rows = pa.table(
+            {
+                "idx": pa.array(used.astype(np.int32)),
+                "coefs": pa.array(stacked[used].tolist(), pa.list_(pa.float64())),
+            }
+        )
+        return spark.createDataFrame(rows)
+
+    def scores(self, posts: DataFrame, weights: DataFrame, key: str = "post_id") -> DataFrame:
+        """`posts` with one probability array per model; a post without terms gets the intercepts."""
+        intercepts = np.concatenate([b for _, b in self.blocks.values()])
+        sums = [
+            F.sum(F.col("weight") * F.col("coefs")[i]).alias(f"_m{i}") for i in range(len(intercepts))
+        ]
+        table = F.broadcast(self.table(posts.sparkSession))
+        margins = weights.join(table, "idx").groupBy(key).agg(*sums)
+        p, at = [], 0
+        for name, (_, own) in self.blocks.items():
+            values = [
+                F.coalesce(F.col(f"_m{at + i}"), F.lit(0.0)) + float(b) for i, b in enumerate(own)
+            ]
+            p.append(softmax(F.array(*values)).alias(name))
+            at += len(own)
+        return posts.join(margins, key, "left").select(*posts.columns, *p)
+
+
+def fold_mean_scores(
+    posts: DataFrame, weights: DataFrame, models: Mapping[str, Sequence[Any]], key: str = "post_id"
+) -> DataFrame:
+    """Each learner's probabilities as the mean over its fold models, taken inside the row."""
+    bank = LinearBank.of({f"{n}_{i}": m for n, ms in models.items() for i, m in enumerate(ms)})
+    scored = bank.scores(posts, weights, key)
 
-    def mean(name: str):
-        arrays = F.arrays_zip(*[F.col(f"{name}_{i}") for i in range(folds)])
+    def mean(name: str, k: int):
+        arrays = F.arrays_zip(*[F.col(f"{name}_{i}") for i in range(k)])
         return F.transform(
-            arrays, lambda s: sum((s[f"{name}_{i}"] for i in range(1, folds)), s[f"{name}_0"]) / folds
+            arrays, lambda s: sum((s[f"{name}_{i}"] for i in range(1, k)), s[f"{name}_0"]) / k
         )
 
-    return oof_union(parts), tested.select(key, *[mean(n).alias(n) for n in names])
+    return scored.select(*posts.columns, *[mean(n, len(ms)).alias(n) for n, ms in models.items()])

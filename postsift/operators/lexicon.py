@@ -117,14 +117,35 @@ def _shares(groups: Column, values: Sequence[str], names: Sequence[str]) -> list
     ]
 
 
+def _category_hits(tokens: DataFrame, categories: DataFrame, key: str) -> DataFrame:
+    """(post_id, hits): tokens per category, as a map of the categories that occur.
+
+    Only tokens with a category take part, and the wide result is built once per post, not tested
+    for 72 categories at every token.
+    """
+    counts = category_join(tokens, categories).groupBy(key, "category").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    entries = F.collect_list(F.struct("category", "n"))  # at most one per category
+    return counts.groupBy(key).agg(F.map_from_entries(entries).alias("hits"))
+
+
+def _category_shares(tokens: Column, categories: Sequence[str]) -> list[Column]:
+    total = F.greatest(tokens, F.lit(1))
+    return [
+        (F.coalesce(F.col("hits")[c], F.lit(0)) / total).alias(n)
+        for c, n in zip(categories, category_names(categories))
+    ]
+
+
 def category_features(
     df: DataFrame, categories: DataFrame, col: str = "post", key: str = "post_id",
     names: Sequence[str] = fv.CATEGORIES,
 ) -> DataFrame:
     """Share of a post's tokens in each category; a word may belong to several."""
-    return _share_per_group(
-        df, categories, "category", names, category_names(names), col, key
-    )
+    hits = _category_hits(explode_tokens(df, col, key), categories, key)
+    sizes = df.select(key, F.coalesce(F.size(tk.lexicon_tokens(F.col(col))), F.lit(0)).alias("_n"))
+    return sizes.join(hits, key, "left").select(key, *_category_shares(F.col("_n"), names))
 
 
 def pos_ratio_features(
@@ -224,23 +245,22 @@ def psych_features(
     df: DataFrame, lexicons: Lexicons, col: str = "post", key: str = "post_id",
     categories: Sequence[str] = fv.CATEGORIES,
 ) -> DataFrame:
-    """7 word-class, 1 sentiment, 72 category, 10 emotion and 9 valence columns per post.
-
-    One pass over the tokens serves all but the sentiment; each lexicon is one join beside it.
-    """
+    """7 word-class, 1 sentiment, 72 category, 10 emotion and 9 valence columns per post."""
     tokens = explode_tokens(df, col, key)
     wide = lexicon_join(lexicon_join(tokens, lexicons.emotion), lexicons.vad)
-    wide = wide.join(
-        group_sets(lexicons.category, "category").withColumnRenamed("groups", "categories"),
-        "word", "left",
-    ).join(group_sets(lexicons.tag, "tag").withColumnRenamed("groups", "tags"), "word", "left")
+    wide = wide.join(group_sets(lexicons.tag, "tag"), "word", "left")
     counted = wide.groupBy(key).agg(
-        *_shares(F.col("tags"), fv.POS_TAGS, pos_names()),
-        *_shares(F.col("categories"), categories, category_names(categories)),
+        F.count("word").alias("_n"),
+        *_shares(F.col("groups"), fv.POS_TAGS, pos_names()),
         *_emotion_aggregates(),
         *_vad_aggregates(),
     )
+    hits = _category_hits(tokens, lexicons.category, key)
     scored = _sentiment_words(df, lexicons.sentiment, col, key)
-    # Both sides are partitioned by the key already.
-    out = counted.join(scored, key, "left").na.fill(0.0, ["sentiment_compound"])
-    return out.select(key, *psych_names(categories))
+    # All three are partitioned by the key; a `df` that is so already is not shuffled again.
+    out = counted.join(hits, key, "left").join(scored, key, "left")
+    shares = dict(zip(category_names(categories), _category_shares(F.col("_n"), categories)))
+    sentiment = F.coalesce("sentiment_compound", F.lit(0.0)).alias("sentiment_compound")
+    return out.select(
+        key, *pos_names(), sentiment, *shares.values(), *emotion_names(), *vad_names()
+    )

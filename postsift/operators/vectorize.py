@@ -23,15 +23,25 @@ WORD, CHAR = "word", "char_wb"
 
 
 def by_post(df: DataFrame, *cols: str, key: str = "post_id") -> DataFrame:
-    """Only the needed columns, partitioned by the row key."""
-    return df.select(key, *cols).repartition(key)
+    """Only the needed columns, partitioned by the row key.
+
+    Branches that start from the same such table share one shuffle. The number of partitions is
+    given, so that adaptive execution does not merge them: it sees the bytes of the texts, but their
+    terms are many times that.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, *cols).repartition(partitions, key)
 
 
 def term_counts(
-    df: DataFrame, analyzer: str = WORD, col: str = "post", key: str = "post_id"
+    df: DataFrame, analyzer: str = WORD, col: str = "post", key: str = "post_id",
+    partitioned: bool = False,
 ) -> DataFrame:
-    """(post_id, term, tf) for word 1-2-grams or for 3-5 character n-grams inside words."""
-    texts = by_post(df, col, key=key)
+    """(post_id, term, tf) for word 1-2-grams or for 3-5 character n-grams inside words.
+
+    `partitioned` says that `df` comes from `by_post` already.
+    """
+    texts = df.select(key, col) if partitioned else by_post(df, col, key=key)
     if analyzer == WORD:
         grams = tk.word_ngrams(tk.word_tokens(F.col(col)), 1, 2)
         return texts.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(
@@ -158,8 +168,8 @@ def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return StandardScaling.fit(df, cols).apply(df)
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, entries):
+@F.udf(VectorUDT(), useArrow=True)
+def _sparse(size, entries):
     return Vectors.sparse(size, [e[0] for e in entries], [e[1] for e in entries])
 
 
@@ -224,7 +234,7 @@ class TermModel:
         terms = pin(chosen.unionByName(rest), "terms")
         return cls(terms, terms.filter("chosen").count())
 
-    def weights(self, df: DataFrame, col: str = "text") -> DataFrame:
+    def weights(self, df: DataFrame, col: str = "text", partitioned: bool = False) -> DataFrame:
         """(post_id, idx, weight) of the selected terms, scaled by their training maximum.
 
         The length of a post's vector counts the whole vocabulary, selected or not.
@@ -232,7 +242,8 @@ class TermModel:
         parts = []
         for analyzer in (WORD, CHAR):
             mine = self.terms.filter(F.col("analyzer") == analyzer)
-            long = tfidf(term_counts(df, analyzer, col), mine, keep=("chosen", "max_abs", "idx"))
+            tf = term_counts(df, analyzer, col, partitioned=partitioned)
+            long = tfidf(tf, mine, keep=("chosen", "max_abs", "idx"))
             scale = F.when(F.col("max_abs") > 0, F.col("max_abs")).otherwise(F.lit(1.0))
             parts.append(
                 long.filter("chosen").select(

@@ -20,7 +20,7 @@ from postsift.operators import filters as fl
 from postsift.operators import learners as ln
 from postsift.operators import sampling as sp
 from postsift.operators.lexicon import Lexicons, psych_features, psych_names
-from postsift.operators.vectorize import StandardScaling, TermModel
+from postsift.operators.vectorize import StandardScaling, TermModel, by_post
 from postsift.plans.scoring import present
 from postsift.sources.staging import pin
 
@@ -226,11 +226,15 @@ class StackedModel:
     report: DataFrame | None = None
 
     def probabilities(self, df: DataFrame, clean: bool = True) -> DataFrame:
-        """(post_id, text) to (post_id, p). Training texts were cleaned, so `clean` is the default."""
+        """(post_id, text) to (post_id, p). Training texts were cleaned, so `clean` is the default.
+
+        The cleaned texts are shuffled by key once; terms, lexicon features and the joins of their
+        results all start from that shuffle.
+        """
         text = tx.clean_text(F.col("text")) if clean else tx.blank_if_null(F.col("text"))
-        ready = df.select("post_id", tx.lower_text(text).alias("text"))
-        vectors = self.terms.vectors(ready, "text", "features")
-        base = self.svm.scores(self.logistic.scores(vectors, "logistic"), "svm")
+        ready = by_post(df.select("post_id", tx.lower_text(text).alias("text")), "text")
+        bank = ln.LinearBank.of({"logistic": self.logistic, "svm": self.svm})
+        base = bank.scores(df.select("post_id"), self.terms.weights(ready, "text", True))
         meta = meta_features(base, psych_features(ready, self.lexicons, "text"))
         return self.boosted.scores(meta).select("post_id", "p")
 
@@ -271,10 +275,8 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
     k = len(data.labels)
     terms = fit_terms(data.train, cfg)
 
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.drop("text").join(terms.vectors(df, "text", "features"), "post_id")
-
-    train, test = pin(vectors(data.train), "term_train"), pin(vectors(data.test), "term_test")
+    vectors = terms.vectors(data.train, "text", "features")
+    train = pin(data.train.drop("text").join(vectors, "post_id"), "term_train")
     svm = partial(ln.fit_linear_svm, n_classes=k)
     params = {
         "logistic": _search(train, ln.fit_logistic, ln.LOGISTIC_SPACE, cfg.linear_trials, "macro_f1", cfg, cfg.linear_params),
@@ -284,7 +286,11 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
         "logistic": partial(ln.fit_logistic, **params["logistic"]),
         "svm": partial(svm, **params["svm"]),
     }
-    oof, tested = ln.oof_stack(train, test, learners, cfg.folds)
+    oof, fold_models = ln.oof_stack(train, learners, cfg.folds)
+    # The test side is not capped: its terms are scored in long form by all fold models at once.
+    tested = ln.fold_mean_scores(
+        data.test.select("post_id"), terms.weights(data.test, "text"), fold_models
+    )
     meta_train = pin(
         meta_features(oof, psych_features(data.train, lexicons, "text")).join(
             train.select("post_id", "label", "fold"), "post_id"
@@ -292,7 +298,7 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
         "meta_train",
     )
     meta_test = meta_features(tested, psych_features(data.test, lexicons, "text")).join(
-        test.select("post_id", "label"), "post_id"
+        data.test.select("post_id", "label"), "post_id"
     )
 
     def boosted(df, valid=None, **p):
