@@ -191,4 +191,4 @@ def with_cte(names: str, body: str, **more: str) -> str:
         add(name)
     parts = [f"{n} AS MATERIALIZED ({CTE[n].strip()})" for n in ordered]
     parts += [f"{n} AS ({q.strip()})" for n, q in more.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
