@@ -142,10 +142,24 @@ def category_features(
     df: DataFrame, categories: DataFrame, col: str = "post", key: str = "post_id",
     names: Sequence[str] = fv.CATEGORIES,
 ) -> DataFrame:
-    """Share of a post's tokens in each category; a word may belong to several."""
-    hits = _category_hits(explode_tokens(df, col, key), categories, key)
-    sizes = df.select(key, F.coalesce(F.size(tk.lexicon_tokens(F.col(col))), F.lit(0)).alias("_n"))
-    return sizes.join(hits, key, "left").select(key, *_category_shares(F.col("_n"), names))
+    """Share of a post's tokens in each category; a word may belong to several.
+
+    The token count rides on the exploded rows, so nothing is joined back to the posts.
+    """
+    words = df.select(key, tk.lexicon_tokens(F.col(col)).alias("words"))
+    tokens = words.select(
+        key, F.coalesce(F.size("words"), F.lit(0)).alias("_n"), F.explode_outer("words").alias("word")
+    )
+    counts = (
+        tokens.join(categories, "word", "left")
+        .groupBy(key, "_n", "category")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    entries = F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "n")))
+    per_post = counts.groupBy(key).agg(
+        F.max("_n").alias("_n"), F.map_from_entries(entries).alias("hits")
+    )
+    return per_post.select(key, *_category_shares(F.col("_n"), names))
 
 
 def pos_ratio_features(

@@ -136,7 +136,7 @@ class FlatModel:
         """Preprocessing and classifiers bundled, so that the folder alone can score."""
         spark = SparkSession.active()
         self.terms.save(f"{path}/terms")
-        _save_lexicons(self.lexicons, f"{path}/lexicons")
+        save_lexicons(self.lexicons, f"{path}/lexicons")
         for name, model in self.models.items():
             model.save(f"{path}/models/{name}")
         for name, report in self.reports.items():
@@ -152,7 +152,7 @@ class FlatModel:
         reports = {n: spark.read.json(f"{path}/reports/{n}") for n in meta["params"]}
         return cls(
             meta["labels"], TermModel.load(spark, f"{path}/terms"),
-            StandardScaling(**meta["scaling"]), _load_lexicons(spark, f"{path}/lexicons"),
+            StandardScaling(**meta["scaling"]), load_lexicons(spark, f"{path}/lexicons"),
             models, reports, meta["params"],
         )
 
@@ -248,7 +248,7 @@ class StackedModel:
         self.logistic.save(f"{path}/logistic")
         self.svm.save(f"{path}/svm")
         self.boosted.save(f"{path}/boosted")
-        _save_lexicons(self.lexicons, f"{path}/lexicons")
+        save_lexicons(self.lexicons, f"{path}/lexicons")
         if self.report is not None:
             self.report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
         _save_meta(spark, {"labels": self.labels, "params": self.params}, path)
@@ -259,7 +259,7 @@ class StackedModel:
         return cls(
             meta["labels"], TermModel.load(spark, f"{path}/terms"),
             ln.Logistic.load(f"{path}/logistic"), ln.OneVsRest.load(f"{path}/svm"),
-            ln.OneVsRest.load(f"{path}/boosted"), _load_lexicons(spark, f"{path}/lexicons"),
+            ln.OneVsRest.load(f"{path}/boosted"), load_lexicons(spark, f"{path}/lexicons"),
             meta["params"],
         )
 
@@ -320,12 +320,12 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
 LEXICON_PARTS = ("emotion", "vad", "category", "tag", "sentiment")
 
 
-def _save_lexicons(lexicons: Lexicons, path: str) -> None:
+def save_lexicons(lexicons: Lexicons, path: str) -> None:
     for part in LEXICON_PARTS:
         getattr(lexicons, part).write.mode("overwrite").parquet(f"{path}/{part}")
 
 
-def _load_lexicons(spark: SparkSession, path: str) -> Lexicons:
+def load_lexicons(spark: SparkSession, path: str) -> Lexicons:
     return Lexicons(**{p: spark.read.parquet(f"{path}/{p}") for p in LEXICON_PARTS})
 
 
