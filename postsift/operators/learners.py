@@ -47,6 +47,7 @@ BOOST_SPACE = {
     "subsample": ("float", 0.5, 1.0),
     "colsample_bytree": ("float", 0.5, 1.0),
 }
+BROADCAST_BYTES = 256 * 2**20
 BOOST_DEFAULTS = {
     "max_depth": 5,
     "learning_rate": 0.1,
@@ -350,8 +351,9 @@ class LinearBank:
     """Several linear models applied to long-form term weights in one join and one aggregation.
 
     The coefficient table has one row per selected term with the coefficients of all classes of all
-    models: its size is set by the selection (32 000 terms), not by the data, so it is broadcast.
-    No vector is built and no row leaves the JVM; the sums combine on the map side.
+    models: its size is set by the selection (32 000 terms) and the classes, not by the rows. It is
+    broadcast up to BROADCAST_BYTES and joined by a shuffle beyond. No vector is built and no row
+    leaves the JVM; the sums combine on the map side.
     """
 
     blocks: dict[str, tuple[np.ndarray, np.ndarray]]  # name: (classes x terms, intercepts)
@@ -377,7 +379,9 @@ class LinearBank:
         sums = [
             F.sum(F.col("weight") * F.col("coefs")[i]).alias(f"_m{i}") for i in range(len(intercepts))
         ]
-        table = F.broadcast(self.table(posts.sparkSession))
+        table = self.table(posts.sparkSession)
+        if sum(c.nbytes for c, _ in self.blocks.values()) <= BROADCAST_BYTES:
+            table = F.broadcast(table)
         margins = weights.join(table, "idx").groupBy(key).agg(*sums)
         p, at = [], 0
         for name, (_, own) in self.blocks.items():

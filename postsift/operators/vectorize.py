@@ -66,8 +66,18 @@ def corpus_counts(tf: DataFrame) -> DataFrame:
 
 
 def top_vocabulary(tf: DataFrame, k: int) -> DataFrame:
-    """The k most frequent terms, ties in term order."""
-    return corpus_counts(tf).orderBy(F.desc("ctf"), "term").limit(k)
+    """The k most frequent terms, ties in term order.
+
+    The frequency of the k-th term is read off the counts per frequency first. Only terms that reach
+    it are sorted, so the sort sees about k terms and not k from every partition.
+    """
+    counts = pin(corpus_counts(tf), "corpus_counts")
+    sizes = counts.groupBy("ctf").agg(F.count(F.lit(1)).alias("n"))
+    # One row per distinct frequency.
+    before = F.sum("n").over(Window.orderBy(F.desc("ctf"))) - F.col("n")
+    reached = sizes.withColumn("before", before).filter(F.col("before") < k)
+    cut = reached.agg(F.min("ctf")).first()[0] or 0
+    return counts.filter(F.col("ctf") >= cut).orderBy(F.desc("ctf"), "term").limit(k)
 
 
 def idf(n_posts: int) -> Column:

@@ -75,7 +75,8 @@ def split(rows: DataFrame, cfg: Config, lower: bool) -> Split:
     indexed = indexed.drop("class")
     if lower:
         indexed = indexed.withColumn("text", tx.lower_text(F.col("text")))
-    parted = pin(sp.stratified_split(indexed, "label", cfg.test_share, cfg.seed), "split")
+    # The split is a comparison on each row of the written table; it is not written again.
+    parted = sp.stratified_split(indexed, "label", cfg.test_share, cfg.seed)
     capped = pin(
         sp.cap_per_class(parted.filter("not is_test").drop("is_test"), "label", cfg.cap, cfg.seed),
         "capped",

@@ -89,7 +89,8 @@ def resumable_apply(
 ) -> DataFrame:
     """Apply a row-wise `fn` and keep finished rows on disk, so that a rerun does the rest only.
 
-    The rows are worked off in `slices` by a hash of the key; each slice is one committed write.
+    The rows are worked off in `slices` by a hash of the key; each slice is one committed write and
+    one scan of the input, so a few slices are enough: within a slice Spark retries lost tasks.
     The result belongs to one fingerprint of the input: a changed input starts anew.
     """
     spark = df.sparkSession
