@@ -19,6 +19,7 @@ from catalog.views import (
     vad_rows,
     with_cte,
 )
+from postsift import fixed_values as fv
 from postsift.functions import text as tx
 from postsift.operators import evaluate as ev
 from postsift.operators import filters as fl
@@ -138,6 +139,17 @@ def rows(spark, sf_dir):
     )
 
 
+@query(
+    "screen",
+    with_cte("posts", "SELECT post_id, post_cleaned AS text, CASE subreddit " + " ".join(
+        f"WHEN '{k}' THEN '{v}'" for k, v in fv.LABELS.items()
+    ) + " ELSE subreddit END AS class FROM clinical_out WHERE post_cleaned IS NOT NULL "
+        "AND post_masked IS NOT NULL AND subreddit IS NOT NULL", **SCREENED, clinical_out=CLINICAL_OUT),
+)
+def screen(spark, sf_dir):
+    return tr.screen(posts(spark, sf_dir))
+
+
 @lru_cache(maxsize=4)
 def _prepared(spark, sf_dir):
     """(labels, train rows with term vectors, fitted terms): shared by the learner queries."""
