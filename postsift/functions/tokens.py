@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift import fixed_values as fv
@@ -65,6 +65,31 @@ def padded_char_ngrams(word: Column, lowest: int = 3, highest: int = 5) -> Colum
     return F.concat(*[grams(n) for n in range(lowest, highest + 1)])
 
 
+def char_ngram_rows(
+    df: DataFrame, word: str, out: str, lowest: int = 3, highest: int = 5
+) -> DataFrame:
+    """One row per character n-gram of the column `word`, instead of an array of them.
+
+    The n-grams are numbered through all sizes, and each row cuts its own one: plain arithmetic that
+    compiles, where the array form runs a lambda per n-gram.
+    """
+    keep = [c for c in df.columns if c != word]
+    padded = df.select(*keep, F.concat(F.lit(" "), word, F.lit(" ")).alias("_padded"))
+    sizes = list(range(lowest, highest + 1))
+    counts = [F.greatest(F.length("_padded") - (n - 1), F.lit(0)) for n in sizes]
+    total = sum(counts[1:], counts[0])
+    numbered = padded.filter(total > 0).select(
+        *keep, "_padded", F.explode(F.sequence(F.lit(1), total)).alias("_k")
+    )
+    gram, start = None, F.col("_k")
+    for n, count in zip(sizes[:-1], counts):
+        mine = (start <= count, F.substring("_padded", start, F.lit(n)))
+        gram = F.when(*mine) if gram is None else gram.when(*mine)
+        start = start - count
+    last = F.substring("_padded", start, F.lit(sizes[-1]))
+    return numbered.select(*keep, (last if gram is None else gram.otherwise(last)).alias(out))
+
+
 def char_wb_ngrams(col: Column, lowest: int = 3, highest: int = 5) -> Column:
     """Character n-grams that do not cross a word border."""
     return F.flatten(

@@ -54,7 +54,7 @@ def term_counts(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     return (
-        words.select(key, F.explode(tk.padded_char_ngrams(F.col("word"))).alias("term"), "tf")
+        tk.char_ngram_rows(words, "word", "term")
         .groupBy(key, "term")
         .agg(F.sum("tf").alias("tf"))
     )
