@@ -45,3 +45,35 @@ def op3_byte_bpe(spark, sf_dir):
     from postsift.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from postsift.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out("doc_id")))
+    found = langid.predict(docs, model, reject=False)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", F.round("score", 6).alias("score"), "rejected")
+
+
+@query("op7_warc_bundles")
+def op7_warc_bundles(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from postsift.llm import warc
+
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op8_ordinal_quality")
+def op8_ordinal_quality(spark, sf_dir):
+    from postsift.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.grade(docs, quality.fit(docs, quality.grades_of(labels)))
