@@ -77,3 +77,15 @@ def op8_ordinal_quality(spark, sf_dir):
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.grade(docs, quality.fit(docs, quality.grades_of(labels)))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from postsift.llm import decontaminate
+
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.filter("leaked").select(
+        "doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap", "item_overlap")]
+    )

@@ -38,12 +38,16 @@ def _table(name: str) -> np.ndarray:
     return _tables[name]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a word when punctuation does not matter: all of ASCII but letters and digits.
+PLAIN_SPACE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word of the rows data[offsets[i]:offsets[i + 1]]."""
     if not len(data):
         none = np.empty(0, np.int64)
         return none, none, none
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], word[:-1]))
@@ -63,9 +67,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, name: str = "
         return mix(raw + (ends - starts).astype(_U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word, in text order."""
-    starts, ends, rows = spans(data, offsets)
+    starts, ends, rows = spans(data, offsets, space)
     return hashes(data, starts, ends), rows
 
 
