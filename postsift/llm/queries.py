@@ -89,3 +89,10 @@ def op6_decontaminate(spark, sf_dir):
     return found.filter("leaked").select(
         "doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap", "item_overlap")]
     )
+
+
+@query("op10_html_wrappers")
+def op10_html_wrappers(spark, sf_dir):
+    from postsift.llm import wrappers
+
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
