@@ -96,3 +96,33 @@ def op10_html_wrappers(spark, sf_dir):
     from postsift.llm import wrappers
 
     return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_partenum_join", """
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s
+  FROM words),
+one AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT rep, n, unnest(s) AS w FROM one),
+links AS (
+  SELECT a.rep AS x, b.rep AS y FROM items a JOIN items b ON a.w = b.w AND a.rep < b.rep
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT rep AS node, rep AS c FROM one
+  UNION SELECT edges.y, reach.c FROM reach JOIN edges ON edges.x = reach.node WHERE reach.c < edges.y),
+least_of AS (SELECT node, min(c) AS c FROM reach GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(l.c, sets.doc_id) AS component_id
+FROM sets LEFT JOIN one ON one.s = sets.s LEFT JOIN least_of l ON l.node = one.rep
+""")
+def op5_partenum_join(spark, sf_dir):
+    from postsift.llm import partenum
+
+    return partenum.similar_sets(table(spark, sf_dir, "documents"))
