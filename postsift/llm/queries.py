@@ -126,3 +126,10 @@ def op5_partenum_join(spark, sf_dir):
     from postsift.llm import partenum
 
     return partenum.similar_sets(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    from postsift.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
