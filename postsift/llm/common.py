@@ -87,15 +87,16 @@ def n_blocks(total: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(total / block_bytes))
 
 
-def blocks(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """(block, row_key, row_text): documents spread over `n` blocks by a hash of key and text.
 
-    Only the key and the text are kept, so other columns of any name cannot clash. Grouping by
-    `block` needs no further shuffle.
+    Only the key, the text and the columns in `more` are kept, so other columns of any name cannot
+    clash. Grouping by `block` needs no further shuffle.
     """
-    rows = docs.select(docs[key].cast("long").alias("row_key"), docs[text].alias("row_text"))
+    extra = [value.alias(name) for name, value in more.items()]
+    rows = docs.select(docs[key].cast("long").alias("row_key"), docs[text].alias("row_text"), *extra)
     block = F.pmod(F.xxhash64("row_key", "row_text"), F.lit(n)).cast("int")
-    return rows.select(block.alias("block"), "row_key", "row_text").repartition(n, "block")
+    return rows.select(block.alias("block"), "row_key", "row_text", *more).repartition(n, "block")
 
 
 def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -133,3 +133,13 @@ def op2_suffix_dedup(spark, sf_dir):
     from postsift.llm import suffix_dedup
 
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_bigram_lm")
+def op9_bigram_lm(spark, sf_dir):
+    from postsift.llm import lm
+    from postsift.llm.langid import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    found = lm.score(docs, ~held_out("doc_id", 7, 2))
+    return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
