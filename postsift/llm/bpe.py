@@ -201,8 +201,10 @@ def decode(tokens: DataFrame, rank_file: bytes, ids: str = "ids") -> DataFrame:
     return tokens.select(*keep, ids).mapInArrow(apply, ", ".join(filter(None, [fields, "decoded binary"])))
 
 
-def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`key`, n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again."""
+def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", key: str = "doc_id",
+               with_ids: bool = False) -> DataFrame:
+    """`key`, n_tokens, ids_sha256 and decoded_sha256 (with `with_ids` also ids): each text encoded, and
+    its ids decoded again."""
 
     def make(codec, texts):
         found = codec.encode(texts)
@@ -210,7 +212,9 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "tex
             "n_tokens": pa.array([len(i) for i in found], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in found]),
             "decoded_sha256": pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in found]),
+            **({"ids": _lists(found)} if with_ids else {}),
         }
 
+    more = ", ids array<int>" if with_ids else ""
     return _run(docs, rank_file, pattern, text, [key], make,
-                "n_tokens long, ids_sha256 string, decoded_sha256 string")
+                "n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

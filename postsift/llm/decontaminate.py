@@ -244,7 +244,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id, score, question_overlap, answer_overlap (null without an answer), item_overlap,
     leaked: all pairs of a text and an item it retrieves; `leaked` where the overlap is verified."""
     id_type = items.schema[item_id].dataType
-    types = [pa.int64(), to_arrow_type(id_type), *[pa.float64()] * 4, pa.bool_()]
+    types = _types(id_type)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("t"))
     out = None
     for index in _indexes(items, item_id, item_text, threshold):
@@ -261,8 +261,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 _NAMES = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap", "leaked"]
 
 
+def _types(id_type) -> list[pa.DataType]:
+    return [pa.int64(), pa.int64() if id_type == "long" else to_arrow_type(id_type), *[pa.float64()] * 4, pa.bool_()]
+
+
 def _search(shared, types: list[pa.DataType], threshold: float, overlap: float):
-    def apply(batches):
+    def apply(batches, item_ids: bool = True):
         index = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -279,9 +283,31 @@ def _search(shared, types: list[pa.DataType], threshold: float, overlap: float):
                         (lo, hi), known, at = np.searchsorted(rows, [r, r + 1]), {}, r
                     question, answer, whole = verify(index, i, terms[lo:hi], known)
                     both = (question or 0) >= overlap and (answer is None or answer >= overlap)
-                    out.append((ids[a + r], index.item_ids[i], s, question, answer, whole, both or whole >= overlap))
+                    out.append((ids[a + r], index.item_ids[i] if item_ids else i, s, question, answer, whole, both or whole >= overlap))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names=_NAMES
             )
 
     return apply
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of `docs`, with all columns, in which no item is leaked."""
+    out, place = docs, docs.columns.index(text)
+    for index in _indexes(items, item_id, item_text, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def apply(batches, search=_search(shared, _types("long"), threshold, overlap), place=place):
+            for batch in batches:
+                numbered = pa.RecordBatch.from_arrays(
+                    [pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], names=["row", "t"]
+                )
+                keep = np.ones(batch.num_rows, bool)
+                for found in search([numbered], item_ids=False):
+                    rows = found.column(0).to_numpy()
+                    keep[rows[np.asarray(found.column(6).to_numpy(zero_copy_only=False), bool)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(apply, docs.schema)
+    return out

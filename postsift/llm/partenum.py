@@ -44,6 +44,8 @@ _U = np.uint64
 WEAK = 1
 SPARE = 0.12
 PIVOTS = 16
+#: Keys of dropped documents up to this number are broadcast, about 16 MB.
+BROADCAST_KEYS = 1_000_000
 _SEEDS = seeded("partenum", 8)
 
 
@@ -203,6 +205,16 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, of the smallest key of each component; all rows of a key
+    that stays are kept, and so are rows with a null key."""
+    found = similar_sets(docs, size, percent, key, text)
+    dropped = pin(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
+    if dropped.count() <= BROADCAST_KEYS:
+        dropped = F.broadcast(dropped)  # 8 bytes a row; beyond the bound both sides are shuffled
+    return docs.join(dropped, key, "left_anti").select(*docs.columns)
+
+
 def _find(docs: DataFrame, n: int, size: int, percent: int, key: str, text: str) -> DataFrame:
     """kind 0: (a id, n shingles, bits sketch, t text if a signature is shared); 1: candidates (a, b);
     2: (a member, b group) of groups of three and more."""

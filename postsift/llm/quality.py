@@ -27,6 +27,8 @@ FEATURES = 1 << 18
 LABELLED_ROWS = 16_000
 #: Hashed words of fewer sampled texts than this keep weight 0.
 LEAST_TEXTS = 3
+#: Least probability of the best grade with which a text is kept.
+KEEP = 0.5
 
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[ord("A") : ord("Z") + 1] = True
@@ -160,33 +162,44 @@ def train(y: np.ndarray, bags: list[np.ndarray], grades: int, seed: int, epochs:
 
 
 def grade(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, expected_grade, tail (probability of the best grade), keep (tail at least 1/2)."""
-    return _apply(docs, model, docs[key].cast("long"), "doc_id long", docs[text])
-
-
-def _apply(docs: DataFrame, model: OrdinalModel, carried, field: str, text) -> DataFrame:
+    """doc_id, score, expected_grade, tail (probability of the best grade), keep (tail at least KEEP)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
-    name = field.split()[0]
 
     def apply(batches):
-        m = shared.value
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            score = np.concatenate([np.zeros(0)] + [
-                m.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_slices(offsets)
-            ])
-            below = m.cumulative(score)
+            score, below = _graded(shared.value, batch.column(1))
             tail = 1 - below[:, -1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((1 - below).sum(axis=1)), pa.array(tail), pa.array(tail >= 0.5)],
-                names=[name, "score", "expected_grade", "tail", "keep"],
+                [batch.column(0), pa.array(score), pa.array((1 - below).sum(axis=1)), pa.array(tail), pa.array(tail >= KEEP)],
+                names=["doc_id", "score", "expected_grade", "tail", "keep"],
             )
 
-    return docs.select(carried.alias(name), text.alias("t")).mapInArrow(
-        apply, f"{field}, score double, expected_grade double, tail double, keep boolean"
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("t")).mapInArrow(
+        apply, "doc_id long, score double, expected_grade double, tail double, keep boolean"
     )
 
 
+def select_best(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, whose best grade has a probability of at least KEEP."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def apply(batches):
+        for batch in batches:
+            _, below = _graded(shared.value, batch.column(place))
+            yield batch.filter(pa.array(1 - below[:, -1] >= KEEP))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
+def _graded(model: OrdinalModel, texts) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = text_buffer(texts)
+    score = np.concatenate([np.zeros(0)] + [
+        model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_slices(offsets)
+    ])
+    return score, model.cumulative(score)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """Grades of `labels`: 0 toxic, 1 neither toxic nor good, 2 good; unknown where a rating is null."""
     return labels.select(
