@@ -252,8 +252,9 @@ def standard_scale(spark, sf_dir):
 
 
 # --- term vectors -----------------------------------------------------------------------
-K = 500  # vocabulary size for the smaller checked tables
-BEST = 100
+K = 60_000  # vocabulary, as in the training plans
+BEST = 24_000
+ALL_DOCS = "SELECT doc_id AS post_id, text AS post FROM documents"
 LABELLED_DOCS = """
 SELECT doc_id AS post_id, text AS post, quality FROM documents JOIN labels USING (doc_id)
 """
@@ -289,7 +290,12 @@ SELECT term, sum((o - share * total) * (o - share * total) / (share * total)) AS
     ON w.term = t.term AND w.quality = c.quality) AS x GROUP BY term
 """
 TERMS = dict(docs=LABELLED_DOCS, tf=WORD_TF, vocabulary=VOCABULARY, weights=WEIGHTS, chi2=CHI2,
-             best=f"SELECT term, round(chi2, 6) AS chi2 FROM chi2 ORDER BY 2 DESC, term LIMIT {BEST}")
+             best=f"SELECT term, round(chi2, 6) AS chi2 FROM chi2 ORDER BY round(chi2, 10) DESC, term LIMIT {BEST}")
+EVERY = TERMS | {"docs": ALL_DOCS}
+
+
+def all_docs(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("post_id"), F.col("text").alias("post"))
 
 
 def labelled_docs(spark, sf_dir):
@@ -300,40 +306,40 @@ def labelled_docs(spark, sf_dir):
 
 
 @query("term_counts", with_cte("", "SELECT term, sum(tf) AS ctf, count(*) AS df FROM tf GROUP BY term",
-                               **{k: TERMS[k] for k in ("docs", "tf")}).replace("sum(tf)", "CAST(sum(tf) AS BIGINT)"))
+                               **{k: EVERY[k] for k in ("docs", "tf")}).replace("sum(tf)", "CAST(sum(tf) AS BIGINT)"))
 def term_counts(spark, sf_dir):
-    return vz.corpus_counts(vz.term_counts(labelled_docs(spark, sf_dir)))
+    return vz.corpus_counts(vz.term_counts(all_docs(spark, sf_dir)))
 
 
 @query("term_counts_char", with_cte("", "SELECT term, CAST(sum(tf) AS BIGINT) AS ctf, count(*) AS df FROM tf GROUP BY term",
-                                    docs=LABELLED_DOCS, tf=CHAR_TF))
+                                    docs=ALL_DOCS, tf=CHAR_TF))
 def term_counts_char(spark, sf_dir):
-    return vz.corpus_counts(vz.term_counts(labelled_docs(spark, sf_dir), vz.CHAR))
+    return vz.corpus_counts(vz.term_counts(all_docs(spark, sf_dir), vz.CHAR))
 
 
 @query("top_vocabulary", with_cte("", "SELECT term, CAST(ctf AS BIGINT) AS ctf, df FROM vocabulary",
-                                  **{k: TERMS[k] for k in ("docs", "tf", "vocabulary")}))
+                                  **{k: EVERY[k] for k in ("docs", "tf", "vocabulary")}))
 def top_vocabulary(spark, sf_dir):
-    return vz.top_vocabulary(vz.term_counts(labelled_docs(spark, sf_dir)), K)
+    return vz.top_vocabulary(vz.term_counts(all_docs(spark, sf_dir)), K)
 
 
-def doc_weights(spark, sf_dir, analyzer=vz.WORD):
+def doc_weights(spark, sf_dir, analyzer=vz.WORD, docs_of=all_docs):
     """(documents, weights over the K most frequent terms)."""
-    docs = labelled_docs(spark, sf_dir)
+    docs = docs_of(spark, sf_dir)
     tf = pin(vz.term_counts(docs, analyzer), "tf")
-    n = table(spark, sf_dir, "labels").count()
+    n = docs.count()
     vocabulary = pin(vz.top_vocabulary(tf, K).withColumn("idf", vz.idf(n)), "vocabulary")
     return docs, vz.tfidf(tf, vocabulary)
 
 
 @query("tfidf", with_cte("", "SELECT post_id, term, round(weight, 6) AS weight FROM weights",
-                         **{k: TERMS[k] for k in ("docs", "tf", "vocabulary", "weights")}))
+                         **{k: EVERY[k] for k in ("docs", "tf", "vocabulary", "weights")}))
 def tfidf(spark, sf_dir):
     return _round(doc_weights(spark, sf_dir)[1], "weight")
 
 
 @query("tfidf_char", with_cte("", "SELECT post_id, term, round(weight, 6) AS weight FROM weights",
-                              docs=LABELLED_DOCS, tf=CHAR_TF, vocabulary=VOCABULARY, weights=WEIGHTS))
+                              docs=ALL_DOCS, tf=CHAR_TF, vocabulary=VOCABULARY, weights=WEIGHTS))
 def tfidf_char(spark, sf_dir):
     return _round(doc_weights(spark, sf_dir, vz.CHAR)[1], "weight")
 
@@ -341,21 +347,22 @@ def tfidf_char(spark, sf_dir):
 @query("chi2_scores", with_cte("", "SELECT term, round(chi2, 6) AS chi2 FROM chi2",
                                **{k: v for k, v in TERMS.items() if k != "best"}))
 def chi2_scores(spark, sf_dir):
-    docs, weights = doc_weights(spark, sf_dir)
+    docs, weights = doc_weights(spark, sf_dir, docs_of=labelled_docs)
     return _round(vz.chi2_scores(weights, docs.select("post_id", "quality"), "quality"), "chi2")
 
 
 @query("select_k_best", with_cte("", "SELECT term, chi2 FROM best", **TERMS))
 def select_k_best(spark, sf_dir):
-    docs, weights = doc_weights(spark, sf_dir)
+    docs, weights = doc_weights(spark, sf_dir, docs_of=labelled_docs)
     scores = vz.chi2_scores(weights, docs.select("post_id", "quality"), "quality")
-    return vz.select_k_best(scores, BEST)
+    # Equal scores differ in their last bits between engines; ten digits make them equal again.
+    return _round(vz.select_k_best(_round(scores, "chi2", digits=10), BEST), "chi2")
 
 
 @query(
     "max_abs_scale",
     with_cte("", "SELECT post_id, term, round(weight / max(abs(weight)) OVER (PARTITION BY term), 6) AS weight "
-             "FROM weights", **{k: TERMS[k] for k in ("docs", "tf", "vocabulary", "weights")}),
+             "FROM weights", **{k: EVERY[k] for k in ("docs", "tf", "vocabulary", "weights")}),
 )
 def max_abs_scale(spark, sf_dir):
     weights = pin(doc_weights(spark, sf_dir)[1], "weights")

@@ -12,7 +12,7 @@ from postsift.functions import tokens as tk
 from postsift.operators import filters as fl
 
 # --- oracle building blocks (RE2: \w, \d, \b are ASCII there) ---------------------------
-WORD = r"[\p{L}\p{N}\p{M}_]"
+WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}]"
 
 
@@ -143,7 +143,7 @@ _projection(
 )
 # Non-ASCII word characters become a digit: a word character that no token may hold.
 WORD_TOKENS = r"""regexp_extract_all(regexp_replace(
-  regexp_replace(lower(post), '[^\x00-\x7F\p{L}\p{N}\p{M}]', ' ', 'g'), '[^\x00-\x7F]', '0', 'g'), '\b[a-zA-Z\[\]][a-zA-Z\[\]]+\b')"""
+  regexp_replace(lower(post), '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '0', 'g'), '\b[a-zA-Z\[\]][a-zA-Z\[\]]+\b')"""
 _projection(
     "word_tokens", lambda c: F.array_join(tk.word_tokens(c), "|"),
     f"array_to_string({WORD_TOKENS}, '|')",

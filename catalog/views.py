@@ -2,7 +2,8 @@
 
 The supplied prose is invented and has no first-person sentences, links or forum names, so `POSTS`
 derives a forum from `source` and puts a sentence in front of most texts. Every document gives one
-post. The choice hangs on `n_chars`, so exact copies of a text stay exact copies.
+post with its whole text; posts without text or with a placeholder come on top, under negative keys.
+The choice hangs mostly on `n_chars`, so exact copies mostly stay exact copies.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from postsift.sources.readers import emotion_table, spread
 from postsift.sources.staging import pin
 
 POSTS = """
-SELECT doc_id AS post_id, lang,
+SELECT post_id, lang,
   CASE source
     WHEN 'src0' THEN 'EDAnonymous' WHEN 'src1' THEN 'addiction' WHEN 'src2' THEN 'adhd'
     WHEN 'src3' THEN 'alcoholism' WHEN 'src4' THEN 'anxiety' WHEN 'src5' THEN 'autism'
@@ -28,21 +29,26 @@ SELECT doc_id AS post_id, lang,
     WHEN 'src18' THEN 'depression' ELSE NULL END AS subreddit,
   CASE WHEN doc_id % 53 = 0 THEN NULL WHEN doc_id % 37 = 0 THEN 'AutoModerator'
        WHEN doc_id % 41 = 0 THEN 'helper_bot' ELSE concat('user_', source) END AS author,
-  CASE WHEN doc_id % 59 = 0 THEN NULL
-       WHEN doc_id % 29 = 0 THEN '[removed]'
-       WHEN doc_id % 31 = 0 THEN '  [Deleted] '
+  CASE WHEN kind = 1 THEN NULL
+       WHEN kind = 2 THEN '[removed]'
+       WHEN kind = 3 THEN '  [Deleted] '
        WHEN doc_id % 43 = 0 THEN concat('Weekly check-in thread. ', text)
        WHEN doc_id % 47 = 0 THEN concat(text, ' http://x.y/1 www.z.com/2 https://q.r/3')
-       WHEN n_chars % 10 = 0 THEN 'I am 25. My anxiety and I feel worse for me. Bipolar disorder, they say, is mine alone.'
+       WHEN n_chars % 10 = 0 THEN concat('I am 25. My anxiety and I feel worse for me. Bipolar disorder, they say, is mine alone. ', text)
        WHEN n_chars % 10 = 1 THEN concat('I feel hopeless, my anxiety is very bad. I cannot sleep! ', text)
        WHEN n_chars % 10 = 2 THEN concat('I feel tired. My mom has been diagnosed with bipolar disorder. ', text)
        WHEN n_chars % 10 = 3 THEN concat('How to help a friend with ADD? See https://a.b/c and @bob #tag 3.5 or 1,000,000. ', text)
        WHEN n_chars % 10 = 4 THEN concat('Does anyone else struggle. I was 25 and got diagnosed. PTSD and social anxiety. ', text)
        WHEN n_chars % 10 = 5 THEN concat('A study found that me and mine suffer. ', text)
        WHEN n_chars % 10 = 6 THEN concat('I can', chr(39), 't sleep, I', chr(39), 've been tired, it', chr(39), 's late, but we won’t go to the café! ', text)
-       WHEN n_chars % 10 = 7 THEN concat('I know me and my mind as mine, I am case ', doc_id, ' here.')
+       WHEN n_chars % 10 = 7 THEN concat('I know me and my mind as mine, I am here. ', text)
        ELSE text END AS post
-FROM documents
+FROM (
+  SELECT doc_id AS post_id, doc_id, lang, source, n_chars, text, 0 AS kind FROM documents
+  UNION ALL SELECT -4 * doc_id - 1 AS post_id, doc_id, lang, source, n_chars, text, 1 AS kind FROM documents WHERE doc_id % 59 = 0
+  UNION ALL SELECT -4 * doc_id - 2 AS post_id, doc_id, lang, source, n_chars, text, 2 AS kind FROM documents WHERE doc_id % 29 = 0
+  UNION ALL SELECT -4 * doc_id - 3 AS post_id, doc_id, lang, source, n_chars, text, 3 AS kind FROM documents WHERE doc_id % 31 = 0
+) AS d
 """
 
 VOCAB = """

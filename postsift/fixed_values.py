@@ -172,9 +172,9 @@ BOOSTERS_UP = (
     "uber", "unbelievably", "unusually", "utter", "utterly", "very",
 )
 BOOSTERS_DOWN = (
-    "almost", "barely", "hardly", "just enough", "kind of", "kinda", "kindof", "kind-of",
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of",
     "less", "little", "marginal", "marginally", "occasional", "occasionally", "partly",
-    "scarce", "scarcely", "slight", "slightly", "somewhat", "sort of", "sorta", "sortof",
+    "scarce", "scarcely", "slight", "slightly", "somewhat", "sorta", "sortof",
     "sort-of",
 )
 NEGATIONS = (

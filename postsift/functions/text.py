@@ -17,6 +17,9 @@ from postsift import fixed_values as fv
 # (?U) makes \w \d \s \b Unicode-aware, (?d) makes "." stop at \n only.
 UNICODE = "(?Ud)"
 UNICODE_ANY_CASE = "(?iUd)"
+#: A letter, number or underscore. Java's Unicode \w takes combining marks too, which end a word here.
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+WORD_BORDER = rf"(?:(?<!{WORD_CHARACTER})(?={WORD_CHARACTER})|(?<={WORD_CHARACTER})(?!{WORD_CHARACTER}))"
 
 
 def remap_label(col: Column, mapping: Mapping[str, str], other_to: str | None = None) -> Column:
@@ -40,7 +43,7 @@ def _unstable_characters() -> str:
     """Character class of everything NFC may change, derived from the Unicode tables."""
     points = [
         cp
-        for cp in (*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x2F800, 0x2FA20))
+        for cp in (*range(0x80, 0xD800), *range(0xE000, 0x110000))
         if unicodedata.normalize("NFC", chr(cp)) != chr(cp)
     ]
     runs: list[list[int]] = []
@@ -74,7 +77,7 @@ def strip_urls(col: Column) -> Column:
 
 
 def strip_handles(col: Column) -> Column:
-    return F.regexp_replace(col, "(?U)" + fv.HANDLE, "")
+    return F.regexp_replace(col, fv.HANDLE.replace(r"\w", WORD_CHARACTER), "")
 
 
 def mask_numbers(col: Column) -> Column:
@@ -123,7 +126,7 @@ def mask_terms(
     for term in terms:
         by_letter.setdefault(term[0], []).append(re.escape(term[1:]))
     branches = "|".join(f"{re.escape(c)}(?:{'|'.join(r)})" for c, r in by_letter.items())
-    return F.regexp_replace(col, rf"{UNICODE_ANY_CASE}\b(?:{branches})\b", token)
+    return F.regexp_replace(col, rf"{UNICODE_ANY_CASE}{WORD_BORDER}(?:{branches}){WORD_BORDER}", token)
 
 
 def first_person_count(col: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift import fixed_values as fv
+from postsift.functions.text import WORD_BORDER
 
 
 def _split_blank(col: Column) -> Column:
@@ -28,7 +29,7 @@ def sentiment_tokens(col: Column) -> Column:
 
 def word_tokens(col: Column) -> Column:
     """Words of two or more ASCII letters or square brackets, with Unicode word borders."""
-    return F.regexp_extract_all(F.lower(col), F.lit("(?U)" + fv.WORD_TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(col), F.lit(fv.WORD_TOKEN.replace(r"\b", WORD_BORDER)), F.lit(0))
 
 
 def word_ngrams(tokens: Column, lowest: int = 1, highest: int = 2) -> Column:

@@ -5,6 +5,7 @@ A filter nulls the post of a rejected row; `drop_incomplete` removes rows afterw
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from postsift import fixed_values as fv
 from postsift.functions import text as tx
 from postsift.sources.staging import pin
 
+#: So many hot text hashes at most are broadcast, 24 MB.
+MAX_HOT = 1_000_000
 NOISE_REASONS = ("deleted", "short", "bot", "moderator", "spam", "duplicated")
 
 
@@ -28,9 +31,8 @@ def nullify_when(df: DataFrame, pred: Column, cols: Sequence[str]) -> DataFrame:
 
 def is_deleted(col: Column) -> Column:
     """Blank or a placeholder. One anchored match, so long texts are not copied."""
-    return F.coalesce(
-        col.rlike(r"(?iUd)^\s*+(?:\[removed\]|\[deleted\]|nan)?\s*+\z"), F.lit(True)
-    )
+    texts = "|".join(re.escape(t) for t in fv.DELETED_TEXTS if t)
+    return F.coalesce(col.rlike(rf"(?iUd)^\s*+(?:{texts})?\s*+\z"), F.lit(True))
 
 
 def is_short(col: Column, min_words: int = fv.MIN_WORDS) -> Column:
@@ -70,15 +72,15 @@ def is_duplicate(
     col: str = "post",
     flag: str = "is_duplicate",
     key: str = "post_id",
-    hot_share: float = 1e-3,
+    hot_copies: int = 100_000,
 ) -> DataFrame:
     """Add `flag`: another row has exactly the same text. Null and blank are one text.
 
     Copies are counted by text hash with a map-side combine, so a group of any size arrives as one
     row per task. The repeated hashes are written out. Where they fit a broadcast by file size no
-    post is shuffled at all. Otherwise hashes that hold more than `hot_share` of the rows - at most
-    1 / `hot_share` of them, a proven bound - are broadcast, and their rows get a random-like join
-    key of their own, so that no task receives a whole group of copies.
+    post is shuffled at all. Otherwise hashes with more than `hot_copies` rows are broadcast, if
+    there are at most MAX_HOT of them (24 bytes each), and their rows get a random-like join key of
+    their own, so that no task receives a whole group of copies.
     """
     counted = (
         df.select(*_text_key(F.col(col)))
@@ -87,14 +89,13 @@ def is_duplicate(
         .filter("copies > 1")
     )
     repeated = pin(counted, "repeated")
-    rows = repeated.agg(F.sum("copies")).first()[0] or 0
-    limit = max(1, int(rows * hot_share))
-    hot = repeated.filter(F.col("copies") > limit).select("k1", "k2", F.lit(True).alias("hot"))
-    cold = repeated.filter(F.col("copies") <= limit).select(
+    hot = repeated.filter(F.col("copies") > hot_copies).select("k1", "k2", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot) if hot.count() <= MAX_HOT else hot
+    cold = repeated.filter(F.col("copies") <= hot_copies).select(
         F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.lit(True).alias("cold")
     )
     k1, k2 = _text_key(F.col(col))
-    keyed = df.withColumns({"k1": k1, "k2": k2}).join(F.broadcast(hot), ["k1", "k2"], "left")
+    keyed = df.withColumns({"k1": k1, "k2": k2}).join(hot, ["k1", "k2"], "left")
     # A hot row needs no partner any more: it is spread by its own id and finds none.
     j1 = F.when(F.col("hot"), F.xxhash64(key)).otherwise(F.col("k1"))
     j2 = F.when(F.col("hot"), F.lit(None)).otherwise(F.col("k2"))

@@ -131,9 +131,8 @@ def chi2_scores(weights: DataFrame, labels: DataFrame, label: str, key: str = "p
 
 
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
-    """The k terms with the highest score (to 6 digits), ties in term order."""
-    rounded = scores.select("term", F.round("chi2", 6).alias("chi2"))
-    return rounded.orderBy(F.desc("chi2"), "term").limit(k)
+    """The k terms with the highest score, ties in term order."""
+    return scores.select("term", "chi2").orderBy(F.desc("chi2"), "term").limit(k)
 
 
 def max_abs(weights: DataFrame) -> DataFrame:

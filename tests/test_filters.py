@@ -20,15 +20,15 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
-@pytest.mark.parametrize("hot_share", [1e-3, 0.1, 1.0])
-def test_duplicates_with_a_hot_group(spark, threshold, hot_share):
+@pytest.mark.parametrize("hot_copies", [1, 5, 100_000])
+def test_duplicates_with_a_hot_group(spark, threshold, hot_copies):
     df, rows = skewed(spark)
     counts = Counter(t or "" for _, t in rows)
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, threshold)
     try:
-        got = fl.is_duplicate(df, hot_share=hot_share).collect()
+        got = fl.is_duplicate(df, hot_copies=hot_copies).collect()
     finally:
         spark.conf.set(key, before)
     assert len(got) == len(rows)

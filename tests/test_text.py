@@ -33,6 +33,8 @@ SAMPLES = [
     "My mom has been diagnosed. I feel\rsad\nI was there",
     "me!me?me\nme mine's my-self MYSELF",
     "[num] a[num]b é[num] ab x",
+    "@हिन्दी ok #नमस्ते",
+    "\U0001D15E \U0001D1BB plain",
 ]
 
 
@@ -56,22 +58,21 @@ def test_numbers_urls_handles(spark):
     assert column(spark, tx.strip_handles) == model(lambda t: re.sub(fv.HANDLE, "", t))
 
 
-def test_mask_terms_keeps_list_order(spark):
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, fv.MASKED_TERMS)) + r")\b", re.I)
-    assert column(spark, tx.mask_terms) == model(lambda t: pattern.sub("[MH]", t))
-    assert "[MH] disorder" in column(spark, tx.mask_terms)[7]
+def values(spark, fn, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r[1] for r in df.select("i", fn(F.col("t")).alias("v")).orderBy("i").collect()]
 
 
-def rate(t):
-    if not t.strip():
-        return 0.0
-    sentences = [s for s in re.split(r"[.!?\n]+", t.lower()) if s.strip()]
-    hits = sum(w in fv.FIRST_PERSON for s in sentences for w in s.split())
-    return hits / (len(sentences) or 1)
+def test_mask_terms_by_hand(spark):
+    assert values(
+        spark, tx.mask_terms, "bipolar disorder", "please ADD it", "r/Depressions", "r/depression self-harm", "cutting-edge", None
+    ) == ["[MH] disorder", "please [MH] it", "r/Depressions", "[MH] [MH]", "[MH]-edge", None]
 
 
-def test_first_person_rate(spark):
-    assert column(spark, tx.first_person_rate) == model(rate, 0.0)
+def test_first_person_rate_by_hand(spark):
+    assert values(
+        spark, tx.first_person_rate, "I know me. My", "", None, "   ", "me!me?me\nme mine's my-self MYSELF", "No one here.", "I. My!"
+    ) == [1.5, 0.0, 0.0, 0.0, 1.25, 0.0, 1.0]
 
 
 def test_word_count_and_short(spark):
@@ -101,12 +102,11 @@ def test_deleted(spark):
     )
 
 
-def test_disclosure(spark):
-    def says(t):
-        hit = any(re.search(p, t, re.I) for p in fv.DISCLOSURE_INCLUDE)
-        return hit and not any(re.search(p, t, re.I) for p in fv.DISCLOSURE_EXCLUDE)
-
-    assert column(spark, fl.is_self_disclosure) == model(says)
+def test_disclosure_by_hand(spark):
+    got = values(
+        spark, fl.is_self_disclosure, "I feel hopeless", "My mom has been diagnosed. I feel sad", "A study found that", "", "plain prose"
+    )
+    assert got == [True, False, False, False, False]
 
 
 def test_contractions_keep_case(spark):
@@ -118,9 +118,8 @@ def test_contractions_keep_case(spark):
 def test_word_tokens(spark):
     pattern = re.compile(r"(?u)" + fv.WORD_TOKEN)
     got = column(spark, tk.word_tokens)
-    # Python takes no combining mark as a word character; the decomposed sample is left out.
     for i, t in enumerate(SAMPLES):
-        if t is not None and i != 11:
+        if t is not None:
             assert got[i] == pattern.findall(t.lower())
 
 
