@@ -18,6 +18,7 @@ SCORABLE_WORDS = 3
 LINEAR_TRIALS = 30
 FLAT_BOOST_TRIALS = 50
 META_BOOST_TRIALS = 75
+BOOST_PATIENCE = 20
 
 # --- forum name -> label --------------------------------------------------------------
 LABELS = {

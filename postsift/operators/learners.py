@@ -201,20 +201,34 @@ def _fit_boosted(
     def fit(i: int) -> GBTClassificationModel:
         keep = [features] + ([valid] if valid else [])
         side = df.select(*keep, (F.col(label) == i).cast("double").alias("_y"))
+        train = side.filter(~F.col(valid)) if valid else side
         learner = GBTClassifier(
             featuresCol=features, labelCol="_y", maxIter=int(p["n_estimators"]),
             stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
             minInstancesPerNode=int(p["min_child_samples"]), subsamplingRate=float(p["subsample"]),
             featureSubsetStrategy=_share_text(p["colsample_bytree"]), seed=seed,
         )
+        model = learner.fit(train)
         if valid:
-            # Boosting stops when the held-out loss no longer improves.
-            learner = learner.setValidationIndicatorCol(valid)
-        return learner.fit(side)
+            rounds = best_round(model.evaluateEachIteration(side.filter(F.col(valid))))
+            if rounds < int(p["n_estimators"]):
+                model = learner.setMaxIter(rounds).fit(train)
+        return model
 
     return OneVsRest(_per_class(n_classes, fit, parallelism), "boost", features)
 
 
+def best_round(losses: Sequence[float], patience: int = fv.BOOST_PATIENCE) -> int:
+    """The round of least held-out loss before `patience` rounds without a new least one; from 1 on."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def _share_text(share: float) -> str:
     return "all" if share >= 1.0 else f"{share:.4f}"
 

@@ -128,9 +128,11 @@ class FlatModel:
     def features(self, df: DataFrame) -> DataFrame:
         return flat_features(df, self.terms, self.scaling, self.lexicons)
 
-    def score(self, df: DataFrame, model: str = "logistic", top: int = 8) -> DataFrame:
-        """(post_id, text) to label, probabilities and risk by one of the three models."""
-        scored = self.models[model].scores(self.features(df))
+    def score(self, df: DataFrame, clean: bool = True, top: int = 8, model: str = "logistic") -> DataFrame:
+        """label, confidence, probabilities, top labels, display name and risk level per post, by one
+        of the three models. Training texts were cleaned, so `clean` is the default."""
+        text = tx.clean_text(F.col("text")) if clean else tx.blank_if_null(F.col("text"))
+        scored = self.models[model].scores(self.features(df.select("post_id", text.alias("text"))))
         return present(scored.select("post_id", "p"), self.labels, top=top)
 
     def save(self, path: str) -> None:

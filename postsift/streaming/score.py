@@ -17,11 +17,12 @@ from postsift.operators.filters import scorable
 
 def score_stream(
     model: Any, stream: DataFrame, out: str, checkpoint: str, min_words: int = fv.SCORABLE_WORDS,
-    clean: bool = True,
+    clean: bool = True, trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Score (post_id, text) and write one Parquet folder per batch below `out`.
 
     A batch that runs again after a failure overwrites its own folder, so no row comes out twice.
+    `trigger` are the arguments of the writer's trigger, by default all that has arrived so far.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -32,6 +33,6 @@ def score_stream(
     return (
         stream.writeStream.foreachBatch(one)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -152,8 +152,8 @@ def test_flat_model_round_trip(spark, rows, lex, tmp_path):
     tr.save_model(model, str(tmp_path / "flat"))
     loaded = tr.load_model(spark, str(tmp_path / "flat"))
     texts = rows.select("post_id", "text").filter("post_id < 40")
-    a = {r["post_id"]: r["label"] for r in model.score(texts, "svm").collect()}
-    assert a == {r["post_id"]: r["label"] for r in loaded.score(texts, "svm").collect()}
+    a = {r["post_id"]: r["label"] for r in model.score(texts, model="svm").collect()}
+    assert a == {r["post_id"]: r["label"] for r in loaded.score(texts, model="svm").collect()}
     text = ev.report_text(model.reports["svm"], model.labels)
     assert "macro avg" in text and "other" in text
 
