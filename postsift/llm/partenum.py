@@ -43,7 +43,11 @@ from postsift.sources.staging import pin
 _U = np.uint64
 WEAK = 1
 SPARE = 0.12
-PIVOTS = 16
+PIVOTS = 64
+#: First turns in which a pivot is held against its nearest member only.
+NEAREST_TURNS = 2
+#: Pivots that a member of a group meets at once.
+CHUNK = 32
 #: Keys of dropped documents up to this number are broadcast, about 16 MB.
 BROADCAST_KEYS = 1_000_000
 _SEEDS = seeded("partenum", 8)
@@ -172,10 +176,10 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     info = found.filter("kind = 0").select(F.col("a").alias("id"), "n", "bits", F.col("t"))
     groups = pin(found.filter("kind = 2").select(F.col("b").alias("gid"), F.col("a").alias("id")).distinct(), "groups")
     pairs = found.filter("kind = 1").select("a", "b").distinct()
-    links = pin(_verify(pairs, info, size, percent), "links")
-    checked, reach = [pairs], PIVOTS
+    edges = pin(_verify(pairs, info, size, percent), "links")
+    checked, reach, turn = [pairs], 0, 0
     while True:
-        labels = pin(components(links), "components")
+        labels = pin(components(edges), "components")
         at = groups.join(labels, groups.id == labels.node, "left").select(
             "gid", "id", F.coalesce("component", "id").alias("c")
         )
@@ -183,23 +187,23 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
         counts = at.groupBy("gid", "c").agg(F.count(F.lit(1)).alias("members"))
         mixed = counts.groupBy("gid").agg(
             F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "c")).alias("most"), F.sum("members").alias("m")
-        ).filter("parts > 1").select("gid", F.col("most.c").alias("most"), "m")
+        ).filter("parts > 1").select("gid", F.col("most.c").alias("most"), (F.col("m") - F.col("most.members")).alias("others"))
         mixed = pin(at.join(mixed, "gid"), "mixed")
-        top = mixed.agg(F.max("m")).first()[0]
-        if top is None or reach > 4 * top:
+        top = mixed.agg(F.max("others")).first()[0]
+        if top is None or reach >= top:
             break
-        # Each pair of components of a group has a side that is not the largest one: pivots are of those.
-        turn = F.pmod(F.xxhash64("gid", "id"), F.col("m")) < reach
-        pivots = mixed.filter((F.col("c") != F.col("most")) & turn).select("gid", F.col("id").alias("p"), F.col("c").alias("pc"))
-        more = mixed.join(pivots, "gid").filter("c <> pc").select(
-            F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")
-        ).distinct()
+        # At first, each pivot is only held against its nearest member, which joins most of what is
+        # similar; then against all members that sizes and sketches allow.
+        turn += 1
+        nearest = turn <= NEAREST_TURNS
+        reach = 0 if nearest else max(PIVOTS, 8 * reach)
+        more = _near_members(mixed, info, max(reach, PIVOTS), percent, nearest)
         for old in checked:
             more = more.join(old, ["a", "b"], "left_anti")
         more = pin(more, "pairs")
         checked.append(more)
-        links = links.unionByName(pin(_verify(more, info, size, percent), "links"))
-        reach *= 4
+        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        edges = stars.unionByName(pin(_exact(more, info, size, percent), "links"))
     return info.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(
         labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -313,25 +317,97 @@ def _found(kind, a, b, n, bits, t) -> pa.Table:
     })
 
 
+def _known(info: DataFrame) -> DataFrame:
+    return info.filter("t is not null and id is not null")
+
+
+def _near(na: np.ndarray, nb: np.ndarray, bits_a: pa.Array, bits_b: pa.Array, at_a: np.ndarray, at_b: np.ndarray,
+          percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and sketches allow that two sets are similar enough, for pairs of places in `bits`,
+    and the distances of the sketches."""
+    keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    bound = (na + nb) * (100 - percent) // (100 + percent)
+    (data_a, off_a), (data_b, off_b) = text_buffer(bits_a), text_buffer(bits_b)
+    size_a, size_b = np.diff(off_a)[at_a], np.diff(off_b)[at_b]
+    left, distance = np.flatnonzero(keep), np.zeros(len(keep), np.int64)
+    kinds = size_a[left] * (1 << 32) + size_b[left]
+    for kind in np.unique(kinds):
+        mine = left[kinds == kind]
+        wide, narrow = int(kind >> 32), int(kind & 0xFFFFFFFF)
+        for lo in range(0, len(mine), max(1, (1 << 22) // max(wide, narrow, 1))):
+            part = mine[lo : lo + max(1, (1 << 22) // max(wide, narrow, 1))]
+            x = data_a[off_a[at_a[part]][:, None] + np.arange(wide)]
+            y = data_b[off_b[at_b[part]][:, None] + np.arange(narrow)]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]  # the bitmaps of half the bits
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            distance[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return keep & (distance <= bound), distance
+
+
 def _verify(pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    rows = info.filter("t is not null and id is not null")
-    small = rows.select("id", "n", "bits")
-    both = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b").filter(
-        f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    )
+    small = _known(info).select("id", "n", "bits")
+    both = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
 
     def near(batches):
         for batch in batches:
-            na, nb = int64_column(batch.column(2)), int64_column(batch.column(3))
-            bound = (na + nb) * (100 - percent) // (100 + percent)
-            keep = [
-                sketch_distance(x, y) <= k
-                for x, y, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), bound.tolist())
-            ]
+            every = np.arange(batch.num_rows)
+            keep, _ = _near(
+                int64_column(batch.column(2)), int64_column(batch.column(3)), batch.column(4), batch.column(5), every, every, percent
+            )
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    near_pairs = both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+    return _exact(both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long"), info, size, percent)
+
+
+def _near_members(mixed: DataFrame, info: DataFrame, reach: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of members of different components of a group that sizes and sketches allow.
+
+    Each pair of components of a group has a side that is not the largest one: pivots are of those,
+    about `reach` of a group. They are put in chunks, and every member meets whole chunks, so that
+    only pairs that may be similar become rows; with `nearest`, only the best of each pivot and batch."""
+    member = mixed.join(_known(info).select("id", "n", "bits"), "id")
+    pivot = F.struct("id", "c", "n", "bits")
+    turn = F.pmod(F.xxhash64("gid", "id"), F.col("others")) < reach
+    # Long sketches make smaller chunks.
+    chunks = F.ceil(F.least(F.col("others"), F.lit(reach)) * F.greatest(F.lit(1), F.length("bits") / 256) / CHUNK)
+    chunk = F.pmod(F.xxhash64("id", "gid"), chunks)
+    pivots = member.filter((F.col("c") != F.col("most")) & turn).groupBy("gid", chunk.alias("chunk")).agg(
+        F.collect_list(pivot).alias("pivots")  # CHUNK of them or less
+    )
+    rows = member.join(pivots, "gid").select("id", "c", "n", "bits", "pivots")
+
+    def near(batches):
+        for batch in batches:
+            lists = batch.column(4)
+            pivots, ends = lists.flatten(), lists.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            of = np.arange(len(row))
+            p, ids = (int64_column(x) for x in (pivots.field("id"), batch.column(0)))
+            cross = int64_column(pivots.field("c")) != int64_column(batch.column(1))[row]
+            row, of = row[cross], of[cross]
+            # A pair may come from several groups of the batch.
+            both = np.stack([np.maximum(ids[row], p[of]), np.minimum(ids[row], p[of])], axis=1)
+            both, first = np.unique(both, axis=0, return_index=True)
+            row, of = row[first], of[first]
+            n, pn = int64_column(batch.column(2)), int64_column(pivots.field("n"))
+            keep, distance = _near(n[row], pn[of], batch.column(3), pivots.field("bits"), row, of, percent)
+            if nearest and len(both):
+                order = np.lexsort((distance, p[of]))
+                order = order[keep[order]]
+                best = np.unique(p[of][order], return_index=True)[1]
+                keep = np.zeros(len(keep), bool)
+                keep[order[best]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(both[keep, i]) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(near, "a long, b long").distinct()
+
+
+def _exact(near_pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    rows = _known(info)
     texts = rows.select("id", "t")
     joined = near_pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
