@@ -2,9 +2,9 @@
 
 Grades are ordered; one weight per hashed feature is shared by all of them and ordered thresholds
 separate them: P(grade <= k) = logistic(threshold_k - score). A text's score is the sum of the
-weights of its distinct features: lower-cased words, the last two characters of words that end in
-no letter, and bands of four measures (share of distinct words, of capitals, of symbols, mean word
-length). The expected grade and the probability of the best grade follow from score and thresholds.
+weights of its distinct features: lower-cased words, with and without punctuation, the last two characters of
+words that end in a symbol, and bands of five measures (share of distinct words, of capitals, of
+symbols, mean word length, number of words). The expected grade and the probability of the best grade follow from score and thresholds.
 
 Null and empty texts have only the measure features, so they get a grade as any other text.
 Repeated rows are graded alike. Without labelled rows the model is flat: all grades are as likely.
@@ -25,8 +25,10 @@ from postsift.llm.common import row_slices, text_buffer
 FEATURES = 1 << 18
 #: About so many labelled rows, drawn by a hash of the key, are the training sample.
 LABELLED_ROWS = 16_000
-#: Hashed words of fewer sampled texts than this keep weight 0.
+#: Hashed words of fewer sampled texts than this, or whose counts in all grades are within so many
+#: standard deviations of chance, keep weight 0.
 LEAST_TEXTS = 3
+LEAST_Z = 4.0
 #: Least probability of the best grade with which a text is kept.
 KEEP = 0.5
 
@@ -41,13 +43,15 @@ _SYMBOL[[0x20, *range(0x09, 0x0E), *b".,;:'\"?-()", *range(ord("0"), ord("9") +
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers and their rows, sorted by row."""
     n = len(offsets) - 1
+    plain_starts, plain_ends, plain_rows = words.spans(data, offsets, words.PLAIN_SPACE)
+    plain = words.hashes(data, plain_starts, plain_ends)
     starts, ends, rows = words.spans(data, offsets)
     word = words.hashes(data, starts, ends)
     odd = np.flatnonzero(_SYMBOL[data[ends - 1]]) if len(ends) else np.empty(0, np.int64)
     ending = words.hashes(data, np.maximum(starts[odd], ends[odd] - 2), ends[odd], "ending")
     shift = np.uint64(46)
-    every = np.concatenate([word >> shift, ending >> shift]).astype(np.int64)
-    owner = np.concatenate([rows, rows[odd]])
+    every = np.concatenate([word >> shift, plain >> shift, ending >> shift]).astype(np.int64)
+    owner = np.concatenate([rows, plain_rows, rows[odd]])
     keys = np.unique(owner * FEATURES + every)
 
     count = np.bincount(rows, minlength=n)
@@ -120,8 +124,14 @@ def train(y: np.ndarray, bags: list[np.ndarray], grades: int, seed: int, epochs:
     weights = np.zeros(FEATURES)
     if not len(y):
         return OrdinalModel(weights, np.log(np.arange(1, grades) / (grades - np.arange(1, grades))))
-    seen = np.bincount(np.concatenate(bags), minlength=FEATURES)
-    usable = seen >= LEAST_TEXTS
+    # Only features that a grade has more or less often than chance explains: the others are noise.
+    flat, grade_of = np.concatenate(bags), np.repeat(y, [len(b) for b in bags])
+    seen, usable = np.bincount(flat, minlength=FEATURES), np.zeros(FEATURES, bool)
+    for k in range(grades):
+        prior = (y == k).mean()
+        spread = np.sqrt(np.maximum(seen * prior * (1 - prior), 1e-9))
+        usable |= np.abs(np.bincount(flat[grade_of == k], minlength=FEATURES) - seen * prior) >= LEAST_Z * spread
+    usable &= seen >= LEAST_TEXTS
     usable[:100] = True
     bags = [b[usable[b]] for b in bags]
     below = np.clip(np.array([(y <= k).mean() for k in range(grades - 1)]), 0.01, 0.99)
