@@ -129,23 +129,28 @@ def shared_keys(parts: DataFrame, keys_of: Callable, n: int) -> DataFrame:
 
     Keys of 64 bits are dealt to `n` buckets by value. A block sends each of its keys once, so a key
     that a third of all rows have costs one entry per block; a bucket answers with one bit per key,
-    in the order of the block's sorted keys.
+    in the order of the block's sorted keys. Of a key, 40 bits of its place in the bucket are sent:
+    two keys that agree in them are both called shared, about one of a million.
     """
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         keys, several = block_keys(table, keys_of)
         buckets, at = by_bucket(keys, n)
+        with np.errstate(over="ignore"):
+            place = (keys * _U(n)) >> _U(24)
         full = np.flatnonzero(at[1:] > at[:-1])
         return pa.table({
             "bucket": pa.array(buckets[full], pa.int32()),
             "block": pa.array(np.full(len(full), block), pa.int32()),
-            "keys": packed([keys[at[b] : at[b + 1]] for b in full]),
+            "low": packed([place[at[b] : at[b + 1]].astype(np.uint32) for b in full]),
+            "high": packed([(place[at[b] : at[b + 1]] >> _U(32)).astype(np.uint8) for b in full]),
             "several": packed([np.packbits(several[at[b] : at[b + 1]]) for b in full]),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        keys, at = unpacked(table.column("keys"), _U)
+        low, at = unpacked(table.column("low"), np.uint32)
+        keys = low.astype(_U) | (unpacked(table.column("high"), np.uint8)[0].astype(_U) << _U(32))
         flags = [np.unpackbits(np.frombuffer(s, np.uint8), count=int(at[i + 1] - at[i]))
                  for i, s in enumerate(table.column("several").to_pylist())]
         several = np.concatenate([np.empty(0, np.uint8), *flags]).astype(bool)
@@ -162,7 +167,7 @@ def shared_keys(parts: DataFrame, keys_of: Callable, n: int) -> DataFrame:
             "shared": packed([np.packbits(back[at[i] : at[i + 1]]) for i in range(len(at) - 1)]),
         })
 
-    sent = parts.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, several binary")
+    sent = parts.groupBy("block").applyInArrow(send, "bucket int, block int, low binary, high binary, several binary")
     return sent.groupBy("bucket").applyInArrow(answer, "block int, bucket int, shared binary")
 
 
