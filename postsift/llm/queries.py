@@ -59,7 +59,19 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", F.round("score", 6).alias("score"), "rejected")
 
 
-@query("op7_warc_bundles")
+@query("op7_warc_bundles", """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+named AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), '') AS b32,
+    min(page_id) OVER (PARTITION BY h, n) AS first
+  FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM named
+""")
 def op7_warc_bundles(spark, sf_dir):
     from pyspark.sql import functions as F
 
