@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -19,7 +21,7 @@ from postsift import fixed_values as fv
 from postsift.operators import lexicon as lx
 from postsift.operators import vectorize as vz
 from postsift.sources import readers as rd
-from postsift.sources.staging import pin
+from postsift.sources.staging import pin, shared_dir
 
 TOKENS = f"""
 SELECT post_id, unnest(list_filter(regexp_split_to_array(
@@ -40,16 +42,15 @@ def read_emotion_lexicon(spark, sf_dir):
     return rd.emotion_table(emotion_rows(spark, sf_dir))
 
 
-@query(
-    "read_vad_lexicon",
-    with_cte("vad_lex", "SELECT word[1:3] AS word, arg_max(valence, word) AS valence, "
-             "arg_max(arousal, word) AS arousal, arg_max(dominance, word) AS dominance "
-             "FROM vad_lex GROUP BY word[1:3]"),
-)
+@query("read_vad_lexicon", with_cte("vad_lex", "SELECT * FROM vad_lex"))
 def read_vad_lexicon(spark, sf_dir):
-    # Words cut to three letters repeat; the last word in order counts, as the last line does.
-    rows = vad_rows(spark, sf_dir).withColumn("line", F.col("word"))
-    return rd.last_per_word(rows.withColumn("word", F.substring("word", 1, 3)), "line")
+    """Each word stands in two files with other values; the file that comes last by name counts."""
+    root = f"{shared_dir(spark)}/postsift-out/vad-twice-{uuid.uuid4().hex}"
+    rows = vad_rows(spark, sf_dir).select("word", "valence", "arousal", "dominance")
+    other = rows.select("word", *[(1 - F.col(c)).alias(c) for c in fv.VAD])
+    other.write.csv(f"{root}/first", sep="\t")
+    rows.write.csv(f"{root}/second", sep="\t")
+    return rd.read_vad_lexicon(spark, f"{root}/*")
 
 
 # --- token joins ------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +35,15 @@ def read_posts(
 ) -> DataFrame:
     """Posts with `subreddit`, `post`, optional `author`; other columns ride along.
 
-    A CSV file has a header; quoted fields may hold line breaks and doubled quotes. Without
-    `post_id` the rows are keyed by content hash, which is stable over reruns and partitions.
+    A CSV file has a header, and `schema` picks and casts its columns by name, in any order; quoted
+    fields may hold line breaks and doubled quotes, so a CSV file is read by one task: write large
+    inputs as Parquet once. Without `post_id` the rows get one by `with_post_id` over all columns.
     """
     if fmt == "csv":
-        reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
-        df = missing_to_null((reader.schema(schema) if schema else reader).csv(path))
+        df = missing_to_null(spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path))
+        if schema:
+            picked = [f for f in schema.fields if f.name in df.columns]
+            df = df.select(*[F.col(f.name).cast(f.dataType) for f in picked])
     else:
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.format(fmt).load(path)
@@ -50,7 +53,7 @@ def read_posts(
     if "author" not in df.columns:
         df = df.withColumn("author", F.lit(None).cast("string"))
     if "post_id" not in df.columns:
-        raise ValueError(f"{path}: a unique post_id column is needed; see with_post_id()")
+        df = with_post_id(df, *df.columns)
     return df.withColumn("post_id", F.col("post_id").cast("long"))
 
 
@@ -61,8 +64,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def with_post_id(df: DataFrame, *natural_key: str) -> DataFrame:
-    """Add `post_id` as a 64-bit hash of columns that identify a post (for example url, time)."""
-    return df.withColumn("post_id", F.xxhash64(*natural_key))
+    """Add `post_id` as a 64-bit hash of columns that identify a post (for example url, time).
+
+    Rows equal in all of them are numbered, so that their keys differ; the keys of a table are the
+    same on every run. About n^2 / 2^65 keys collide: from some 10^9 rows on give the rows a key of
+    their own, `assert_unique_key` tells.
+    """
+    once = F.xxhash64(*natural_key)
+    copy = F.row_number().over(Window.partitionBy(*natural_key).orderBy(once))
+    return df.withColumn("post_id", F.xxhash64(*natural_key, copy))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +112,15 @@ def last_per_word(rows: DataFrame, order: str) -> DataFrame:
 
 
 def read_vad_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated word, valence, arousal, dominance; of a repeated word the last line counts."""
+    """Tab-separated word, valence, arousal, dominance; of a repeated word the last line counts, over
+    several files in the order of their names."""
     rows = spark.read.csv(
         path, sep="\t", schema="word string, valence double, arousal double, dominance double"
     )
-    return last_per_word(rows.withColumn("line", F.monotonically_increasing_id()), "line")
+    place = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    )
+    return last_per_word(rows.withColumn("line", place), "line")
 
 
 def save_features(df: DataFrame, path: str) -> None:

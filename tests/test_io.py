@@ -22,6 +22,18 @@ def test_csv_with_line_breaks_quotes_and_missing(spark, tmp_path):
     ]
 
 
+def test_csv_binds_by_name_and_makes_keys(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_text("post,extra,author,subreddit\nhello there,x,bob,adhd\nsame,y,,lonely\nsame,y,,lonely\n")
+    read = [rd.read_posts(spark, str(path), "csv", rd.POSTS).collect() for _ in range(2)]
+    rows = sorted(read[0], key=lambda r: r["post"])
+    assert [(r["subreddit"], r["author"], r["post"]) for r in rows] == [
+        ("adhd", "bob", "hello there"), ("lonely", None, "same"), ("lonely", None, "same"),
+    ]
+    keys = [sorted(r["post_id"] for r in rows) for rows in read]
+    assert keys[0] == keys[1] and len(set(keys[0])) == 3
+
+
 def test_missing_column_is_named(spark, tmp_path):
     path = tmp_path / "posts.csv"
     path.write_text("post_id,subreddit\n1,adhd\n")
