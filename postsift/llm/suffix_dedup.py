@@ -32,6 +32,8 @@ from postsift.llm.words import powers, _BASE, _INVERSE
 LENGTH = 50
 GRAM = 16
 SLICE = 256_000
+#: A bucket sorts its stretches in so many shares, to hold only one of them as suffixes.
+SHARES = 16
 
 _U = np.uint64
 _BYTES = seeded("bytes", 256)
@@ -69,7 +71,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at))), value[first], row[at[first]]
+    # Least hashes are small numbers; scrambled, they fill all buckets alike.
+    return at[first], np.diff(np.append(first, len(at))), mix(value[first]), row[at[first]]
 
 
 def _documents(table: pa.Table) -> np.ndarray:
@@ -77,17 +80,17 @@ def _documents(table: pa.Table) -> np.ndarray:
 
 
 def _slices(table: pa.Table, length: int):
-    """(offset of the slice, its data, stretches) for all slices of a block, with block rows."""
+    """(rows of the slice, their data and offsets, stretches with block rows) for all slices of a block."""
     data, offsets = text_buffer(table.column("row_text"))
     for a, b in row_slices(offsets, SLICE):
-        part = data[offsets[a] : offsets[b]]
-        first, count, least, row = stretches(part, offsets[a : b + 1] - offsets[a], length)
-        yield offsets[a], part, first, count, least, row + a
+        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        first, count, least, row = stretches(part, own, length)
+        yield range(a, b), part, own, first, count, least, row + a
 
 
 def _keys(table: pa.Table, length: int):
     ids = _documents(table)
-    for _, _, _, _, least, row in _slices(table, length):
+    for _, _, _, _, _, least, row in _slices(table, length):
         yield least, ids[row]
 
 
@@ -105,20 +108,21 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _candidates(table: pa.Table, length: int, shared: np.ndarray):
-    """The stretches of a block with a shared hash: place in the block, strings, hash, name, row, bytes."""
-    for base, part, first, count, least, row in _slices(table, length):
+    """The stretches of a block with a shared hash: bytes, first string, strings, hash, name, row."""
+    for _, part, _, first, count, least, row in _slices(table, length):
         hit = contains(shared, least)
         first, count, least, row = first[hit], count[hit], least[hit], row[hit]
-        yield base, part, first, count, least, _names(part, first, count + length - 1), row
+        yield part, first, count, least, _names(part, first, count + length - 1), row
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text",
-                   with_text: bool = False) -> DataFrame:
+                   carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, one row per row of
-    `docs`; `with_text` adds kept_text, the remaining bytes read as UTF-8 (bytes of cut characters
-    are dropped from it; null stays null)."""
+    `docs`; `carry`, if given, adds kept_text, the remaining bytes read as UTF-8 (bytes of cut
+    characters are dropped from it; null stays null), and those columns as carried_0, carried_1, ..."""
     n = n_blocks(text_bytes(docs, text))
-    parts = blocks(docs, n, key, text)
+    more = [f"carried_{i}" for i in range(len(carry or []))]
+    parts = blocks(docs, n, key, text, **{name: docs[c] for name, c in zip(more, carry or [])})
     keys_of = functools.partial(_keys, length=length)
     answers = shared_keys(parts, keys_of, n)
 
@@ -127,7 +131,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         shared = shared_of_block(table, keys_of, answer, n)
         ids = _documents(table)
         names, least, sizes, owners, texts = [], [], [], [], []
-        for _, part, first, count, key_, name, row in _candidates(table, length, shared):
+        for part, first, count, key_, name, row in _candidates(table, length, shared):
             order = np.lexsort((ids[row], name))
             fresh = np.ones(len(order), bool)
             fresh[1:] = name[order][1:] != name[order][:-1]
@@ -146,9 +150,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         buckets, at = by_bucket(key_, n)
         full = np.flatnonzero(at[1:] > at[:-1])
         cut = lambda x: packed([x[at[b] : at[b + 1]] for b in full])
+        shares = np.diff(by_bucket(key_, n * SHARES)[1]).astype(np.int32).reshape(n, SHARES)
         return pa.table({
             "bucket": pa.array(buckets[full], pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32()),
-            "names": cut(name), "owners": cut(owner), "sizes": cut(size.astype(np.int32)),
+            "shares": packed(list(shares[full])), "names": cut(name), "owners": cut(owner), "sizes": cut(size.astype(np.int32)),
             "texts": packed([_gather(flat, first[at[b] : at[b + 1]], size[at[b] : at[b + 1]]) for b in full]),
         })
 
@@ -156,7 +161,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         names, at = unpacked(table.column("names"), _U)
         owners, sizes = unpacked(table.column("owners"), np.int64)[0], unpacked(table.column("sizes"), np.int32)[0].astype(np.int64)
         flat = text_buffer(table.column("texts"))[0]
-        bits = earlier(flat, sizes, names, owners, length)
+        strings = sizes - length + 1
+        start, first = np.cumsum(sizes) - sizes, np.cumsum(strings) - strings
+        shares = unpacked(table.column("shares"), np.int32)[0]
+        share = np.repeat(np.tile(np.arange(SHARES), len(shares) // SHARES), shares)
+        bits = np.zeros(int(strings.sum()), bool)
+        for i in range(SHARES):  # equal strings are in one share of the bucket
+            mine = np.flatnonzero(share == i)
+            if len(mine):
+                found = earlier(_gather(flat, start[mine], sizes[mine]), sizes[mine], names[mine], owners[mine], length)
+                size = strings[mine]
+                bits[np.arange(len(found)) + np.repeat(first[mine] - (np.cumsum(size) - size), size)] = found
         ends = np.concatenate(([0], np.cumsum(sizes - length + 1)))
         return pa.table({
             "block": table.column("block"), "names": table.column("names"), "owners": table.column("owners"),
@@ -165,7 +180,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         })
 
     def result(table: pa.Table, replies: pa.Table) -> pa.Table:
-        shared = None
         names, at = unpacked(replies.column("names"), _U)
         owners, counts = unpacked(replies.column("owners"), np.int64)[0], unpacked(replies.column("counts"), np.int32)[0].astype(np.int64)
         flags = [
@@ -177,51 +191,54 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         order = np.argsort(names)
         names, owners, starts = names[order], owners[order], starts[order]
         ids = _documents(table)
-        data, offsets = text_buffer(table.column("row_text"))
-        marks = np.zeros(len(data) + 1, np.int32)
-        for base, part, first, count, key_, name, row in _all_stretches(table, length):
-            hit = contains(names, name)
+        offsets = text_buffer(table.column("row_text"))[1]
+        total, spans = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        kept: list[bytes] = []
+        for rows, part, own, first, count, _, row in _slices(table, length):
+            hit = np.flatnonzero(contains(names, name := _names(part, first, count + length - 1)))
             first, count, row, name = first[hit], count[hit], row[hit], name[hit]
             place = np.searchsorted(names, name)
             ends = np.cumsum(count)
             owner = np.repeat(np.arange(len(count)), count)
             inner = np.arange(len(owner)) - np.repeat(ends - count, count)
-            gone = flags[starts[place][owner] + inner] | (ids[row] > owners[place])[owner]
-            string = base + first[owner[gone]] + inner[gone]
-            np.add.at(marks, string, 1)
-            np.add.at(marks, string + length, -1)
-        removed = np.cumsum(marks[:-1]) > 0
-        before = np.concatenate(([False], removed[:-1]))
-        before[offsets[:-1][offsets[:-1] < len(data)]] = False
-        total = np.concatenate(([0], np.cumsum(removed)))[offsets]
-        spans = np.concatenate(([0], np.cumsum(removed & ~before)))[offsets]
-        rows, kept = range(len(ids)), []
-        for i in rows:
-            lo, hi = offsets[i], offsets[i + 1]
-            kept.append(data[lo:hi][~removed[lo:hi]].tobytes())
+            gone = flags[starts[place][owner] + inner] | (ids[row] > owners[place])[owner] if len(owner) else np.zeros(0, bool)
+            string = first[owner[gone]] + inner[gone]
+            marks = np.bincount(string, minlength=len(part) + 1) - np.bincount(string + length, minlength=len(part) + 1)
+            removed = np.cumsum(marks[:-1]) > 0
+            for i, lo, hi in zip(rows, own[:-1], own[1:]):
+                flag = removed[lo:hi]
+                total[i] = flag.sum()
+                spans[i] = (flag[1:] & ~flag[:-1]).sum() + flag[:1].sum()
+                kept.append(part[lo:hi][~flag].tobytes())
         out = {
             "doc_id": table.column("row_key"), "n_bytes": pa.array(np.diff(offsets), pa.int64()),
-            "n_removed": pa.array(np.diff(total), pa.int64()), "n_spans": pa.array(np.diff(spans), pa.int64()),
+            "n_removed": pa.array(total, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
         }
-        if with_text:
+        if carry is not None:
             null = table.column("row_text").combine_chunks().is_null().to_pylist()
             out["kept_text"] = pa.array([None if z else k.decode(errors="ignore") for k, z in zip(kept, null)], pa.string())
+            out |= {c: table.column(c) for c in more}
         return pa.table(out)
 
     sent = parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        send, "bucket int, block int, names binary, owners binary, sizes binary, texts binary"
+        send, "bucket int, block int, shares binary, names binary, owners binary, sizes binary, texts binary"
     )
     replies = sent.groupBy("bucket").applyInArrow(judge, "block int, names binary, owners binary, counts binary, bits binary")
     return parts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-        + (", kept_text string" if with_text else "")
+        + (", kept_text string" if carry is not None else "")
+        + "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, carry or []))
     )
 
 
-def _all_stretches(table: pa.Table, length: int):
-    for base, part, first, count, least, row in _slices(table, length):
-        yield base, part, first, count, least, _names(part, first, count + length - 1), row
+def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with the remaining text of each row, all other columns as they are."""
+    others = [c for c in docs.columns if c not in (key, text)]
+    found = remove_repeats(docs, length, key, text, carry=others)
+    back = {key: found["doc_id"].cast(docs.schema[key].dataType), text: found["kept_text"]}
+    back |= {c: found[f"carried_{i}"] for i, c in enumerate(others)}
+    return found.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def earlier(flat: np.ndarray, sizes: np.ndarray, names: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
