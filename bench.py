@@ -17,7 +17,7 @@ from catalog.views import lexicons
 from postsift.session import local_session
 
 HEADLINE = (
-    "noise_report", "noise_filter", "clean_text", "clinical_report", "screen_and_split",
+    "noise_report", "noise_filter", "clean_text", "clinical_report", "screen", "screen_and_split",
     "stratified_folds", "term_counts", "tfidf", "select_k_best", "tfidf_char", "emotion_features",
     "vad_features", "category_features", "sentiment_compound", "psych_features",
     "classification_report", "ranked_distribution",

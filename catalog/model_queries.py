@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from catalog.feature_queries import ALL_TOKENS, EMOTION_SQL, TOKENS, VAD_SQL, _aggregate_sql
 from catalog.registry import query
 from catalog.text_queries import CLINICAL_OUT, SCREENED, clean_sql
 from catalog.views import (
@@ -33,11 +34,11 @@ from postsift.sources import readers as rd
 from postsift.sources import staging as st
 from postsift.streaming.score import score_stream
 
-# Sizes for the checked queries; the defaults of Config are the full ones.
-SMALL = tr.Config(
-    word_vocabulary=2000, char_vocabulary=2000, word_selected=300, char_selected=200,
-    linear_trials=0, boost_trials=0, linear_params={"max_iter": 10},
-    boost_params={"n_estimators": 3, "max_depth": 3, "min_child_samples": 5},
+# Vocabulary, selection and folds are those of the package. No search is run, linear models stop at
+# 100 iterations and the trees are few and shallow: a default search takes days on a small table.
+FULL = tr.Config(
+    linear_trials=0, boost_trials=0, linear_params={"max_iter": 100},
+    boost_params={"n_estimators": 20, "max_depth": 3, "min_child_samples": 5},
 )
 
 
@@ -153,8 +154,8 @@ def screen(spark, sf_dir):
 @lru_cache(maxsize=4)
 def _prepared(spark, sf_dir):
     """(labels, train rows with term vectors, fitted terms): shared by the learner queries."""
-    data = tr.split(rows(spark, sf_dir), SMALL, lower=True)
-    terms = tr.fit_terms(data.train, SMALL)
+    data = tr.split(rows(spark, sf_dir), FULL, lower=True)
+    terms = tr.fit_terms(data.train, FULL)
     vectors = terms.vectors(data.train, "text", "features")
     train = st.pin(data.train.drop("text").join(vectors, "post_id"), "train")
     return data, terms, train
@@ -162,7 +163,7 @@ def _prepared(spark, sf_dir):
 
 @lru_cache(maxsize=4)
 def _stacked(spark, sf_dir):
-    return tr.train_stacked(rows(spark, sf_dir), lexicons(spark, sf_dir), SMALL)
+    return tr.train_stacked(rows(spark, sf_dir), lexicons(spark, sf_dir), FULL)
 
 
 def _p(df, *cols):
@@ -178,29 +179,37 @@ def save_features(spark, sf_dir):
     return back.select("post_id", "label", F.size(vector_to_array("features")).alias("width"))
 
 
-@query("assemble")
+@query(
+    "assemble",
+    with_cte("posts emotion_lex vad_lex",
+             f"SELECT post_id, [{', '.join([*lx.emotion_names(), *lx.vad_names()])}] AS features "
+             "FROM emos JOIN vads USING (post_id)",
+             tokens=TOKENS, all_tokens=ALL_TOKENS, emos=_aggregate_sql(EMOTION_SQL, "emotion_lex"),
+             vads=_aggregate_sql(VAD_SQL, "vad_lex")),
+)
 def assemble(spark, sf_dir):
     df, lex = posts(spark, sf_dir), lexicons(spark, sf_dir)
     blocks = [lx.emotion_features(df, lex.emotion), lx.vad_features(df, lex.vad)]
-    return jn.assemble(blocks).select("post_id", vector_to_array("features").alias("features"))
+    features = F.transform(vector_to_array("features"), lambda x: F.round(x, 6) + F.lit(0.0))
+    return jn.assemble(blocks).select("post_id", features.alias("features"))
 
 
 @query("fit_logistic")
 def fit_logistic(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_logistic(train, max_iter=10).scores(train), "p")
+    return _p(ln.fit_logistic(train, **FULL.linear_params).scores(train), "p")
 
 
 @query("fit_linear_svm")
 def fit_linear_svm(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_linear_svm(train, max_iter=10).scores(train), "p")
+    return _p(ln.fit_linear_svm(train, **FULL.linear_params).scores(train), "p")
 
 
 @query("fit_boosted_flat")
 def fit_boosted_flat(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_boosted_flat(train, SMALL.boost_params).scores(train), "p")
+    return _p(ln.fit_boosted_flat(train, FULL.boost_params).scores(train), "p")
 
 
 @query("fit_boosted_meta")
@@ -210,14 +219,14 @@ def fit_boosted_meta(spark, sf_dir):
     feats = lx.vad_features(base, lexicons(spark, sf_dir).vad, "text")
     meta = jn.assemble([feats.join(base.select("post_id", "label"), "post_id")], out="meta", keep=["label"])
     meta = st.pin(meta, "meta")
-    return _p(ln.fit_boosted_meta(meta, SMALL.boost_params).scores(meta), "p")
+    return _p(ln.fit_boosted_meta(meta, FULL.boost_params).scores(meta), "p")
 
 
 @query("tune")
 def tune(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
     found = ln.tune(
-        train, lambda df, **p: ln.fit_logistic(df, max_iter=10, **p), ln.LOGISTIC_SPACE, 2, folds=2
+        train, lambda df, **p: ln.fit_logistic(df, **FULL.linear_params, **p), ln.LOGISTIC_SPACE, 2
     )
     return found.table(spark)
 
@@ -226,8 +235,8 @@ def tune(spark, sf_dir):
 def oof_stack(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
     learners = {
-        "logistic": lambda df: ln.fit_logistic(df, max_iter=10),
-        "svm": lambda df: ln.fit_linear_svm(df, max_iter=10),
+        "logistic": lambda df: ln.fit_logistic(df, **FULL.linear_params),
+        "svm": lambda df: ln.fit_linear_svm(df, **FULL.linear_params),
     }
     oof, _ = ln.oof_stack(train, learners)
     return _p(oof, "logistic", "svm")
@@ -237,7 +246,7 @@ def oof_stack(spark, sf_dir):
 def meta_features(spark, sf_dir):
     data, terms, train = _prepared(spark, sf_dir)
     bank = ln.LinearBank.of(
-        {"logistic": ln.fit_logistic(train, max_iter=10), "svm": ln.fit_linear_svm(train, max_iter=10)}
+        {"logistic": ln.fit_logistic(train, **FULL.linear_params), "svm": ln.fit_linear_svm(train, **FULL.linear_params)}
     )
     base = bank.scores(data.train.select("post_id"), terms.weights(data.train))
     psych = lx.psych_features(data.train, lexicons(spark, sf_dir), "text")
@@ -246,7 +255,7 @@ def meta_features(spark, sf_dir):
 
 @query("train_flat")
 def train_flat(spark, sf_dir):
-    model = tr.train_flat(rows(spark, sf_dir), lexicons(spark, sf_dir), SMALL)
+    model = tr.train_flat(rows(spark, sf_dir), lexicons(spark, sf_dir), FULL)
     named = [r.withColumn("model", F.lit(n)) for n, r in model.reports.items()]
     return sp.union_all(named)
 
