@@ -18,6 +18,7 @@ often as they occur. Without training texts all scores are those of the empty ba
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -109,17 +110,17 @@ def _bigrams(vocabulary: np.ndarray, code: np.ndarray, row: np.ndarray, counts:
     owner = np.repeat(hot, fan[hot])
     step = np.arange(len(owner)) - np.repeat(np.cumsum(fan[hot]) - fan[hot], fan[hot])
     named = np.unique(np.concatenate([first[pick], ((home[owner] + step) % n) * len(vocabulary) + owner]))
-    return first[pick], follower[pick], index, before, named
+    return first[pick], follower[pick], index, before, named, fan
 
 
 def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT,
           root: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of `docs`.
 
-    `train` is a boolean column: the rows that the model learns from. The tries stay under `root`
-    (by default a new folder of the shared one)."""
+    `train` is a boolean column: the rows that the model learns from. The tries stay under `root`, if
+    it is given; else each is removed from the shared folder when its bucket is done."""
     spark = docs.sparkSession
-    root = root or f"{shared_dir(spark)}/bigram-tries/{uuid.uuid4().hex}"
+    folder = root or f"{shared_dir(spark)}/bigram-tries/{uuid.uuid4().hex}"
     n = n_blocks(text_bytes(docs, text), BLOCK_BYTES)
     parts = blocks(docs, n, key, text, row_train=F.coalesce(train, F.lit(False)))
 
@@ -151,13 +152,14 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
         block = (table if table.num_rows else answers).column("block")[0].as_py()
         vocabulary, code, row, train_rows, _ = _vocabulary(table)
         counts, total, _ = _global_counts(vocabulary, answers, n)
-        first, follower, index, _, named = _bigrams(vocabulary, code, row, counts, total, n)
+        first, follower, index, _, named, fan = _bigrams(vocabulary, code, row, counts, total, n)
         here = np.bincount(index[train_rows[row]], minlength=len(first))
         sizes = np.diff(np.append(np.searchsorted(first, named), len(first)))
         edges = np.arange(n + 1) * len(vocabulary)
         at, to = np.searchsorted(named, edges), np.searchsorted(first, edges)
         context = vocabulary[named % max(len(vocabulary), 1)]
-        own = counts[named % max(len(vocabulary), 1)]
+        # A bucket with all followers of a context sums up its count itself.
+        own = np.where(fan > 1, counts, 0)[named % max(len(vocabulary), 1)]
         big = here > 254
         full = np.flatnonzero(at[1:] > at[:-1])
         by_context = lambda x: packed([x[at[b] : at[b + 1]] for b in full])
@@ -193,11 +195,15 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
         o, f = o[start], f[start]
         seen = count > 0
         o, f, count = o[seen], f[seen], count[seen]
+        own = np.zeros(len(which), np.int64)
+        np.add.at(own, o, count)
+        context_total = np.where(context_total > 0, context_total, own)
         codes = quantise((count - discount) / np.maximum(context_total[o], 1))
         buffer = BigramTrie.build(which, np.bincount(o, minlength=len(which)), f, codes, FOLLOWER_BITS)
-        trie = BigramTrie(_mapped(root, table.column("bucket")[0].as_py(), buffer))
-        rank, spread = trie.find(names)
-        found = trie.lookup(np.repeat(rank, sizes), follower, FOLLOWER_BITS)
+        with _mapped(folder, table.column("bucket")[0].as_py(), buffer, keep=root is not None) as mapped:
+            trie = BigramTrie(mapped)
+            rank, spread = trie.find(names)
+            found = trie.lookup(np.repeat(rank, sizes), follower, FOLLOWER_BITS)
         m = len(at) - 1
         return pa.table({
             "block": table.column("block"), "bucket": table.column("bucket"),
@@ -210,7 +216,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
         words_part = answers.filter(answers.column("spread").is_null())
         vocabulary, code, row, _, _ = _vocabulary(table)
         counts, total, n_types = _global_counts(vocabulary, words_part, n)
-        first, _, index, before, named = _bigrams(vocabulary, code, row, counts, total, n)
+        first, _, index, before, named, _ = _bigrams(vocabulary, code, row, counts, total, n)
         edges = np.arange(n + 1) * len(vocabulary)
         at, to = np.searchsorted(named, edges), np.searchsorted(first, edges)
         codes, followers = np.zeros(len(first), np.uint8), np.zeros(max(len(vocabulary), 1), np.int64)
@@ -248,7 +254,8 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
     )
 
 
-def _mapped(root: str, bucket: int, buffer: bytes) -> np.ndarray:
+@contextmanager
+def _mapped(root: str, bucket: int, buffer: bytes, keep: bool):
     """The trie as a file of the shared folder, mapped where that is a mounted one."""
     from pyarrow import fs
 
@@ -257,6 +264,11 @@ def _mapped(root: str, bucket: int, buffer: bytes) -> np.ndarray:
     name = f"{path}/{bucket}-{uuid.uuid4().hex}.trie"  # an attempt of its own name
     with system.open_output_stream(name, compression=None) as out:
         out.write(buffer)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(name, np.uint8, "r")
-    return np.frombuffer(system.open_input_file(name).read(), np.uint8)
+    try:
+        if isinstance(system, fs.LocalFileSystem):
+            yield np.memmap(name, np.uint8, "r")
+        else:
+            yield np.frombuffer(system.open_input_file(name).read(), np.uint8)
+    finally:
+        if not keep:
+            system.delete_file(name)
