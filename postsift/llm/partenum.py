@@ -45,7 +45,7 @@ WEAK = 1
 SPARE = 0.12
 PIVOTS = 64
 #: First turns in which a pivot is held against its nearest member only.
-NEAREST_TURNS = 2
+NEAREST_TURNS = 3
 #: Pivots that a member of a group meets at once.
 CHUNK = 32
 #: Keys of dropped documents up to this number are broadcast, about 16 MB.
@@ -197,7 +197,7 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
         turn += 1
         nearest = turn <= NEAREST_TURNS
         reach = 0 if nearest else max(PIVOTS, 8 * reach)
-        more = _near_members(mixed, info, max(reach, PIVOTS), percent, nearest)
+        more = _near_members(mixed, info, top if nearest else reach, percent, nearest)
         for old in checked:
             more = more.join(old, ["a", "b"], "left_anti")
         more = pin(more, "pairs")
