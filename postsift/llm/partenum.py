@@ -177,9 +177,11 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     groups = pin(found.filter("kind = 2").select(F.col("b").alias("gid"), F.col("a").alias("id")).distinct(), "groups")
     pairs = found.filter("kind = 1").select("a", "b").distinct()
     edges = pin(_verify(pairs, info, size, percent), "links")
-    checked, reach, turn = [pairs], 0, 0
+    checked, reach, top, turn = [pairs], 0, 1, 0
     while True:
         labels = pin(components(edges), "components")
+        if reach >= top:
+            break  # in the last turn, all members outside the largest components were pivots
         at = groups.join(labels, groups.id == labels.node, "left").select(
             "gid", "id", F.coalesce("component", "id").alias("c")
         )
@@ -190,7 +192,7 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
         ).filter("parts > 1").select("gid", F.col("most.c").alias("most"), (F.col("m") - F.col("most.members")).alias("others"))
         mixed = pin(at.join(mixed, "gid"), "mixed")
         top = mixed.agg(F.max("others")).first()[0]
-        if top is None or reach >= top:
+        if top is None:
             break
         # At first, each pivot is only held against its nearest member, which joins most of what is
         # similar; then against all members that sizes and sketches allow.
@@ -202,6 +204,9 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
             more = more.join(old, ["a", "b"], "left_anti")
         more = pin(more, "pairs")
         checked.append(more)
+        # Groups whose members were all pivots are done; those with others left out have a further turn.
+        done = mixed.filter(F.col("others") <= reach).select("gid").distinct()
+        groups = groups if nearest else pin(groups.join(done, "gid", "left_anti"), "groups")
         stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         edges = stars.unionByName(pin(_exact(more, info, size, percent), "links"))
     return info.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(

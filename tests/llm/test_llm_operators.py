@@ -239,6 +239,27 @@ def test_jaccard_join_equals_brute_force(spark, docs, rows, none, size, percent,
     assert partenum.similar_sets(none).count() == 0
 
 
+def test_members_that_were_no_pivots_are_checked_after_a_merge(spark, monkeypatch):
+    """A turn merges two large components of a group; pairs of members that were no pivots still link."""
+    rng = random.Random(17)
+    copies, made = _text(rng, 40), []
+    made += [(i, copies) for i in range(81)]
+    made += [(100 + 2 * i + side, text) for i, text in enumerate(_text(rng, 40) for _ in range(12)) for side in (0, 1)]
+    links = [(0, i) for i in range(1, 41)] + [(41, i) for i in range(42, 81)]
+    data = np.frombuffer("".join(t for _, t in made).encode(), np.uint8)
+    found, at = words.word_hashes(data, np.cumsum([0] + [len(t) for _, t in made]))
+    hashes, at = words.shingles(found, at, len(made), 3)
+    bits, sizes = partenum.sketches(hashes, at, len(made)), np.bincount(at, minlength=len(made)).tolist()
+    rows = [(0, k, None, n, b, t) for (k, t), n, b in zip(made, sizes, bits)]
+    rows += [(1, a, b, None, None, None) for a, b in links] + [(2, k, 7, None, None, None) for k, _ in made]
+    table = spark.createDataFrame(rows, "kind int, a long, b long, n long, bits binary, t string")
+    monkeypatch.setattr(partenum, "_find", lambda *a: table)
+    monkeypatch.setattr(partenum, "NEAREST_TURNS", 0)
+    monkeypatch.setattr(partenum, "PIVOTS", 24)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(map(tuple, partenum.similar_sets(docs).collect()), key=repr) == _plain_components(made, 3, 90)
+
+
 def test_partenum_signatures_lose_no_similar_pair():
     rng = random.Random(8)
     for percent in (80, 90):
