@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from postsift.sources.staging import pin
 
 PARTS = 256
-#: Pages of a host after which a text that never changed counts as part of the template.
+#: Different pages of a host after which a text that all of them have counts as part of the template.
 LEAST_PAGES = 5
+#: Different pages that a wrapper tells apart.
+DIFFERENT = 64
 REGION_SHARE = 0.6
 
 # Fixed values of HTML.
@@ -74,10 +76,10 @@ class Element:
     """An element: tag, label (tag and first class or id, digits as #), whether its name marks it as
     no part of an article, and its children, elements or texts."""
 
-    __slots__ = ("tag", "label", "dropped", "children")
+    __slots__ = ("tag", "label", "dropped", "children", "page")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.label = tag, [], tag
+        self.tag, self.children, self.label, self.page = tag, [], tag, None
         self.dropped = tag in DROPPED_TAGS
         if attributes and not attributes.isspace():
             found = {}
@@ -97,6 +99,7 @@ class Element:
 def parse(page: str) -> Element:
     """The element tree of a page, with unclosed and stray tags put right."""
     root = Element("html")
+    root.page = zlib.crc32(page.encode())
     stack, at, n = [root], 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -150,8 +153,9 @@ def _end(stack: list[Element], tags: set, within: set) -> None:
 
 # --- expressions ------------------------------------------------------------------------
 # An expression is a dict: l label, d dropped, o optional, r repeated, n pages, v characters of varying
-# prose below, s slot (checksum of the text, or null once texts differed), c children. A group of
-# children has the label "()".
+# prose below, s slot (checksum of the text, or null once texts differed), t pages that had a text in
+# the slot, c children. A group of children has the label "()". The root also has p, checksums of
+# different pages.
 
 
 def _text_sum(text: str) -> int:
@@ -160,19 +164,24 @@ def _text_sum(text: str) -> int:
 
 def expression(element: Element) -> dict:
     """The expression of one page's element."""
+    found = _expression(element)
+    return found if element.page is None else found | {"p": [element.page]}
+
+
+def _expression(element: Element) -> dict:
     children, text = [], []
     for child in element.children:
         if isinstance(child, str):
             if not child.isspace():
                 text.append(child)
         else:
-            children.append(expression(child))
+            children.append(_expression(child))
     slot = _text_sum(" ".join(text)) if text else False
     size = sum(map(len, text)) if not element.dropped else 0
     if not element.dropped:
         size += sum(c["v"] for c in children)
     return {"l": element.label, "d": element.dropped, "o": False, "r": False, "n": 1, "v": size, "s": slot,
-            "c": fold(children)}
+            "t": int(slot is not False), "c": fold(children)}
 
 
 def fold(children: list[dict]) -> list[dict]:
@@ -190,7 +199,7 @@ def fold(children: list[dict]) -> list[dict]:
             else:
                 pairs = zip(children[i : i + width], children[i + width : i + 2 * width])
                 merged = [merge(a, b, pages=False) for a, b in pairs]
-                whole = {"l": "()", "d": False, "o": False, "r": True, "n": 1, "v": sum(c["v"] for c in merged), "s": False, "c": merged}
+                whole = {"l": "()", "d": False, "o": False, "r": True, "n": 1, "v": sum(c["v"] for c in merged), "s": False, "t": 0, "c": merged}
                 end = i + 2 * width
                 while [c["l"] for c in children[end : end + width]] == group:
                     whole["c"] = [merge(a, b, pages=False) for a, b in zip(whole["c"], children[end : end + width])]
@@ -202,14 +211,19 @@ def fold(children: list[dict]) -> list[dict]:
 
 
 def merge(a: dict, b: dict, pages: bool = True) -> dict:
-    """One expression for both; `pages` says that they come from different pages."""
+    """One expression for both; `pages` says that they come from different pages. Else the pages of one
+    may be those of the other, and counts are the least that holds."""
     slot = a["s"] if a["s"] == b["s"] and a["s"] is not False else (None if a["s"] is not False or b["s"] is not False else False)
     if slot is None and pages and (a["s"] is False or b["s"] is False):
         slot = a["s"] if a["s"] is not False else b["s"]  # an optional text
-    return {
-        "l": a["l"], "d": a["d"] or b["d"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "n": a["n"] + b["n"] if pages else a["n"],
-        "v": a["v"] + b["v"], "s": slot, "c": align(a["c"], b["c"], pages),
+    both = (lambda x, y: x + y) if pages else max
+    out = {
+        "l": a["l"], "d": a["d"] or b["d"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "n": both(a["n"], b["n"]),
+        "v": a["v"] + b["v"], "s": slot, "t": both(a["t"], b["t"]), "c": align(a["c"], b["c"], pages),
     }
+    if "p" in a or "p" in b:
+        out["p"] = sorted({*a.get("p", ()), *b.get("p", ())})[:DIFFERENT]
+    return out
 
 
 def align(a: list[dict], b: list[dict], pages: bool = True) -> list[dict]:
@@ -231,7 +245,7 @@ def _join(children: list[dict]) -> list[dict]:
     out: list[dict] = []
     for child in children:
         if out and child["o"] and out[-1]["o"] and out[-1]["l"] == child["l"]:
-            out[-1] = merge(out[-1], child)
+            out[-1] = merge(out[-1], child, pages=False)  # one page may have both
         else:
             out.append(child)
     return out
@@ -291,6 +305,19 @@ def _down(wrapper: dict | None, path: tuple[str, ...]) -> dict | None:
     return wrapper
 
 
+def _template_pages(wrapper: dict | None, least_pages: int) -> int:
+    """Number of pages that must have a text that counts as template: all of a host with enough different ones, else 0."""
+    return wrapper["n"] if wrapper and len(wrapper.get("p", ())) >= least_pages else 0
+
+
+def _steady(element: Element, known: dict | None, pages: int) -> bool:
+    """Whether all `pages` of the host have the text that stands directly in the element."""
+    if not pages or known is None or known["s"] in (None, False) or known["t"] < pages:
+        return False
+    text = [c for c in element.children if isinstance(c, str) and not c.isspace()]
+    return bool(text) and _text_sum(" ".join(text)) == known["s"]
+
+
 def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAGES) -> str:
     """The text of the article of a page, one line per block."""
     if not page:
@@ -314,11 +341,11 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
         if text:
             lines.append(text)
 
+    pages = _template_pages(wrapper, least_pages)
+
     def walk(element: Element, known: dict | None, prose: bool):
         prose = prose or element.tag in PROSE
-        steady = (
-            known is not None and not prose and known["n"] >= least_pages and known["s"] not in (None, False)
-        )
+        steady = not prose and _steady(element, known, pages)
         named = _named(known)
         for child in element.children:
             if isinstance(child, str):

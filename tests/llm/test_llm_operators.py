@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
 import json
@@ -467,6 +468,23 @@ def test_wrappers_extract_articles(spark):
     assert wrappers.main_text(table.limit(0)).count() == 0
 
 
+def _extracted(pages):
+    """The texts of the pages of one host, whose wrapper is made of two halves."""
+    whole = [wrappers.expression(wrappers.parse(p)) for p in pages]
+    halves = [functools.reduce(wrappers.merge, half) for half in (whole[::2], whole[1::2]) if half]
+    wrapper = json.loads(json.dumps(functools.reduce(wrappers.merge, halves)))
+    return [wrappers.extract(p, wrapper) for p in pages]
+
+
+def test_wrappers_drop_only_texts_of_all_pages():
+    page = "<body><article>{}<p>story {}</p></article></body>"
+    pages = [page.format("bare text of one page" if i == 3 else "", i) for i in range(8)]
+    assert _extracted(pages) == [f"bare text of one page\nstory {i}" if i == 3 else f"story {i}" for i in range(8)]
+    assert _extracted([page.format("bare", 1)] * 9) == ["bare\nstory 1"] * 9  # copies of one page
+    assert _extracted([page.format("bare", i // 3) for i in range(12)]) == [f"bare\nstory {i // 3}" for i in range(12)]
+    assert _extracted([page.format("bare", i) for i in range(5)]) == [f"story {i}" for i in range(5)]
+
+
 def test_expressions_repeat_and_make_optional():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>y<p>z"))
