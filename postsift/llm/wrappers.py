@@ -184,30 +184,45 @@ def _expression(element: Element) -> dict:
             "t": int(slot is not False), "c": fold(children)}
 
 
-def fold(children: list[dict]) -> list[dict]:
-    """Like neighbours, then like groups of neighbours, become repeated groups."""
-    for width in range(1, 5):
+def _runs(labels: list[str]) -> list[tuple[str, list]]:
+    """Like neighbours, then like groups of neighbours, as one: the label with its places, or "()" with
+    the sequences that repeat."""
+    runs: list[tuple[str, list]] = []
+    for i, label in enumerate(labels):
+        if runs and runs[-1][0] == label:
+            runs[-1][1].append(i)
+        else:
+            runs.append((label, [i]))
+    for width in range(2, 5):
         i = 0
-        while i + 2 * width <= len(children):
-            group = [c["l"] for c in children[i : i + width]]
-            if width > 1 and len(set(group)) == 1 or group != [c["l"] for c in children[i + width : i + 2 * width]]:
+        while i + 2 * width <= len(runs):
+            group = [r[0] for r in runs[i : i + width]]
+            if len(set(group)) == 1 or group != [r[0] for r in runs[i + width : i + 2 * width]]:
                 i += 1
                 continue
-            if width == 1:
-                children[i] = merge(children[i], children[i + 1], pages=False) | {"r": True}
-                del children[i + 1]
-            else:
-                pairs = zip(children[i : i + width], children[i + width : i + 2 * width])
-                merged = [merge(a, b, pages=False) for a, b in pairs]
-                whole = {"l": "()", "d": False, "o": False, "r": True, "n": 1, "v": sum(c["v"] for c in merged), "s": False, "t": 0, "c": merged}
-                end = i + 2 * width
-                while [c["l"] for c in children[end : end + width]] == group:
-                    whole["c"] = [merge(a, b, pages=False) for a, b in zip(whole["c"], children[end : end + width])]
-                    end += width
-                whole["v"] = sum(c["v"] for c in whole["c"])
-                children[i:end] = [whole]
-                i += 1
-    return children
+            end = i
+            while [r[0] for r in runs[end : end + width]] == group:
+                end += width
+            runs[i:end] = [("()", [runs[k : k + width] for k in range(i, end, width)])]
+            i += 1
+    return runs
+
+
+def fold(children: list[dict]) -> list[dict]:
+    """Like neighbours, then like groups of neighbours, become repeated groups."""
+    return [_folded(children, *run) for run in _runs([c["l"] for c in children])]
+
+
+def _folded(children: list[dict], label: str, found: list) -> dict:
+    if label != "()":
+        out = children[found[0]]
+        for i in found[1:]:
+            out = merge(out, children[i], pages=False) | {"r": True}
+        return out
+    merged = [_folded(children, *run) for run in found[0]]
+    for sequence in found[1:]:
+        merged = [merge(a, _folded(children, *run), pages=False) for a, run in zip(merged, sequence)]
+    return {"l": "()", "d": False, "o": False, "r": True, "n": 1, "v": sum(c["v"] for c in merged), "s": False, "t": 0, "c": merged}
 
 
 def merge(a: dict, b: dict, pages: bool = True) -> dict:
@@ -262,49 +277,54 @@ def pattern(wrapper: dict) -> str:
 # --- extraction -------------------------------------------------------------------------
 
 
-def _named(wrapper: dict | None) -> dict[str, dict]:
-    """Children of a wrapper by label, those of groups too; the first of a label counts."""
-    found: dict[str, dict] = {}
-    for child in wrapper["c"] if wrapper else ():
-        if child["l"] == "()":
-            for label, inner in _named(child).items():
-                found.setdefault(label, inner)
-        else:
-            found.setdefault(child["l"], child)
-    return found
+def _entries(element: Element, known: dict | None) -> list[tuple[Element, dict | None]]:
+    """The child elements, each with its own entry of the wrapper."""
+    children = [c for c in element.children if not isinstance(c, str)]
+    found: list[dict | None] = [None] * len(children)
+    if known:
+        _match(_runs([c.label for c in children]), known["c"], found)
+    return list(zip(children, found))
+
 
+def _match(runs: list[tuple[str, list]], entries: list[dict], found: list[dict | None]) -> None:
+    left, right = [e["l"] for e in entries], [r[0] for r in runs]
+    blocks = [(0, 0, len(left))] if left == right else SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks()
+    for i, k, size in blocks:
+        for entry, (label, places) in zip(entries[i : i + size], runs[k : k + size]):
+            for place in places:
+                if label == "()":
+                    _match(place, entry["c"], found)
+                else:
+                    found[place] = entry
 
-def _region(wrapper: dict) -> tuple[str, ...]:
-    """Labels from the root to the smallest element with most of the varying prose."""
-    path: list[str] = []
+
+def _region(wrapper: dict) -> tuple[int, ...]:
+    """Places of the entries from the root to the smallest element with most of the varying prose."""
+    path: list[int] = []
     while True:
-        best = max((c for c in _named(wrapper).values() if not c["d"]), key=lambda c: c["v"], default=None)
+        inner = [i for i, c in enumerate(wrapper["c"]) if not c["d"] and c["l"] != "()"]
+        at = max(inner, key=lambda i: wrapper["c"][i]["v"], default=None)
+        best = None if at is None else wrapper["c"][at]
         if best is None or best["v"] < REGION_SHARE * max(1, wrapper["v"]) or best["l"].split(".")[0] in PROSE:
             return tuple(path)
-        path.append(best["l"])
+        path.append(at)
         wrapper = best
 
 
-def _articles(element: Element, tags: tuple[str, ...]) -> list[tuple[Element, tuple[str, ...]]]:
-    """The outermost elements of these tags that are no part of a dropped element, with their paths."""
-    found, stack = [], [(element, ())]
+def _articles(element: Element, known: dict | None, tags: tuple[str, ...]) -> list[tuple[Element, dict | None]]:
+    """The outermost elements of these tags that are no part of a dropped element, with their entries."""
+    found, stack = [], [(element, known)]
     while stack:
-        e, path = stack.pop()
+        e, known = stack.pop()
         if e.dropped:
             continue
         if e.tag in tags:
-            found.append((e, path))
+            found.append((e, known))
             continue
-        stack += [(c, (*path, c.label)) for c in reversed(e.children) if not isinstance(c, str)]
+        stack += reversed(_entries(e, known))
     return found
 
 
-def _down(wrapper: dict | None, path: tuple[str, ...]) -> dict | None:
-    for label in path:
-        wrapper = _named(wrapper).get(label) if wrapper else None
-    return wrapper
-
-
 def _template_pages(wrapper: dict | None, least_pages: int) -> int:
     """Number of pages that must have a text that counts as template: all of a host with enough different ones, else 0."""
     return wrapper["n"] if wrapper and len(wrapper.get("p", ())) >= least_pages else 0
@@ -323,15 +343,16 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
     if not page:
         return ""
     root = parse(page)
-    parts = _articles(root, ("article",)) or _articles(root, ("main",))
+    parts = _articles(root, wrapper, ("article",)) or _articles(root, wrapper, ("main",))
     if not parts:
-        region, element, path = _region(wrapper or expression(root)), root, ()
-        for label in region:
-            inner = next((c for c in element.children if not isinstance(c, str) and c.label == label), None)
-            if inner is None:
+        known = wrapper or expression(root)
+        region, element = _region(known), root
+        for at in region:
+            inner = [c for c, entry in _entries(element, known) if entry is known["c"][at]]
+            if len(inner) != 1:
                 break
-            element, path = inner, (*path, label)
-        parts = [(element, path)]
+            element, known = inner[0], known["c"][at]
+        parts = [(element, known)]
     lines: list[str] = []
     buffer: list[str] = []
 
@@ -346,25 +367,27 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
     def walk(element: Element, known: dict | None, prose: bool):
         prose = prose or element.tag in PROSE
         steady = not prose and _steady(element, known, pages)
-        named = _named(known)
+        entries = iter(_entries(element, known))
         for child in element.children:
             if isinstance(child, str):
                 if not steady:
                     buffer.append(child)
-            elif child.dropped:
+                continue
+            child, entry = next(entries)
+            if child.dropped:
                 if child.tag in BLOCKS or child.tag in RAW:
                     flush()
             elif child.tag == "br":
                 buffer.append(" ")
             elif child.tag in BLOCKS:
                 flush()
-                walk(child, named.get(child.label), prose)
+                walk(child, entry, prose)
                 flush()
             else:
-                walk(child, named.get(child.label), prose)
+                walk(child, entry, prose)
 
-    for element, path in parts:
-        walk(element, _down(wrapper, path), False)
+    for element, known in parts:
+        walk(element, known, False)
         flush()
     return "\n".join(lines)
 

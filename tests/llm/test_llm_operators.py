@@ -485,6 +485,20 @@ def test_wrappers_drop_only_texts_of_all_pages():
     assert _extracted([page.format("bare", i) for i in range(5)]) == [f"story {i}" for i in range(5)]
 
 
+def test_wrappers_judge_each_child_by_its_own_entry():
+    page = "<article><div>By staff</div><h1>Title {0}</h1><div>story {0}</div>{1}</article>"
+    assert _extracted([page.format(i, "") for i in range(8)]) == [f"Title {i}\nstory {i}" for i in range(8)]
+    last = "<article><div>story {0}</div><h1>Title {0}</h1><div>All rights reserved</div></article>"
+    assert _extracted([last.format(i) for i in range(8)]) == [f"story {i}\nTitle {i}" for i in range(8)]
+    # Optional and repeated groups between them.
+    more = ["", "<hr>", "<h2>a</h2><div>b {0}</div><h2>c</h2><div>d</div>".format(7)]
+    assert _extracted([page.format(i, more[i % 3]) for i in range(12)]) == [
+        f"Title {i}\nstory {i}" + ("\na\nb 7\nc\nd" if i % 3 == 2 else "") for i in range(12)
+    ]
+    plain = "<div>Home</div><h2>Menu</h2><div><p>story {0}</p><p>and {0}</p></div>"
+    assert all(f"story {i}\nand {i}" in text for i, text in enumerate(_extracted([plain.format(i) for i in range(8)])))
+
+
 def test_expressions_repeat_and_make_optional():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>y<p>z"))
