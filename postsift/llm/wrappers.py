@@ -8,7 +8,7 @@ There is no alternative in an expression. Wrappers of single batches are merged
 third of all pages costs one wrapper per batch.
 
 The wrapper says which region holds the article - `article` or `main` elements, else the smallest
-element with most of the varying text - and which parts of it are not text of the article: elements
+element with all headings and all text that is not the same on every page - and which parts of it are not text of the article: elements
 named as menus, headers, footers, sidebars, notices, adverts, forms or comments, and slots outside
 paragraphs, headings, lists, tables and quotes that hold the same text on every page of the host.
 
@@ -35,7 +35,6 @@ PARTS = 256
 LEAST_PAGES = 5
 #: Different pages that a wrapper tells apart.
 DIFFERENT = 64
-REGION_SHARE = 0.6
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +53,7 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
+HEADING = re.compile("h[1-6]")
 DROPPED_TAGS = frozenset(
     "head nav aside footer form button select input label menu dialog canvas audio video object".split()
 ) | RAW
@@ -152,8 +152,7 @@ def _end(stack: list[Element], tags: set, within: set) -> None:
 
 
 # --- expressions ------------------------------------------------------------------------
-# An expression is a dict: l label, d dropped, o optional, r repeated, n pages, v characters of varying
-# prose below, s slot (checksum of the text, or null once texts differed), t pages that had a text in
+# An expression is a dict: l label, d dropped, o optional, r repeated, n pages, s slot (checksum of the text, or null once texts differed), t pages that had a text in
 # the slot, c children. A group of children has the label "()". The root also has p, checksums of
 # different pages.
 
@@ -177,10 +176,7 @@ def _expression(element: Element) -> dict:
         else:
             children.append(_expression(child))
     slot = _text_sum(" ".join(text)) if text else False
-    size = sum(map(len, text)) if not element.dropped else 0
-    if not element.dropped:
-        size += sum(c["v"] for c in children)
-    return {"l": element.label, "d": element.dropped, "o": False, "r": False, "n": 1, "v": size, "s": slot,
+    return {"l": element.label, "d": element.dropped, "o": False, "r": False, "n": 1, "s": slot,
             "t": int(slot is not False), "c": fold(children)}
 
 
@@ -222,7 +218,7 @@ def _folded(children: list[dict], label: str, found: list) -> dict:
     merged = [_folded(children, *run) for run in found[0]]
     for sequence in found[1:]:
         merged = [merge(a, _folded(children, *run), pages=False) for a, run in zip(merged, sequence)]
-    return {"l": "()", "d": False, "o": False, "r": True, "n": 1, "v": sum(c["v"] for c in merged), "s": False, "t": 0, "c": merged}
+    return {"l": "()", "d": False, "o": False, "r": True, "n": 1, "s": False, "t": 0, "c": merged}
 
 
 def merge(a: dict, b: dict, pages: bool = True) -> dict:
@@ -234,7 +230,7 @@ def merge(a: dict, b: dict, pages: bool = True) -> dict:
     both = (lambda x, y: x + y) if pages else max
     out = {
         "l": a["l"], "d": a["d"] or b["d"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "n": both(a["n"], b["n"]),
-        "v": a["v"] + b["v"], "s": slot, "t": both(a["t"], b["t"]), "c": align(a["c"], b["c"], pages),
+        "s": slot, "t": both(a["t"], b["t"]), "c": align(a["c"], b["c"], pages),
     }
     if "p" in a or "p" in b:
         out["p"] = sorted({*a.get("p", ()), *b.get("p", ())})[:DIFFERENT]
@@ -298,17 +294,57 @@ def _match(runs: list[tuple[str, list]], entries: list[dict], found: list[dict |
                     found[place] = entry
 
 
-def _region(wrapper: dict) -> tuple[int, ...]:
-    """Places of the entries from the root to the smallest element with most of the varying prose."""
+def _region(wrapper: dict, pages: int) -> tuple[int, ...]:
+    """Places of the entries from the root to the lowest one with all headings and text that may vary."""
     path: list[int] = []
-    while True:
-        inner = [i for i, c in enumerate(wrapper["c"]) if not c["d"] and c["l"] != "()"]
-        at = max(inner, key=lambda i: wrapper["c"][i]["v"], default=None)
-        best = None if at is None else wrapper["c"][at]
-        if best is None or best["v"] < REGION_SHARE * max(1, wrapper["v"]) or best["l"].split(".")[0] in PROSE:
-            return tuple(path)
-        path.append(at)
+    while not _own_varies(wrapper, pages):
+        inner = [i for i, c in enumerate(wrapper["c"]) if _varies(c, pages)]
+        best = wrapper["c"][inner[0]] if len(inner) == 1 else None
+        tag = best["l"].split(".")[0] if best else ""
+        if best is None or best["r"] or tag in PROSE or tag not in BLOCKS:
+            break
+        path.append(inner[0])
         wrapper = best
+    return tuple(path)
+
+
+def _own_varies(entry: dict, pages: int) -> bool:
+    return entry["s"] is not False and (not pages or entry["s"] is None or entry["t"] < pages)
+
+
+def _varies(entry: dict, pages: int) -> bool:
+    if entry["d"]:
+        return False
+    if HEADING.fullmatch(entry["l"].split(".")[0]):
+        return True
+    return _own_varies(entry, pages) or any(_varies(c, pages) for c in entry["c"])
+
+
+def _needed(element: Element, known: dict | None, pages: int) -> bool:
+    """Whether a page's element has a heading or text that is not template."""
+    if element.dropped:
+        return False
+    if HEADING.fullmatch(element.tag) or _own_needed(element, known, pages):
+        return True
+    return any(_needed(c, entry, pages) for c, entry in _entries(element, known))
+
+
+def _own_needed(element: Element, known: dict | None, pages: int) -> bool:
+    has_text = any(isinstance(c, str) and not c.isspace() for c in element.children)
+    return has_text and not _steady(element, known, pages)
+
+
+def _down(element: Element, known: dict, region: tuple[int, ...], pages: int) -> tuple[Element, dict]:
+    """The element of the region and its entry; higher up where a page has needed text outside of it."""
+    for at in region:
+        best, entries = known["c"][at], _entries(element, known)
+        inner = [c for c, entry in entries if entry is best and not c.dropped]
+        if len(inner) != 1 or _own_needed(element, known, pages):
+            break
+        if any(_needed(c, entry, pages) for c, entry in entries if c is not inner[0]):
+            break
+        element, known = inner[0], best
+    return element, known
 
 
 def _articles(element: Element, known: dict | None, tags: tuple[str, ...]) -> list[tuple[Element, dict | None]]:
@@ -338,21 +374,16 @@ def _steady(element: Element, known: dict | None, pages: int) -> bool:
     return bool(text) and _text_sum(" ".join(text)) == known["s"]
 
 
-def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAGES) -> str:
-    """The text of the article of a page, one line per block."""
+def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAGES,
+            region: tuple[int, ...] | None = None) -> str:
+    """The text of the article of a page, one line per block; `region` is that of the wrapper, if known."""
     if not page:
         return ""
-    root = parse(page)
+    root, pages = parse(page), _template_pages(wrapper, least_pages)
     parts = _articles(root, wrapper, ("article",)) or _articles(root, wrapper, ("main",))
     if not parts:
         known = wrapper or expression(root)
-        region, element = _region(known), root
-        for at in region:
-            inner = [c for c, entry in _entries(element, known) if entry is known["c"][at]]
-            if len(inner) != 1:
-                break
-            element, known = inner[0], known["c"][at]
-        parts = [(element, known)]
+        parts = [_down(root, known, _region(known, pages) if region is None else region, pages)]
     lines: list[str] = []
     buffer: list[str] = []
 
@@ -362,8 +393,6 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
         if text:
             lines.append(text)
 
-    pages = _template_pages(wrapper, least_pages)
-
     def walk(element: Element, known: dict | None, prose: bool):
         prose = prose or element.tag in PROSE
         steady = not prose and _steady(element, known, pages)
@@ -450,7 +479,7 @@ def main_text(pages: DataFrame, wrappers: DataFrame | None = None, key: str = "p
     joined = rows.join(wrappers, "host", "left").select("page_id", "url", "t", "wrapper")
 
     def apply(batches):
-        known: dict[str, dict] = {}
+        known: dict[str | None, tuple[dict | None, tuple[int, ...] | None]] = {None: (None, None)}
         for batch in batches:
             texts, wraps, out = batch.column(2), batch.column(3), []
             for i in range(batch.num_rows):
@@ -458,8 +487,11 @@ def main_text(pages: DataFrame, wrappers: DataFrame | None = None, key: str = "p
                 if text is not None and text not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[text] = json.loads(text)
-                out.append(extract(texts[i].as_py(), known.get(text)))
+                        known[None] = None, None
+                    one = json.loads(text)
+                    known[text] = one, _region(one, _template_pages(one, LEAST_PAGES))
+                wrapper, region = known[text]
+                out.append(extract(texts[i].as_py(), wrapper, region=region))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

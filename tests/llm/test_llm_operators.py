@@ -499,6 +499,18 @@ def test_wrappers_judge_each_child_by_its_own_entry():
     assert all(f"story {i}\nand {i}" in text for i, text in enumerate(_extracted([plain.format(i) for i in range(8)])))
 
 
+def test_wrapper_regions_leave_no_varying_text_outside():
+    page = "<div><div class=menu>Home</div><div class=box>Site</div><div class=all><h1>Title</h1><div class=lead>lead {0}</div><div class=body><p>{1}</p></div></div></div>"
+    long = "many words " * 40
+    assert _extracted([page.format(i, f"{long}{i}") for i in range(8)]) == [f"Title\nlead {i}\n{long}{i}" for i in range(8)]
+    two = "<div class=page><div>Site</div><div class=first><p>{0}</p></div><div class=second><p>{1}</p></div></div>"
+    assert _extracted([two.format(f"{long}{i}", i) for i in range(8)]) == [f"{long}{i}\n{i}" for i in range(8)]
+    # One page has its text elsewhere; a host with few pages loses nothing.
+    odd = "<div class=page><div>Site</div><div class=body><p>{0}</p></div><div class=late>{1}</div></div>"
+    assert _extracted([odd.format(i, "other text" if i == 5 else "") for i in range(8)]) == [f"{i}\nother text" if i == 5 else f"{i}" for i in range(8)]
+    assert _extracted([odd.format(long, "x")] * 3) == [f"Site\n{long.strip()}\nx"] * 3
+
+
 def test_expressions_repeat_and_make_optional():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>y<p>z"))
