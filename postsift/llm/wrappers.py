@@ -10,7 +10,8 @@ third of all pages costs one wrapper per batch.
 The wrapper says which region holds the article - `article` or `main` elements, else the smallest
 element with all headings and all text that is not the same on every page - and which parts of it are not text of the article: elements
 named as menus, headers, footers, sidebars, notices, adverts, forms or comments, and slots outside
-paragraphs, headings, lists, tables and quotes that hold the same text on every page of the host.
+paragraphs, headings, lists, tables and quotes that hold the same text on every page of the host. A name
+counts for nothing on an element with the page's only article or main elements or most of its varying text.
 
 Null and empty pages give empty text; repeated pages give repeated rows; a null or odd URL makes its
 pages a host of their own, "". Unclosed and stray tags are accepted as browsers accept them.
@@ -65,6 +66,9 @@ DROPPED_NAMES = re.compile(
     r"related|recommend(?:ed|ations)?|widget|toolbar|pagination|pager|skip-?link|search(?:-?form)?|form)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names of what a layout has or lacks.
+LAYOUT_NAMES = re.compile(r"(?:^|(?<=[-_\s]))(?:with|without|has|no)[-_]+\S+", re.I)
+COMMENT_NAMES = re.compile(r"comment|reply|replies|disqus", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
@@ -74,13 +78,15 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^
 
 class Element:
     """An element: tag, label (tag and first class or id, digits as #), whether its name marks it as
-    no part of an article, and its children, elements or texts."""
+    no part of an article, and its children, elements or texts. `named` says that nothing but the name
+    marks it, `comments` that it is the name of comments."""
 
-    __slots__ = ("tag", "label", "dropped", "children", "page")
+    __slots__ = ("tag", "label", "dropped", "named", "comments", "children", "page")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.label, self.page = tag, [], tag, None
         self.dropped = tag in DROPPED_TAGS
+        self.named = self.comments = False
         if attributes and not attributes.isspace():
             found = {}
             for m in _ATTRIBUTE.finditer(attributes):
@@ -88,12 +94,13 @@ class Element:
             name = (found.get("class") or found.get("id") or "").split()
             if name:
                 self.label = f"{tag}.{re.sub(r'[0-9]+', '#', name[0])[:40]}"
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            # The page itself may be named after its layout ("with-sidebar").
-            if tag not in ("html", "body", "article", "main") or re.search(r"comment|reply", names, re.I):
-                self.dropped |= bool(names.strip()) and bool(DROPPED_NAMES.search(names))
+            names = LAYOUT_NAMES.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
             self.dropped |= found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found
             self.dropped |= found.get("aria-hidden", "").lower() == "true"
+            # The page itself may be named after its layout; comments may be articles.
+            self.comments = bool(COMMENT_NAMES.search(names))
+            if not self.dropped and tag not in ("html", "body") and (tag not in ("article", "main") or self.comments):
+                self.dropped = self.named = bool(DROPPED_NAMES.search(names))
 
 
 def parse(page: str) -> Element:
@@ -361,6 +368,42 @@ def _articles(element: Element, known: dict | None, tags: tuple[str, ...]) -> li
     return found
 
 
+def _unmark_around_articles(element: Element) -> set[str]:
+    """The kinds of article and main elements in an element; names around them count for nothing, but
+    those of comments do around an article."""
+    if element.dropped and not element.named:
+        return set()
+    found = set().union(*(_unmark_around_articles(c) for c in element.children if not isinstance(c, str)))
+    if element.named and ("main" in found or found and not element.comments):
+        element.dropped = element.named = False
+    if element.dropped:
+        return set()
+    return found | {element.tag} if element.tag in ("article", "main") else found
+
+
+def _unmark_most(parts: list[tuple[Element, dict | None]], pages: int) -> None:
+    """Names of elements with most of the text of the parts that is neither template, link nor comment count for nothing."""
+    named: list[tuple[Element, int]] = []
+
+    def size(element: Element, known: dict | None) -> int:
+        if element.dropped and (not element.named or element.comments) or element.tag == "a":
+            return 0
+        n = sum(len(c.strip()) for c in element.children if isinstance(c, str)) if _own_needed(element, known, pages) else 0
+        n += sum(size(c, entry) for c, entry in _entries(element, known))
+        if element.named:
+            named.append((element, n))
+        return n
+
+    total = sum(size(*part) for part in parts)
+    for element, n in named:
+        if 2 * n > total:
+            element.dropped = element.named = False
+
+
+def _has_named(element: Element) -> bool:
+    return element.named or any(_has_named(c) for c in element.children if not isinstance(c, str))
+
+
 def _template_pages(wrapper: dict | None, least_pages: int) -> int:
     """Number of pages that must have a text that counts as template: all of a host with enough different ones, else 0."""
     return wrapper["n"] if wrapper and len(wrapper.get("p", ())) >= least_pages else 0
@@ -380,7 +423,17 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
     if not page:
         return ""
     root, pages = parse(page), _template_pages(wrapper, least_pages)
-    parts = _articles(root, wrapper, ("article",)) or _articles(root, wrapper, ("main",))
+    marked = _has_named(root)
+    if marked:
+        _unmark_most([(root, wrapper)], pages)
+    parts = _articles(root, wrapper, ("article",))
+    if not parts:
+        # Beside an article, one in an element named as a sidebar or the like is none of the page's own.
+        parts = _articles(root, wrapper, ("main",))
+        _unmark_around_articles(root)
+        parts = parts or _articles(root, wrapper, ("article",)) or _articles(root, wrapper, ("main",))
+    if parts and marked:
+        _unmark_most(parts, pages)
     if not parts:
         known = wrapper or expression(root)
         parts = [_down(root, known, _region(known, pages) if region is None else region, pages)]

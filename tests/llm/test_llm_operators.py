@@ -511,6 +511,25 @@ def test_wrapper_regions_leave_no_varying_text_outside():
     assert _extracted([odd.format(long, "x")] * 3) == [f"Site\n{long.strip()}\nx"] * 3
 
 
+def test_names_of_layout_do_not_drop_the_article():
+    side = "<div class=sidebar><p>Side {0}</p></div>"
+    for around in ('div class="page with-sidebar"', 'div class="content has-header"', 'section class="related-and-story form-1"',
+                   'div id=page-no-sidebar', 'div class="form-1" id="has-comments"'):
+        tag = around.split()[0]
+        for inner in ("article", "main", "div"):
+            page = f"<body><{around}><{inner}><h1>Title</h1><p>a story of some words {{0}}</p></{inner}></{tag}>{side}</body>"
+            for n in (1, 8):
+                assert _extracted([page.format(i) for i in range(n)]) == [f"Title\na story of some words {i}" for i in range(n)], around
+    # Long fixed footers, comments and teasers stay out.
+    page = (
+        "<body class=comments-open><div class=story><p>story {0}</p></div><div class=footer>" + "law " * 50
+        + "</div><div class=comments><article><p>" + "I think {0} " * 20 + "</p></article></div></body>"
+    )
+    assert _extracted([page.format(i) for i in range(8)]) == [f"story {i}" for i in range(8)]
+    page = "<article><p>story {0}</p></article><div class=related><article>next {0}</article></div>"
+    assert _extracted([page.format(i) for i in range(8)]) == [f"story {i}" for i in range(8)]
+
+
 def test_expressions_repeat_and_make_optional():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>y<p>z"))
