@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
@@ -34,12 +35,8 @@ from postsift.sources import readers as rd
 from postsift.sources import staging as st
 from postsift.streaming.score import score_stream
 
-# Vocabulary, selection and folds are those of the package. No search is run, linear models stop at
-# 100 iterations and the trees are few and shallow: a default search takes days on a small table.
-FULL = tr.Config(
-    linear_trials=0, boost_trials=0, linear_params={"max_iter": 100},
-    boost_params={"n_estimators": 20, "max_depth": 3, "min_child_samples": 5},
-)
+# The package's own values throughout: vocabulary, selection, folds, iterations, trees and trials.
+PLAN = tr.Config()
 
 
 def _folder(spark, name: str) -> str:
@@ -154,16 +151,21 @@ def screen(spark, sf_dir):
 @lru_cache(maxsize=4)
 def _prepared(spark, sf_dir):
     """(labels, train rows with term vectors, fitted terms): shared by the learner queries."""
-    data = tr.split(rows(spark, sf_dir), FULL, lower=True)
-    terms = tr.fit_terms(data.train, FULL)
+    data = tr.split(rows(spark, sf_dir), PLAN, lower=True)
+    terms = tr.fit_terms(data.train, PLAN)
     vectors = terms.vectors(data.train, "text", "features")
     train = st.pin(data.train.drop("text").join(vectors, "post_id"), "train")
     return data, terms, train
 
 
 @lru_cache(maxsize=4)
-def _stacked(spark, sf_dir):
-    return tr.train_stacked(rows(spark, sf_dir), lexicons(spark, sf_dir), FULL)
+def _stacked(spark, sf_dir, linear_trials, boost_trials):
+    cfg = replace(PLAN, linear_trials=linear_trials, boost_trials=boost_trials)
+    return tr.train_stacked(rows(spark, sf_dir), lexicons(spark, sf_dir), cfg)
+
+
+def _with_trials(df, linear_trials, boost_trials):
+    return df.withColumn("linear_trials", F.lit(linear_trials)).withColumn("boost_trials", F.lit(boost_trials))
 
 
 def _p(df, *cols):
@@ -197,48 +199,43 @@ def assemble(spark, sf_dir):
 @query("fit_logistic")
 def fit_logistic(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_logistic(train, **FULL.linear_params).scores(train), "p")
+    return _p(ln.fit_logistic(train).scores(train), "p")
 
 
 @query("fit_linear_svm")
 def fit_linear_svm(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_linear_svm(train, **FULL.linear_params).scores(train), "p")
+    return _p(ln.fit_linear_svm(train).scores(train), "p")
 
 
 @query("fit_boosted_flat")
 def fit_boosted_flat(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    return _p(ln.fit_boosted_flat(train, FULL.boost_params).scores(train), "p")
+    return _p(ln.fit_boosted_flat(train).scores(train), "p")
 
 
 @query("fit_boosted_meta")
 def fit_boosted_meta(spark, sf_dir):
+    """Trees on the base models' out-of-fold probabilities and all lexicon features."""
     data, _, train = _prepared(spark, sf_dir)
-    base = train.select("post_id", "label").join(data.train.select("post_id", "text"), "post_id")
-    feats = lx.vad_features(base, lexicons(spark, sf_dir).vad, "text")
-    meta = jn.assemble([feats.join(base.select("post_id", "label"), "post_id")], out="meta", keep=["label"])
+    oof, _ = ln.oof_stack(train, {"logistic": ln.fit_logistic, "svm": ln.fit_linear_svm})
+    psych = lx.psych_features(data.train, lexicons(spark, sf_dir), "text")
+    meta = tr.meta_features(oof, psych).join(train.select("post_id", "label"), "post_id")
     meta = st.pin(meta, "meta")
-    return _p(ln.fit_boosted_meta(meta, FULL.boost_params).scores(meta), "p")
+    return _p(ln.fit_boosted_meta(meta).scores(meta), "p")
 
 
 @query("tune")
-def tune(spark, sf_dir):
+def tune(spark, sf_dir, n_trials=PLAN.linear_trials):
     _, _, train = _prepared(spark, sf_dir)
-    found = ln.tune(
-        train, lambda df, **p: ln.fit_logistic(df, **FULL.linear_params, **p), ln.LOGISTIC_SPACE, 2
-    )
-    return found.table(spark)
+    found = ln.tune(train, ln.fit_logistic, ln.LOGISTIC_SPACE, n_trials)
+    return found.table(spark).withColumn("n_trials", F.lit(n_trials))
 
 
 @query("oof_stack")
 def oof_stack(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
-    learners = {
-        "logistic": lambda df: ln.fit_logistic(df, **FULL.linear_params),
-        "svm": lambda df: ln.fit_linear_svm(df, **FULL.linear_params),
-    }
-    oof, _ = ln.oof_stack(train, learners)
+    oof, _ = ln.oof_stack(train, {"logistic": ln.fit_logistic, "svm": ln.fit_linear_svm})
     return _p(oof, "logistic", "svm")
 
 
@@ -246,7 +243,7 @@ def oof_stack(spark, sf_dir):
 def meta_features(spark, sf_dir):
     data, terms, train = _prepared(spark, sf_dir)
     bank = ln.LinearBank.of(
-        {"logistic": ln.fit_logistic(train, **FULL.linear_params), "svm": ln.fit_linear_svm(train, **FULL.linear_params)}
+        {"logistic": ln.fit_logistic(train), "svm": ln.fit_linear_svm(train)}
     )
     base = bank.scores(data.train.select("post_id"), terms.weights(data.train))
     psych = lx.psych_features(data.train, lexicons(spark, sf_dir), "text")
@@ -254,21 +251,22 @@ def meta_features(spark, sf_dir):
 
 
 @query("train_flat")
-def train_flat(spark, sf_dir):
-    model = tr.train_flat(rows(spark, sf_dir), lexicons(spark, sf_dir), FULL)
+def train_flat(spark, sf_dir, linear_trials=PLAN.linear_trials, boost_trials=fv.FLAT_BOOST_TRIALS):
+    cfg = replace(PLAN, linear_trials=linear_trials, boost_trials=boost_trials)
+    model = tr.train_flat(rows(spark, sf_dir), lexicons(spark, sf_dir), cfg)
     named = [r.withColumn("model", F.lit(n)) for n, r in model.reports.items()]
-    return sp.union_all(named)
+    return _with_trials(sp.union_all(named), linear_trials, boost_trials)
 
 
 @query("train_stacked")
-def train_stacked(spark, sf_dir):
-    return _stacked(spark, sf_dir).report
+def train_stacked(spark, sf_dir, linear_trials=PLAN.linear_trials, boost_trials=PLAN.boost_trials):
+    return _with_trials(_stacked(spark, sf_dir, linear_trials, boost_trials).report, linear_trials, boost_trials)
 
 
 @query("score")
 def score(spark, sf_dir):
     texts = documents(spark, sf_dir).select(F.col("doc_id").alias("post_id"), "text")
-    out = _stacked(spark, sf_dir).score(texts)
+    out = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials).score(texts)
     return out.select("post_id", "label", F.round("confidence", 6).alias("confidence"),
                       "display", "risk_level")
 
@@ -276,7 +274,7 @@ def score(spark, sf_dir):
 @query("save_load_model")
 def save_load_model(spark, sf_dir):
     """Scores of the model before saving and after loading, side by side."""
-    model, path = _stacked(spark, sf_dir), _folder(spark, "model")
+    model, path = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials), _folder(spark, "model")
     tr.save_model(model, path)
     texts = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text"
@@ -295,5 +293,6 @@ def score_stream_query(spark, sf_dir):
     ).write.parquet(source)
     out = _folder(spark, "stream-out")
     stream = spark.readStream.schema("post_id long, text string").parquet(source)
-    score_stream(_stacked(spark, sf_dir), stream, out, _folder(spark, "stream-state")).awaitTermination()
+    model = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials)
+    score_stream(model, stream, out, _folder(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out).select("post_id", "label", F.round("confidence", 6).alias("confidence"))

@@ -208,3 +208,52 @@ def test_sentiment_rules(spark):
         5: compound(2 * 0.5 - 2.5 * 1.5), 6: compound(2.293 * -0.74), 7: 0.0, 8: compound(-2.5 + 0.293),
     }
     assert got == pytest.approx(want)
+
+
+def test_model_queries_use_the_values_of_the_package(spark, sf_dir, lex, monkeypatch):
+    from types import SimpleNamespace
+
+    from catalog import model_queries as mq
+    from postsift.operators.lexicon import psych_names
+
+    seen = {}
+    report = spark.createDataFrame([(0.5,)], "f1 double")
+
+    def trained(name):
+        def train(rows, lexicons, cfg):
+            seen[name] = cfg
+            return SimpleNamespace(report=report, reports={"logistic": report})
+        return train
+
+    def fitted(meta, params=None, **more):
+        seen["meta"] = meta, params
+        return SimpleNamespace(scores=lambda df: df.select("post_id", F.array(F.lit(0.5)).alias("p")))
+
+    def stacked(train, learners, **more):
+        seen["base"] = learners
+        half = F.array(F.lit(0.5), F.lit(0.5))
+        return train.select("post_id", *[half.alias(name) for name in learners]), {}
+
+    def tuned(train, fit, space, n, **more):
+        seen["tune"] = fit, n
+        return ln.Tuning({}, 0.0, [{"params": {}, "score": 0.0}])
+
+    texts = spark.createDataFrame([(i, f"a happy text {i}", float(i % 2)) for i in range(6)], "post_id long, text string, label double")
+    prepared = SimpleNamespace(train=texts), None, texts
+    monkeypatch.setattr(mq, "_prepared", lambda *a: prepared)
+    monkeypatch.setattr(tr, "train_flat", trained("flat"))
+    monkeypatch.setattr(tr, "train_stacked", trained("stacked"))
+    monkeypatch.setattr(ln, "fit_boosted_meta", fitted)
+    monkeypatch.setattr(ln, "oof_stack", stacked)
+    monkeypatch.setattr(ln, "tune", tuned)
+
+    mq._stacked.cache_clear()
+    found = mq.train_flat(spark, sf_dir).first(), mq.train_stacked(spark, sf_dir).first()
+    mq._stacked.cache_clear()
+    assert [(r.linear_trials, r.boost_trials) for r in found] == [(30, 50), (30, 75)]
+    assert seen["flat"] == tr.Config(boost_trials=50) and seen["stacked"] == tr.Config()
+    assert mq.tune(spark, sf_dir).first().n_trials == 30 and seen["tune"] == (ln.fit_logistic, 30)
+    mq.fit_boosted_meta(spark, sf_dir)
+    meta, params = seen["meta"]
+    assert seen["base"] == {"logistic": ln.fit_logistic, "svm": ln.fit_linear_svm}
+    assert not params and meta.count() == 6 and len(meta.first().meta) == 4 + len(psych_names())
