@@ -155,3 +155,93 @@ def op9_bigram_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = lm.score(docs, ~held_out("doc_id", 7, 2))
     return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_fill_in_middle", """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS us,
+    CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4
+  FROM t),
+c AS (
+  SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid,
+    coalesce(array_to_string(us[b + 1:n], ''), '') AS suf
+  FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p
+""")
+def op11_fill_in_middle(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from postsift.llm import fim
+
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_filter_audit", """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS bad FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS t FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bs
+  FROM f f1 JOIN f f2 ON f2.f <> f1.f JOIN f f3 ON f3.f NOT IN (f1.f, f2.f) JOIN f f4 ON f4.f NOT IN (f1.f, f2.f, f3.f)
+    JOIN f f5 ON f5.f NOT IN (f1.f, f2.f, f3.f, f4.f)),
+s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS filter, bs[step] AS b,
+    coalesce(list_sum(bs[1:step - 1]), 0) AS past
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, filter, b,
+    coalesce(sum(n) FILTER (mask & CAST(past + b AS INTEGER) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & CAST(past AS INTEGER) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & b <> 0 AND mask & CAST(past AS INTEGER) <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+    coalesce(sum(g) FILTER (mask & b <> 0 AND mask & CAST(past AS INTEGER) = 0), 0) AS good_lost,
+    coalesce(sum(t) FILTER (mask & b <> 0 AND mask & CAST(past AS INTEGER) = 0), 0) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+""")
+def op12_filter_audit(spark, sf_dir):
+    from postsift.llm import filter_audit
+
+    labels = table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.counters(spark, f"{sf_dir}/documents.parquet", labels))
+
+
+@query("op13_simhash")
+def op13_simhash(spark, sf_dir):
+    from postsift.llm import simhash
+
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
