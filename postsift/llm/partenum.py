@@ -13,10 +13,13 @@ signature leaves these out, any other keeps them. A pair with a set that leaves
 shares a signature, and two sets that keep them share theirs; no similar pair is lost.
 
 Signatures are compared block by block: a block of documents sends each of its signatures once, so
-one that a third of all documents have costs one entry per block. Each member of a signature group
-is checked against the least one, and what is linked becomes a component. Then only members of
-different components of a group are still compared. A pair passes the size bound and a parity sketch (its
-distance never exceeds that of the sets), then the texts decide.
+one that a third of all documents have costs one entry per block; it gets back the least document of
+each. Equal sets are then one node, that of the least key. A document and the least one of a signature
+are a candidate pair; it passes a size bound and a parity sketch (its distance never exceeds that of
+the sets), then the sets decide. What still may link are members of the same least document in
+different components. Of these, all outside the largest component are pivots; members and pivots meet in
+cells of bounded bytes, each set sent once per cell, and a cell puts out one true link per pivot and
+component that it joins. So rows grow with members, not with pairs, and no pair is left out.
 
 Rows that share a key are one document: what links with one of them is in the component of all. A
 null key is never linked and has a null component.
@@ -43,11 +46,10 @@ from postsift.sources.staging import pin
 _U = np.uint64
 WEAK = 1
 SPARE = 0.12
-PIVOTS = 64
-#: First turns in which a pivot is held against its nearest member only.
-NEAREST_TURNS = 3
-#: Pivots that a member of a group meets at once.
-CHUNK = 32
+#: Bytes of the sets of pivots, and of members, that meet in one task.
+CELL_BYTES = 8_000_000
+#: Pairs of pivot and member whose sketches are compared at once.
+SKETCH_PAIRS = 100_000
 #: Keys of dropped documents up to this number are broadcast, about 16 MB.
 BROADCAST_KEYS = 1_000_000
 _SEEDS = seeded("partenum", 8)
@@ -161,9 +163,13 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return int64_column(column.fill_null(0)), known
 
 
-def _member_sum(ids: np.ndarray) -> np.ndarray:
-    """What a document adds to the name of its group; the name is the sum over its members."""
-    return mix(mix(ids.astype(_U)) + _SEEDS[0])
+def set_digests(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> list[bytes]:
+    """128 bits that follow from the elements of each set."""
+    sums = np.zeros((n_rows, 2), _U)
+    with np.errstate(over="ignore"):
+        for i in (0, 1):
+            np.add.at(sums[:, i], rows, mix(hashes ^ _SEEDS[i]))
+    return [s.tobytes() for s in sums]
 
 
 def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,46 +178,27 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets; the component
     is the smallest key reachable by links."""
     n = n_blocks(text_bytes(docs, text))
-    found = pin(_find(docs, n, size, percent, key, text), "partenum")
-    info = found.filter("kind = 0").select(F.col("a").alias("id"), "n", "bits", F.col("t"))
-    groups = pin(found.filter("kind = 2").select(F.col("b").alias("gid"), F.col("a").alias("id")).distinct(), "groups")
-    pairs = found.filter("kind = 1").select("a", "b").distinct()
-    edges = pin(_verify(pairs, info, size, percent), "links")
-    checked, reach, top, turn = [pairs], 0, 1, 0
-    while True:
-        labels = pin(components(edges), "components")
-        if reach >= top:
-            break  # in the last turn, all members outside the largest components were pivots
-        at = groups.join(labels, groups.id == labels.node, "left").select(
-            "gid", "id", F.coalesce("component", "id").alias("c")
-        )
-        # Groups with several components, and the component with most members of each.
-        counts = at.groupBy("gid", "c").agg(F.count(F.lit(1)).alias("members"))
-        mixed = counts.groupBy("gid").agg(
-            F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "c")).alias("most"), F.sum("members").alias("m")
-        ).filter("parts > 1").select("gid", F.col("most.c").alias("most"), (F.col("m") - F.col("most.members")).alias("others"))
-        mixed = pin(at.join(mixed, "gid"), "mixed")
-        top = mixed.agg(F.max("others")).first()[0]
-        if top is None:
-            break
-        # At first, each pivot is only held against its nearest member, which joins most of what is
-        # similar; then against all members that sizes and sketches allow.
-        turn += 1
-        nearest = turn <= NEAREST_TURNS
-        reach = 0 if nearest else max(PIVOTS, 8 * reach)
-        more = _near_members(mixed, info, top if nearest else reach, percent, nearest)
-        for old in checked:
-            more = more.join(old, ["a", "b"], "left_anti")
-        more = pin(more, "pairs")
-        checked.append(more)
-        # Groups whose members were all pivots are done; those with others left out have a further turn.
-        done = mixed.filter(F.col("others") <= reach).select("gid").distinct()
-        groups = groups if nearest else pin(groups.join(done, "gid", "left_anti"), "groups")
-        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        edges = stars.unionByName(pin(_exact(more, info, size, percent), "links"))
-    return info.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")).join(
-        labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sent = pin(_find(docs, n, size, percent, key, text), "partenum")
+    rows = sent.filter("kind = 0").select(F.col("a").alias("id"), "n", "bits", "s", "d")
+    known = rows.filter("s is not null and id is not null")
+    # Equal sets are one node, the least key of them.
+    least = known.groupBy("d").agg(F.min("id").alias("node"))
+    nodes = pin(known.select("d", "id").distinct().join(least, "d").select("id", "node").distinct(), "nodes")
+    first = [F.first(c).alias(c) for c in ("n", "bits", "s")]  # of rows that are equal in all
+    sets = pin(known.join(least.withColumnRenamed("node", "id"), ["id", "d"], "left_semi").groupBy("id", "d").agg(*first).drop("d"), "sets")
+    pairs = _candidates(sent, n).join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b")
+    pairs = pin(pairs.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+    stars = components(_linked(pairs, sets, percent))
+    edges = stars.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = edges.unionByName(pin(_rest(pairs, stars, sets, percent), "links"))
+    # Rows of one key may have several sets, whose nodes then are one document.
+    several = nodes.groupBy("id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    edges = edges.unionByName(nodes.join(several, "id").select(F.col("node").alias("a"), "b"))
+    labels = components(edges)
+    found = nodes.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    return rows.select("id", "n").join(found, "id", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    )
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,106 +211,100 @@ def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, key:
     return docs.join(dropped, key, "left_anti").select(*docs.columns)
 
 
+_SENT = "kind int, bucket int, block int, keys binary, least binary, a long, n long, bits binary, s binary, d binary"
+
+
 def _find(docs: DataFrame, n: int, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """kind 0: (a id, n shingles, bits sketch, t text if a signature is shared); 1: candidates (a, b);
-    2: (a member, b group) of groups of three and more."""
+    """kind 0: (a id, n shingles; bits sketch, s set and d digest if a signature is shared), a row per document;
+    1: (bucket, block, keys, least): the shared signatures of a block and the least document of each, by bucket;
+    2: (block, keys, least): which shared signature each document of a block has, as places and ids."""
     parts = blocks(docs, n, key, text)
-    keys_of = functools.partial(_keys, size=size, percent=percent)
-    answers = shared_keys(parts, keys_of, n)
+    answers = shared_keys(parts, functools.partial(_keys, size=size, percent=percent), n)
 
     def send(table: pa.Table, answer: pa.Table) -> pa.Table:
         block = (table if table.num_rows else answer).column("block")[0].as_py()
-        shared = shared_of_block(table, keys_of, answer, n)
-        owner, ids = _members(table, keys_of, shared)
-        first = np.searchsorted(owner, np.arange(len(shared)))
-        empty = not len(shared)
-        least = ids[first] if not empty else np.empty(0, np.int64)
-        total = np.add.reduceat(_member_sum(ids), first) if not empty else np.empty(0, _U)
-        count = np.diff(np.append(first, len(owner))).astype(np.int32)
-        buckets, at = by_bucket(shared, n)
-        full = np.flatnonzero(at[1:] > at[:-1])
-        cut = lambda x: packed([x[at[b] : at[b + 1]] for b in full])
-        return pa.table({
-            "bucket": pa.array(buckets[full], pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32()),
-            "keys": cut(shared), "least": cut(least), "total": cut(total), "count": cut(count),
-        })
-
-    def gather(table: pa.Table) -> pa.Table:
-        keys, at = unpacked(table.column("keys"), _U)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        sizes = np.diff(np.append(first, len(ordered)))
-        out = {}
-        for name, dtype, how in (("least", np.int64, np.minimum), ("total", _U, np.add), ("count", np.int32, np.add)):
-            value = how.reduceat(unpacked(table.column(name), dtype)[0][order], first)
-            back = np.empty(len(keys), dtype)
-            back[order] = np.repeat(value, sizes)
-            out[name] = packed([back[at[i] : at[i + 1]] for i in range(len(at) - 1)])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "keys": table.column("keys"), **out})
-
-    def result(table: pa.Table, replies: pa.Table) -> pa.Table:
-        order = np.argsort(replies.column("bucket").to_numpy())
-        replies = replies.take(pa.array(order))
-        shared, least = unpacked(replies.column("keys"), _U)[0], unpacked(replies.column("least"), np.int64)[0]
-        total, count = unpacked(replies.column("total"), _U)[0], unpacked(replies.column("count"), np.int32)[0]
-        owner, ids = _members(table, keys_of, shared)
-        candidate = ids != least[owner]
-        pairs = np.unique(np.stack([ids[candidate], least[owner][candidate]], axis=1), axis=0)
-        several = count[owner] > 2
-        members = np.unique(np.stack([ids[several], total[owner][several].astype(np.int64)], axis=1), axis=0)
-        row_ids, known = _ids(table)
-        needed = np.isin(row_ids, ids) & known
-        counts, bits = np.zeros(len(row_ids), np.int64), []
-        for a, m, hashes, rows in _sets(table, size):
+        ids, known = _ids(table)
+        slices = list(_sets(table, size))
+        signed = []
+        for a, m, hashes, rows in slices:
+            found, owner = signatures(hashes, rows, m, percent)
+            keep = known[owner + a]
+            signed.append((found[keep], owner[keep] + a))
+        shared = shared_of_block(table, lambda _: ((k, ids[o]) for k, o in signed), answer, n)
+        at, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for keys, owner in signed:
+            hit = contains(shared, keys)
+            at.append(np.searchsorted(shared, keys[hit]))
+            row.append(owner[hit])
+        at, row = np.concatenate(at), np.concatenate(row)
+        needed = np.zeros(len(ids), bool)
+        needed[row] = True
+        at, member = _distinct(at, ids[row])
+        first = np.searchsorted(at, np.arange(len(shared)))
+        least = member[first] if len(shared) else np.empty(0, np.int64)
+        buckets, ends = by_bucket(shared, n)
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        counts, bits, sets, digests = np.zeros(len(ids), np.int64), [], [], []
+        for a, m, hashes, rows in slices:
             counts[a : a + m] = np.bincount(rows, minlength=m)
-            bits += sketches(hashes, rows, m)
-        texts = table.column("row_text").combine_chunks()
-        one = [(table.column("row_key").combine_chunks(), None, counts,
-                pa.array([b if need else None for b, need in zip(bits, needed)], pa.binary()),
-                pc.if_else(pa.array(needed), texts, None))]
+            end = np.concatenate(([0], np.cumsum(counts[a : a + m])))
+            want = needed[a : a + m].tolist()
+            bits += [b if w else None for b, w in zip(sketches(hashes, rows, m), want)]
+            sets += [hashes[end[i] : end[i + 1]].tobytes() if w else None for i, w in enumerate(want)]
+            digests += [b if w else None for b, w in zip(set_digests(hashes, rows, m), want)]
         return pa.concat_tables([
-            _found(0, *one[0]), _found(1, pairs[:, 0], pairs[:, 1], None, None, None),
-            _found(2, members[:, 0], members[:, 1], None, None, None),
+            _sent(0, len(ids), a=table.column("row_key").combine_chunks(), n=counts, bits=bits, s=sets, d=digests),
+            _sent(1, len(full), bucket=buckets[full], block=np.full(len(full), block),
+                  keys=[shared[ends[b] : ends[b + 1]].tobytes() for b in full], least=[least[ends[b] : ends[b + 1]].tobytes() for b in full]),
+            _sent(2, 1, block=np.full(1, block), keys=[at.tobytes()], least=[member.tobytes()]),
         ])
 
-    sent = parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        send, "bucket int, block int, keys binary, least binary, total binary, count binary"
-    )
-    replies = sent.groupBy("bucket").applyInArrow(
-        gather, "block int, bucket int, keys binary, least binary, total binary, count binary"
-    )
-    return parts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        result, "kind int, a long, b long, n long, bits binary, t string"
-    )
+    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, _SENT)
 
 
-def _members(table: pa.Table, keys_of, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the sorted `shared` keys and the documents that have them, sorted by both."""
-    at, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for keys, ids in keys_of(table):
-        hit = contains(shared, keys)
-        at.append(np.searchsorted(shared, keys[hit]))
-        docs.append(ids[hit])
-    at, docs = np.concatenate(at), np.concatenate(docs)
-    order = np.lexsort((docs, at))
-    at, docs = at[order], docs[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (docs[1:] != docs[:-1])
-    return at[new], docs[new]
+def _sent(kind: int, rows: int, **columns) -> pa.Table:
+    kinds = {c.split()[0]: {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in _SENT.split(", ")}
+    columns["kind"] = np.full(rows, kind)
+    fill = lambda v, of: pa.nulls(rows, of) if v is None else v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, of)
+    return pa.table({name: fill(columns.get(name), of) for name, of in kinds.items()})
 
 
-def _found(kind, a, b, n, bits, t) -> pa.Table:
-    size = len(a)
-    fill = lambda v, kind: pa.nulls(size, kind) if v is None else v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, kind)
-    return pa.table({
-        "kind": pa.array(np.full(size, kind) if size else [], pa.int32()), "a": fill(a, pa.int64()), "b": fill(b, pa.int64()),
-        "n": fill(n, pa.int64()), "bits": fill(bits, pa.binary()), "t": fill(t, pa.string()),
-    })
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return first[new], second[new]
 
 
-def _known(info: DataFrame) -> DataFrame:
-    return info.filter("t is not null and id is not null")
+def _candidates(sent: DataFrame, n: int) -> DataFrame:
+    """(a, b): each document and the least one of all documents that share a signature with it."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, at = unpacked(table.column("keys"), _U)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        least = np.minimum.reduceat(unpacked(table.column("least"), np.int64)[0][order], first)
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.repeat(least, np.diff(np.append(first, len(ordered))))
+        return pa.table({
+            "block": table.column("block"), "bucket": table.column("bucket"),
+            "least": packed([back[at[i] : at[i + 1]] for i in range(len(at) - 1)]),
+        })
+
+    def result(own: pa.Table, replies: pa.Table) -> pa.Table:
+        replies = replies.take(pa.array(np.argsort(replies.column("bucket").to_numpy())))
+        least = unpacked(replies.column("least"), np.int64)[0]
+        at, ids = unpacked(own.column("keys"), np.int64)[0], unpacked(own.column("least"), np.int64)[0]
+        a, b = _distinct(ids, least[at])
+        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
+
+    packets = sent.filter("kind = 1").select("bucket", "block", "keys", "least")
+    replies = packets.groupBy("bucket").applyInArrow(gather, "block int, bucket int, least binary")
+    own = sent.filter("kind = 2").select("block", "keys", "least")
+    return own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(result, "a long, b long")
 
 
 def _near(na: np.ndarray, nb: np.ndarray, bits_a: pa.Array, bits_b: pa.Array, at_a: np.ndarray, at_b: np.ndarray,
@@ -351,9 +332,9 @@ def _near(na: np.ndarray, nb: np.ndarray, bits_a: pa.Array, bits_b: pa.Array, at
     return keep & (distance <= bound), distance
 
 
-def _verify(pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    small = _known(info).select("id", "n", "bits")
+    small = sets.select("id", "n", "bits")
     both = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
 
     def near(batches):
@@ -364,75 +345,74 @@ def _verify(pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataF
             )
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _exact(both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long"), info, size, percent)
-
-
-def _near_members(mixed: DataFrame, info: DataFrame, reach: int, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of members of different components of a group that sizes and sketches allow.
-
-    Each pair of components of a group has a side that is not the largest one: pivots are of those,
-    about `reach` of a group. They are put in chunks, and every member meets whole chunks, so that
-    only pairs that may be similar become rows; with `nearest`, only the best of each pivot and batch."""
-    member = mixed.join(_known(info).select("id", "n", "bits"), "id")
-    pivot = F.struct("id", "c", "n", "bits")
-    turn = F.pmod(F.xxhash64("gid", "id"), F.col("others")) < reach
-    # Long sketches make smaller chunks.
-    chunks = F.ceil(F.least(F.col("others"), F.lit(reach)) * F.greatest(F.lit(1), F.length("bits") / 256) / CHUNK)
-    chunk = F.pmod(F.xxhash64("id", "gid"), chunks)
-    pivots = member.filter((F.col("c") != F.col("most")) & turn).groupBy("gid", chunk.alias("chunk")).agg(
-        F.collect_list(pivot).alias("pivots")  # CHUNK of them or less
-    )
-    rows = member.join(pivots, "gid").select("id", "c", "n", "bits", "pivots")
-
-    def near(batches):
-        for batch in batches:
-            lists = batch.column(4)
-            pivots, ends = lists.flatten(), lists.offsets.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            of = np.arange(len(row))
-            p, ids = (int64_column(x) for x in (pivots.field("id"), batch.column(0)))
-            cross = int64_column(pivots.field("c")) != int64_column(batch.column(1))[row]
-            row, of = row[cross], of[cross]
-            # A pair may come from several groups of the batch.
-            both = np.stack([np.maximum(ids[row], p[of]), np.minimum(ids[row], p[of])], axis=1)
-            both, first = np.unique(both, axis=0, return_index=True)
-            row, of = row[first], of[first]
-            n, pn = int64_column(batch.column(2)), int64_column(pivots.field("n"))
-            keep, distance = _near(n[row], pn[of], batch.column(3), pivots.field("bits"), row, of, percent)
-            if nearest and len(both):
-                order = np.lexsort((distance, p[of]))
-                order = order[keep[order]]
-                best = np.unique(p[of][order], return_index=True)[1]
-                keep = np.zeros(len(keep), bool)
-                keep[order[best]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(both[keep, i]) for i in (0, 1)], names=["a", "b"])
-
-    return rows.mapInArrow(near, "a long, b long").distinct()
-
-
-def _exact(near_pairs: DataFrame, info: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    rows = _known(info)
-    texts = rows.select("id", "t")
-    joined = near_pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-
     def exact(batches):
         for batch in batches:
-            (da, oa), (db, ob) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
+            (ha, ea), (hb, eb) = unpacked(batch.column(2), _U), unpacked(batch.column(3), _U)
             keep = np.zeros(batch.num_rows, bool)
-            for lo, hi in row_slices(oa + ob):
-                sides = []
-                for data, offsets in ((da, oa), (db, ob)):
-                    found, rows = words.word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    sides.append(words.shingles(found, rows, hi - lo, size))
-                (ha, ra), (hb, rb) = sides
-                h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                twice = np.flatnonzero((h[1:] == h[:-1]) & (r[1:] == r[:-1]))
-                common = np.bincount(r[twice], minlength=hi - lo)
-                union = np.bincount(r, minlength=hi - lo) - common
-                keep[lo:hi] = (100 * common >= percent * union) & (union > 0)
+            for i in range(batch.num_rows):
+                x, y = ha[ea[i] : ea[i + 1]], hb[eb[i] : eb[i + 1]]
+                common = int(contains(x, y).sum())
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
+    close = both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+    whole = sets.select("id", "s")
+    joined = close.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(exact, "a long, b long").distinct()
+
+
+def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one least document that are in different components so far."""
+    member = pairs.select(F.col("b").alias("home"), F.col("a").alias("id")).unionByName(pairs.select("b", "b").distinct().toDF("home", "id"))
+    at = member.join(stars, member["id"] == stars["node"], "left").select("home", "id", F.coalesce("component", "id").alias("c"))
+    size = sets.groupBy("id").agg(F.sum(F.col("n") * 8 + F.length("bits")).alias("bytes"))
+    at = pin(at.join(size, "id"), "members")
+    counts = at.groupBy("home", "c").agg(F.sum("bytes").alias("bytes"))
+    mixed = counts.groupBy("home").agg(
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("bytes", "c")).alias("most"), F.sum("bytes").alias("whole")
+    ).filter("parts > 1").select("home", F.col("most.c").alias("most"), "whole", (F.col("whole") - F.col("most.bytes")).alias("others"))
+    mixed = pin(mixed, "mixed")
+    chunks, slices = (F.ceil(F.col(c) / F.lit(CELL_BYTES)).cast("int") for c in ("others", "whole"))
+    met = at.drop("bytes").join(mixed, "home").select(
+        "home", "id", "c", (F.col("c") != F.col("most")).alias("pivot"), chunks.alias("chunks"), slices.alias("slices")
+    )
+    # A pivot meets all slices of the members, a member all chunks of the pivots; sets follow their ids.
+    own = lambda n: F.pmod(F.xxhash64("id", "home"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = met.filter("pivot").select("home", "id", "c", "pivot", own("chunks").alias("chunk"), every("slices").alias("slice"))
+    asked = met.select("home", "id", "c", F.lit(False).alias("pivot"), every("chunks").alias("chunk"), own("slices").alias("slice"))
+    rows = asking.unionByName(asked).join(sets, "id").select("home", "chunk", "slice", "id", "c", "pivot", "n", "bits", "s")
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        pivot = np.asarray(table.column("pivot").to_numpy(zero_copy_only=False), bool)
+        ids, n = int64_column(table.column("id")), int64_column(table.column("n"))
+        # Components of this cell, joined as links are found.
+        group = np.unique(int64_column(table.column("c")), return_inverse=True)[1]
+        bits, (hashes, ends) = table.column("bits").combine_chunks(), unpacked(table.column("s"), _U)
+        asking, asked = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        out_a, out_b = [], []
+        step = max(1, SKETCH_PAIRS // max(1, len(asked)))
+        for lo in range(0, len(asking), step):
+            p = np.repeat(asking[lo : lo + step], len(asked))
+            m = np.tile(asked, len(asking[lo : lo + step]))
+            apart = group[p] != group[m]
+            p, m = p[apart], m[apart]
+            keep, _ = _near(n[p], n[m], bits, bits, p, m, percent)
+            p, m = p[keep], m[keep]
+            for k in np.unique(p):
+                rest = m[p == k]
+                rest = rest[group[rest] != group[k]]  # others may have been joined meanwhile
+                if not len(rest):
+                    continue
+                flat = np.concatenate([hashes[ends[i] : ends[i + 1]] for i in rest])
+                begin = np.concatenate(([0], np.cumsum(n[rest])))[:-1]
+                common = np.add.reduceat(contains(hashes[ends[k] : ends[k + 1]], flat).astype(np.int64), begin)
+                for i in rest[100 * common >= percent * (n[k] + n[rest] - common)]:
+                    if group[i] != group[k]:
+                        out_a.append(ids[k])
+                        out_b.append(ids[i])
+                        group[group == group[i]] = group[k]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return rows.groupBy("home", "chunk", "slice").applyInArrow(judge, "a long, b long")

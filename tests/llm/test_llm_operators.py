@@ -234,30 +234,30 @@ def test_jaccard_join_equals_brute_force(spark, docs, rows, none, size, percent,
                 base = copy
     rng.shuffle(made)
     monkeypatch.setattr(partenum, "n_blocks", lambda total: 3)
-    monkeypatch.setattr(partenum, "PIVOTS", 2)
+    monkeypatch.setattr(partenum, "CELL_BYTES", 2000)
     table = spark.createDataFrame(made, "doc_id long, text string")
     assert sorted(map(tuple, partenum.similar_sets(table, size, percent).collect()), key=repr) == _plain_components(made, size, percent)
     assert partenum.similar_sets(none).count() == 0
 
 
-def test_members_that_were_no_pivots_are_checked_after_a_merge(spark, monkeypatch):
-    """A turn merges two large components of a group; pairs of members that were no pivots still link."""
+def test_members_that_met_in_different_cells_still_link(spark, monkeypatch):
+    """Candidates join two large components; pairs of other members, dealt to many cells, still link."""
     rng = random.Random(17)
-    copies, made = _text(rng, 40), []
-    made += [(i, copies) for i in range(81)]
-    made += [(100 + 2 * i + side, text) for i, text in enumerate(_text(rng, 40) for _ in range(12)) for side in (0, 1)]
-    links = [(0, i) for i in range(1, 41)] + [(41, i) for i in range(42, 81)]
-    data = np.frombuffer("".join(t for _, t in made).encode(), np.uint8)
-    found, at = words.word_hashes(data, np.cumsum([0] + [len(t) for _, t in made]))
-    hashes, at = words.shingles(found, at, len(made), 3)
-    bits, sizes = partenum.sketches(hashes, at, len(made)), np.bincount(at, minlength=len(made)).tolist()
-    rows = [(0, k, None, n, b, t) for (k, t), n, b in zip(made, sizes, bits)]
-    rows += [(1, a, b, None, None, None) for a, b in links] + [(2, k, 7, None, None, None) for k, _ in made]
-    table = spark.createDataFrame(rows, "kind int, a long, b long, n long, bits binary, t string")
-    monkeypatch.setattr(partenum, "_find", lambda *a: table)
-    monkeypatch.setattr(partenum, "NEAREST_TURNS", 0)
-    monkeypatch.setattr(partenum, "PIVOTS", 24)
+    base = _text(rng, 40).split()
+    made = [(i, " ".join(base[:i % 9] + ["n"] + base[i % 9 + 1 :]) if i else " ".join(base)) for i in range(81)]
+    made += [(100 + 2 * i + side, text + (" end" if side else "")) for i, text in enumerate(_text(rng, 40) for _ in range(12)) for side in (0, 1)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
+    sent = partenum._find(docs, 1, 3, 90, "doc_id", "text")
+    sets = sent.filter("kind = 0").selectExpr("a as id", "n", "bits", "s").filter("s is not null").cache()
+    pairs = spark.createDataFrame([(i, 0) for i, _ in made if i], "a long, b long").join(sets.select("id").withColumnRenamed("id", "a"), "a")
+    stars = spark.createDataFrame([(i, 0) for i in range(41)] + [(i, 41) for i in range(41, 81)], "node long, component long")
+    expected = {frozenset((i, j)) for (i, s), (j, t) in itertools.combinations([(i, _shingles(t, 3)) for i, t in made], 2)
+                if 100 * len(s & t) >= 90 * len(s | t)}
+    for cell in (10_000_000, 1500):
+        monkeypatch.setattr(partenum, "CELL_BYTES", cell)
+        found = {frozenset((r.a, r.b)) for r in partenum._rest(pairs, stars, sets, 90).collect()}
+        assert found <= expected and {frozenset((100 + 2 * i, 101 + 2 * i)) for i in range(12)} <= found
+        assert any(min(f) < 41 <= max(f) < 81 for f in found) == any(min(f) < 41 <= max(f) < 81 for f in expected)
     assert sorted(map(tuple, partenum.similar_sets(docs).collect()), key=repr) == _plain_components(made, 3, 90)
 
 
