@@ -228,7 +228,7 @@ def fit_boosted_meta(spark, sf_dir):
 @query("tune")
 def tune(spark, sf_dir, n_trials=PLAN.linear_trials):
     _, _, train = _prepared(spark, sf_dir)
-    found = ln.tune(train, ln.fit_logistic, ln.LOGISTIC_SPACE, n_trials)
+    found = ln.tune_linear(train, "logistic", n_trials)
     return found.table(spark).withColumn("n_trials", F.lit(n_trials))
 
 
@@ -264,28 +264,30 @@ def train_stacked(spark, sf_dir, linear_trials=PLAN.linear_trials, boost_trials=
 
 
 @query("score")
-def score(spark, sf_dir):
+def score(spark, sf_dir, linear_trials=0, boost_trials=0):
+    """All documents scored; scoring needs a trained model, and no search unless asked for."""
     texts = documents(spark, sf_dir).select(F.col("doc_id").alias("post_id"), "text")
-    out = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials).score(texts)
-    return out.select("post_id", "label", F.round("confidence", 6).alias("confidence"),
-                      "display", "risk_level")
+    out = _stacked(spark, sf_dir, linear_trials, boost_trials).score(texts)
+    return _with_trials(out.select("post_id", "label", F.round("confidence", 6).alias("confidence"),
+                                   "display", "risk_level"), linear_trials, boost_trials)
 
 
 @query("save_load_model")
-def save_load_model(spark, sf_dir):
+def save_load_model(spark, sf_dir, linear_trials=0, boost_trials=0):
     """Scores of the model before saving and after loading, side by side."""
-    model, path = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials), _folder(spark, "model")
+    model, path = _stacked(spark, sf_dir, linear_trials, boost_trials), _folder(spark, "model")
     tr.save_model(model, path)
     texts = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text"
     )
     before = model.score(texts).select("post_id", "label", F.round("confidence", 6).alias("before"))
     after = tr.load_model(spark, path).score(texts)
-    return before.join(after.select("post_id", F.round("confidence", 6).alias("after")), "post_id")
+    both = before.join(after.select("post_id", F.round("confidence", 6).alias("after")), "post_id")
+    return _with_trials(both, linear_trials, boost_trials)
 
 
 @query("score_stream")
-def score_stream_query(spark, sf_dir):
+def score_stream_query(spark, sf_dir, linear_trials=0, boost_trials=0):
     """Conversation turns as a file stream."""
     source = _folder(spark, "stream-in")
     table(spark, sf_dir, "conversations").select(
@@ -293,6 +295,7 @@ def score_stream_query(spark, sf_dir):
     ).write.parquet(source)
     out = _folder(spark, "stream-out")
     stream = spark.readStream.schema("post_id long, text string").parquet(source)
-    model = _stacked(spark, sf_dir, PLAN.linear_trials, PLAN.boost_trials)
+    model = _stacked(spark, sf_dir, linear_trials, boost_trials)
     score_stream(model, stream, out, _folder(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out).select("post_id", "label", F.round("confidence", 6).alias("confidence"))
+    found = spark.read.parquet(out).select("post_id", "label", F.round("confidence", 6).alias("confidence"))
+    return _with_trials(found, linear_trials, boost_trials)

@@ -1,4 +1,4 @@
-"""Learners on Spark ML: linear models, boosted trees, random search and out-of-fold stacking.
+"""Learners: linear models on Spark ML, boosted trees, searches and out-of-fold stacking.
 
 Every model offers `scores(df, out)`, which adds an ARRAY<DOUBLE> of class probabilities as Column
 expressions over JVM model transforms; nothing but fitted parameters comes to the driver. Loops on
@@ -18,8 +18,6 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LinearSVC,
     LinearSVCModel,
     LogisticRegression,
@@ -32,7 +30,9 @@ from pyspark.sql import functions as F
 
 from postsift import fixed_values as fv
 from postsift.functions.scores import softmax
+from postsift.operators import boosting
 from postsift.operators import evaluate as ev
+from postsift.operators import search as se
 from postsift.operators.sampling import union_all
 from postsift.sources.staging import pin
 
@@ -40,22 +40,19 @@ from postsift.sources.staging import pin
 LOGISTIC_SPACE = {"c": ("log", 1e-3, 10.0), "tol": ("log", 1e-4, 1e-3)}
 SVM_SPACE = {"c": ("log", 1e-3, 5.0), "tol": ("log", 1e-4, 1e-3)}
 BOOST_SPACE = {
+    "num_leaves": ("int", 31, 255),
     "max_depth": ("int", 4, 12),
     "learning_rate": ("log", 0.01, 0.3),
     "n_estimators": ("int", 300, 2000),
     "min_child_samples": ("int", 10, 100),
+    "reg_alpha": ("log", 1e-4, 10.0),
+    "reg_lambda": ("log", 1e-4, 10.0),
     "subsample": ("float", 0.5, 1.0),
+    "bagging_freq": ("int", 1, 7),
     "colsample_bytree": ("float", 0.5, 1.0),
 }
 BROADCAST_BYTES = 256 * 2**20
-BOOST_DEFAULTS = {
-    "max_depth": 5,
-    "learning_rate": 0.1,
-    "n_estimators": 100,
-    "min_child_samples": 20,
-    "subsample": 1.0,
-    "colsample_bytree": 1.0,
-}
+BOOST_DEFAULTS = boosting.DEFAULTS
 
 
 def index_labels(df: DataFrame, label: str, out: str = "label") -> tuple[list[str], DataFrame]:
@@ -110,31 +107,23 @@ def fit_logistic(
 
 @dataclass
 class OneVsRest:
-    """One binary model per class. Its transforms stay in the JVM, class after class."""
+    """One linear SVM per class. Its transforms stay in the JVM, class after class."""
 
     models: list[Any]
-    kind: str  # svm or boost
     features: str = "features"
 
     def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
-        """softmax of the SVM decisions, or the shares of the boosted class odds."""
+        """softmax of the SVM decisions."""
         scored = df
         for i, model in enumerate(self.models):
             one = model.copy({model.rawPredictionCol: f"_raw{i}"})
             keep = [c for c in scored.columns]
             scored = one.transform(scored).select(*keep, f"_raw{i}")
         margins = [vector_to_array(f"_raw{i}")[1] for i in range(len(self.models))]
-        if self.kind == "svm":
-            p = softmax(F.array(*margins))
-        else:
-            odds = [1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins]
-            p = F.transform(F.array(*odds), lambda x: x / sum(odds[1:], odds[0]))
-        return scored.withColumn(out, p).select(*df.columns, out)
+        return scored.withColumn(out, softmax(F.array(*margins))).select(*df.columns, out)
 
     def linear(self) -> tuple[np.ndarray, np.ndarray]:
-        """(classes x features, intercepts) of a linear SVM."""
-        if self.kind != "svm":
-            raise ValueError("trees have no coefficients")
+        """(classes x features, intercepts)"""
         return (
             np.stack([m.coefficients.toArray() for m in self.models]),
             np.array([m.intercept for m in self.models]),
@@ -144,7 +133,7 @@ class OneVsRest:
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/class={i}")
         spark = SparkSession.active()
-        meta = [(json.dumps({"kind": self.kind, "n": len(self.models), "features": self.features}),)]
+        meta = [(json.dumps({"n": len(self.models), "features": self.features}),)]
         spark.createDataFrame(meta, "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/meta"
         )
@@ -152,9 +141,7 @@ class OneVsRest:
     @classmethod
     def load(cls, path: str) -> "OneVsRest":
         meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
-        reader = LinearSVCModel if meta["kind"] == "svm" else GBTClassificationModel
-        models = [reader.load(f"{path}/class={i}") for i in range(meta["n"])]
-        return cls(models, meta["kind"], meta["features"])
+        return cls([LinearSVCModel.load(f"{path}/class={i}") for i in range(meta["n"])], meta["features"])
 
 
 def _per_class(n: int, fit: Callable[[int], Any], parallelism: int) -> list[Any]:
@@ -186,69 +173,26 @@ def fit_linear_svm(
         )
         return learner.fit(side)
 
-    return OneVsRest(_per_class(n_classes, fit, parallelism), "svm", features)
+    return OneVsRest(_per_class(n_classes, fit, parallelism), features)
 
 
 # --- boosted trees ----------------------------------------------------------------------
 
 
-def _fit_boosted(
-    df: DataFrame, params: Mapping[str, Any], n_classes: int, features: str, label: str,
-    valid: str | None, seed: int, parallelism: int,
-) -> OneVsRest:
-    p = {**BOOST_DEFAULTS, **params}
-
-    def fit(i: int) -> GBTClassificationModel:
-        keep = [features] + ([valid] if valid else [])
-        side = df.select(*keep, (F.col(label) == i).cast("double").alias("_y"))
-        train = side.filter(~F.col(valid)) if valid else side
-        learner = GBTClassifier(
-            featuresCol=features, labelCol="_y", maxIter=int(p["n_estimators"]),
-            stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]),
-            minInstancesPerNode=int(p["min_child_samples"]), subsamplingRate=float(p["subsample"]),
-            featureSubsetStrategy=_share_text(p["colsample_bytree"]), seed=seed,
-        )
-        model = learner.fit(train)
-        if valid:
-            rounds = best_round(model.evaluateEachIteration(side.filter(F.col(valid))))
-            if rounds < int(p["n_estimators"]):
-                model = learner.setMaxIter(rounds).fit(train)
-        return model
-
-    return OneVsRest(_per_class(n_classes, fit, parallelism), "boost", features)
-
-
-def best_round(losses: Sequence[float], patience: int = fv.BOOST_PATIENCE) -> int:
-    """The round of least held-out loss before `patience` rounds without a new least one; from 1 on."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _share_text(share: float) -> str:
-    return "all" if share >= 1.0 else f"{share:.4f}"
-
-
 def fit_boosted_flat(
     df: DataFrame, params: Mapping[str, Any] | None = None, n_classes: int = 2,
-    features: str = "features", label: str = "label", valid: str | None = None,
-    seed: int = fv.SEED, parallelism: int = 4,
-) -> OneVsRest:
+    features: str = "features", label: str = "label", valid: str | None = None, seed: int = fv.SEED,
+) -> boosting.Boosted:
     """Boosted trees on the flat vector of term and lexicon features."""
-    return _fit_boosted(df, params or {}, n_classes, features, label, valid, seed, parallelism)
+    return boosting.fit(df, params, n_classes, features, label, seed=seed, valid=valid)
 
 
 def fit_boosted_meta(
     df: DataFrame, params: Mapping[str, Any] | None = None, n_classes: int = 2,
-    features: str = "meta", label: str = "label", valid: str | None = None,
-    seed: int = fv.SEED, parallelism: int = 4,
-) -> OneVsRest:
+    features: str = "meta", label: str = "label", valid: str | None = None, seed: int = fv.SEED,
+) -> boosting.Boosted:
     """Boosted trees on the base models' probabilities beside the lexicon features."""
-    return _fit_boosted(df, params or {}, n_classes, features, label, valid, seed, parallelism)
+    return boosting.fit(df, params, n_classes, features, label, seed=seed, valid=valid)
 
 
 # --- model selection --------------------------------------------------------------------
@@ -289,9 +233,13 @@ class Tuning:
     score: float
     trials: list[dict[str, Any]] = field(default_factory=list)
 
+    @classmethod
+    def of(cls, trials: list[dict[str, Any]], larger: bool) -> "Tuning":
+        best = se.best_of(trials, larger)
+        return cls(best["params"], best["score"], trials)
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, json.dumps(t["params"], sort_keys=True), float(t["score"])) for i, t in enumerate(self.trials)]
-        return spark.createDataFrame(rows, "trial long, params string, score double")
+        return spark.createDataFrame(se.as_rows(self.trials), "trial long, params string, score double")
 
 
 def tune(
@@ -308,7 +256,7 @@ def tune(
 ) -> Tuning:
     """Random search by the mean metric over given folds.
 
-    `fit(train, **params)` returns a model with `scores`; with `early_stop` the held-out fold is
+    For any learner, and for training tables of any size: fits are distributed. `fit(train, **params)` returns a model with `scores`; with `early_stop` the held-out fold is
     also given to it as the column `valid`. Trials run as concurrent Spark jobs.
     """
     measure, larger = METRICS[metric]
@@ -326,8 +274,23 @@ def tune(
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         trials = list(pool.map(run, draw(space, n_trials, seed)))
-    best = (max if larger else min)(trials, key=lambda t: t["score"])
-    return Tuning(best["params"], best["score"], trials)
+    return Tuning.of(trials, larger)
+
+
+def tune_linear(
+    df: DataFrame, kind: str, n_trials: int, n_classes: int = 2, folds: int = fv.FOLDS, seed: int = fv.SEED, **more: Any
+) -> Tuning:
+    """Search of `logistic` or `svm` parameters by Parzen estimates, each trial a task over the training table."""
+    space = {"logistic": LOGISTIC_SPACE, "svm": SVM_SPACE}[kind]
+    return Tuning.of(se.search_linear(df, kind, space, n_trials, n_classes, folds=folds, seed=seed, **more), True)
+
+
+def tune_boosted(
+    df: DataFrame, n_trials: int, n_classes: int = 2, features: str = "features", space=BOOST_SPACE, folds: int = fv.FOLDS,
+    seed: int = fv.SEED, **more: Any,
+) -> Tuning:
+    """Search of boosting parameters by Parzen estimates and the mean held-out log loss."""
+    return Tuning.of(se.search_boosted(df, space, n_trials, n_classes, features, folds=folds, seed=seed, **more), False)
 
 
 # --- stacking ---------------------------------------------------------------------------

@@ -19,10 +19,11 @@ from postsift.operators import evaluate as ev
 from postsift.operators import filters as fl
 from postsift.operators import learners as ln
 from postsift.operators import sampling as sp
+from postsift.operators.boosting import Boosted
 from postsift.operators.lexicon import Lexicons, psych_features, psych_names
 from postsift.operators.vectorize import StandardScaling, TermModel, by_post
 from postsift.plans.scoring import present
-from postsift.sources.staging import pin
+from postsift.sources.staging import _written, fingerprint, pin
 
 
 @dataclass
@@ -40,7 +41,6 @@ class Config:
     linear_params: dict[str, Any] = field(default_factory=dict)  # fixed: max_iter, ...
     boost_params: dict[str, Any] = field(default_factory=dict)  # used when boost_trials is 0
     boost_space: dict[str, Any] = field(default_factory=lambda: dict(ln.BOOST_SPACE))
-    parallelism: int = 2
 
 
 @dataclass
@@ -101,15 +101,22 @@ def _evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     return ev.classification_report(cm)
 
 
-def _search(df, fit, space, trials, metric, cfg, fixed, early_stop=False) -> dict[str, Any]:
-    """Best drawn parameters, or the fixed ones alone when there are no trials."""
-    if trials == 0:
-        return dict(fixed)
-    found = ln.tune(
-        df, partial(fit, **fixed), space, trials, metric, cfg.folds, "fold", cfg.seed,
-        cfg.parallelism, early_stop,
-    )
-    return {**found.best, **fixed}
+def _linear_params(df: DataFrame, kind: str, k: int, cfg: Config) -> dict[str, Any]:
+    """Best parameters of the search, or the fixed ones alone when there are no trials."""
+    if cfg.linear_trials == 0:
+        return dict(cfg.linear_params)
+    found = ln.tune_linear(df, kind, cfg.linear_trials, k, cfg.folds, cfg.seed, **_only(cfg.linear_params, "max_iter"))
+    return {**found.best, **cfg.linear_params}
+
+
+def _boost_params(df: DataFrame, features: str, k: int, cfg: Config) -> dict[str, Any]:
+    if cfg.boost_trials == 0:
+        return dict(cfg.boost_params)
+    return dict(ln.tune_boosted(df, cfg.boost_trials, k, features, cfg.boost_space, cfg.folds, cfg.seed).best)
+
+
+def _only(params: Mapping[str, Any], *names: str) -> dict[str, Any]:
+    return {k: v for k, v in params.items() if k in names}
 
 
 # --- flat -------------------------------------------------------------------------------
@@ -150,7 +157,7 @@ class FlatModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FlatModel":
         meta = _load_meta(spark, path)
-        readers = {"logistic": ln.Logistic, "svm": ln.OneVsRest, "boosted": ln.OneVsRest}
+        readers = {"logistic": ln.Logistic, "svm": ln.OneVsRest, "boosted": Boosted}
         models = {n: readers[n].load(f"{path}/models/{n}") for n in meta["params"]}
         reports = {n: spark.read.json(f"{path}/reports/{n}") for n in meta["params"]}
         return cls(
@@ -183,23 +190,13 @@ def train_flat(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None) -
     scaling = StandardScaling.fit(raw, psych_names())
     train = pin(flat_features(data.train, terms, scaling, lexicons), "flat_train")
     test = pin(flat_features(data.test, terms, scaling, lexicons), "flat_test")
-    fits = {
-        "logistic": (ln.fit_logistic, ln.LOGISTIC_SPACE),
-        "svm": (partial(ln.fit_linear_svm, n_classes=k), ln.SVM_SPACE),
-    }
+    fits = {"logistic": ln.fit_logistic, "svm": partial(ln.fit_linear_svm, n_classes=k)}
     models, params = {}, {}
-    for name, (fit, space) in fits.items():
-        params[name] = _search(train, fit, space, cfg.linear_trials, "macro_f1", cfg, cfg.linear_params)
+    for name, fit in fits.items():
+        params[name] = _linear_params(train, name, k, cfg)
         models[name] = fit(train, **params[name])
-
-    def boosted(df, valid=None, **p):
-        return ln.fit_boosted_flat(df, p, k, valid=valid)
-
-    fixed = cfg.boost_params if cfg.boost_trials == 0 else {}
-    params["boosted"] = _search(
-        train, boosted, cfg.boost_space, cfg.boost_trials, "log_loss", cfg, fixed, early_stop=True
-    )
-    models["boosted"] = boosted(train, **params["boosted"])
+    params["boosted"] = _boost_params(train, "features", k, cfg)
+    models["boosted"] = ln.fit_boosted_flat(train, params["boosted"], k)
     reports = {n: _evaluate(m.scores(test)) for n, m in models.items()}
     return FlatModel(data.labels, terms, scaling, lexicons, models, reports, params)
 
@@ -223,7 +220,7 @@ class StackedModel:
     terms: TermModel
     logistic: ln.Logistic
     svm: ln.OneVsRest
-    boosted: ln.OneVsRest
+    boosted: Boosted
     lexicons: Lexicons
     params: dict[str, dict[str, Any]]
     report: DataFrame | None = None
@@ -262,7 +259,7 @@ class StackedModel:
         return cls(
             meta["labels"], TermModel.load(spark, f"{path}/terms"),
             ln.Logistic.load(f"{path}/logistic"), ln.OneVsRest.load(f"{path}/svm"),
-            ln.OneVsRest.load(f"{path}/boosted"), load_lexicons(spark, f"{path}/lexicons"),
+            Boosted.load(f"{path}/boosted"), load_lexicons(spark, f"{path}/lexicons"),
             meta["params"],
         )
 
@@ -281,10 +278,7 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
     vectors = terms.vectors(data.train, "text", "features")
     train = pin(data.train.drop("text").join(vectors, "post_id"), "term_train")
     svm = partial(ln.fit_linear_svm, n_classes=k)
-    params = {
-        "logistic": _search(train, ln.fit_logistic, ln.LOGISTIC_SPACE, cfg.linear_trials, "macro_f1", cfg, cfg.linear_params),
-        "svm": _search(train, svm, ln.SVM_SPACE, cfg.linear_trials, "macro_f1", cfg, cfg.linear_params),
-    }
+    params = {name: _linear_params(train, name, k, cfg) for name in ("logistic", "svm")}
     learners = {
         "logistic": partial(ln.fit_logistic, **params["logistic"]),
         "svm": partial(svm, **params["svm"]),
@@ -304,14 +298,8 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
         data.test.select("post_id", "label"), "post_id"
     )
 
-    def boosted(df, valid=None, **p):
-        return ln.fit_boosted_meta(df, p, k, valid=valid)
-
-    fixed = cfg.boost_params if cfg.boost_trials == 0 else {}
-    params["boosted"] = _search(
-        meta_train, boosted, cfg.boost_space, cfg.boost_trials, "log_loss", cfg, fixed, early_stop=True
-    )
-    top = boosted(meta_train, **params["boosted"])
+    params["boosted"] = _boost_params(meta_train, "meta", k, cfg)
+    top = ln.fit_boosted_meta(meta_train, params["boosted"], k)
     return StackedModel(
         data.labels, terms, learners["logistic"](train), learners["svm"](train), top, lexicons,
         params, _evaluate(top.scores(meta_test)),
@@ -350,3 +338,15 @@ def load_model(spark: SparkSession, path: str) -> FlatModel | StackedModel:
     """Load what `save_model` wrote; the stored parameters tell the kind."""
     stacked = "scaling" not in _load_meta(spark, path)
     return (StackedModel if stacked else FlatModel).load(spark, path)
+
+
+def train_or_load(rows: DataFrame, lexicons: Lexicons, cfg: Config, root: str, plan=train_stacked) -> FlatModel | StackedModel:
+    """The model stored below `root` under this plan, configuration and content of rows and lexicons, or a new one.
+
+    The folder's meta file is written last and tells a whole model from one whose training was broken off."""
+    spark = rows.sparkSession
+    inputs = [rows, *[getattr(lexicons, p) for p in LEXICON_PARTS]]
+    path = f"{root.rstrip('/')}/{plan.__name__}/fingerprint={fingerprint(asdict(cfg), *inputs)}"
+    if not _written(spark, f"{path}/meta"):
+        save_model(plan(rows, lexicons, cfg), path)
+    return load_model(spark, path)

@@ -210,50 +210,39 @@ def test_sentiment_rules(spark):
     assert got == pytest.approx(want)
 
 
-def test_model_queries_use_the_values_of_the_package(spark, sf_dir, lex, monkeypatch):
-    from types import SimpleNamespace
+def test_a_search_runs_in_the_stacked_plan_and_its_model_is_reused(spark, sf_dir, rows, lex, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    cfg = replace(CFG, linear_trials=3, boost_trials=3, linear_params={"max_iter": 50}, boost_params={},
+                  boost_space={**ln.BOOST_SPACE, "n_estimators": ("int", 5, 15), "min_child_samples": ("int", 2, 5)})
+    counted = []
+    tune_linear, tune_boosted = ln.tune_linear, ln.tune_boosted
+    monkeypatch.setattr(ln, "tune_linear", lambda *a, **k: counted.append(tune_linear(*a, **k)) or counted[-1])
+    monkeypatch.setattr(ln, "tune_boosted", lambda *a, **k: counted.append(tune_boosted(*a, **k)) or counted[-1])
+    rows = st.pin(rows.filter("post_id < 150"), "rows")
+    model = tr.train_or_load(rows, lex, cfg, str(tmp_path))
+    assert [len(c.trials) for c in counted] == [3, 3, 3]
+    assert model.params["boosted"] == counted[2].best and model.params["logistic"] == {**counted[0].best, "max_iter": 50}
+    again = tr.train_or_load(rows, lex, cfg, str(tmp_path))
+    assert len(counted) == 3  # loaded, not trained
+    texts = rows.select("post_id", "text")
+    a, b = ({r["post_id"]: r["confidence"] for r in m.score(texts).collect()} for m in (model, again))
+    assert a == b
+    monkeypatch.setattr(tr, "save_model", lambda *a: counted.append("trained"))
+    with pytest.raises(Exception):
+        tr.train_or_load(rows.limit(100), lex, replace(CFG, linear_params={"max_iter": 1}), str(tmp_path))
+    assert counted[-1] == "trained"  # other rows or another configuration are trained anew
+
+
+def test_model_queries_search_with_the_trials_of_the_package():
+    from inspect import signature
 
     from catalog import model_queries as mq
-    from postsift.operators.lexicon import psych_names
-
-    seen = {}
-    report = spark.createDataFrame([(0.5,)], "f1 double")
-
-    def trained(name):
-        def train(rows, lexicons, cfg):
-            seen[name] = cfg
-            return SimpleNamespace(report=report, reports={"logistic": report})
-        return train
-
-    def fitted(meta, params=None, **more):
-        seen["meta"] = meta, params
-        return SimpleNamespace(scores=lambda df: df.select("post_id", F.array(F.lit(0.5)).alias("p")))
-
-    def stacked(train, learners, **more):
-        seen["base"] = learners
-        half = F.array(F.lit(0.5), F.lit(0.5))
-        return train.select("post_id", *[half.alias(name) for name in learners]), {}
-
-    def tuned(train, fit, space, n, **more):
-        seen["tune"] = fit, n
-        return ln.Tuning({}, 0.0, [{"params": {}, "score": 0.0}])
-
-    texts = spark.createDataFrame([(i, f"a happy text {i}", float(i % 2)) for i in range(6)], "post_id long, text string, label double")
-    prepared = SimpleNamespace(train=texts), None, texts
-    monkeypatch.setattr(mq, "_prepared", lambda *a: prepared)
-    monkeypatch.setattr(tr, "train_flat", trained("flat"))
-    monkeypatch.setattr(tr, "train_stacked", trained("stacked"))
-    monkeypatch.setattr(ln, "fit_boosted_meta", fitted)
-    monkeypatch.setattr(ln, "oof_stack", stacked)
-    monkeypatch.setattr(ln, "tune", tuned)
-
-    mq._stacked.cache_clear()
-    found = mq.train_flat(spark, sf_dir).first(), mq.train_stacked(spark, sf_dir).first()
-    mq._stacked.cache_clear()
-    assert [(r.linear_trials, r.boost_trials) for r in found] == [(30, 50), (30, 75)]
-    assert seen["flat"] == tr.Config(boost_trials=50) and seen["stacked"] == tr.Config()
-    assert mq.tune(spark, sf_dir).first().n_trials == 30 and seen["tune"] == (ln.fit_logistic, 30)
-    mq.fit_boosted_meta(spark, sf_dir)
-    meta, params = seen["meta"]
-    assert seen["base"] == {"logistic": ln.fit_logistic, "svm": ln.fit_linear_svm}
-    assert not params and meta.count() == 6 and len(meta.first().meta) == 4 + len(psych_names())
+
+    trials = {name: {k: p.default for k, p in signature(getattr(mq, name)).parameters.items() if k.endswith("trials")}
+              for name in ("tune", "train_flat", "train_stacked", "score")}
+    assert trials == {
+        "tune": {"n_trials": 30}, "train_flat": {"linear_trials": 30, "boost_trials": 50},
+        "train_stacked": {"linear_trials": 30, "boost_trials": 75}, "score": {"linear_trials": 0, "boost_trials": 0},
+    }
+    assert mq.PLAN == tr.Config()
