@@ -9,12 +9,13 @@ third of all pages costs one wrapper per batch.
 
 The wrapper says which region holds the article - `article` or `main` elements, else the smallest
 element with all headings and all text that is not the same on every page - and which parts of it are not text of the article: elements
-named as menus, headers, footers, sidebars, notices, adverts, forms or comments, and slots outside
-paragraphs, headings, lists, tables and quotes that hold the same text on every page of the host. A name
-counts for nothing on an element with the page's only article or main elements or most of its varying text.
+named as menus, headers, footers, sidebars, notices, adverts, forms or comments, and elements and slots that hold
+the same text on every page of the host, but headings, and titles within an article. A name counts for nothing on an element with the
+page's only article or main elements, the title (h1) of an article, or most of the page's varying text.
 
 Null and empty pages give empty text; repeated pages give repeated rows; a null or odd URL makes its
-pages a host of their own, "". Unclosed and stray tags are accepted as browsers accept them.
+pages a host of their own, "". Unclosed and stray tags are accepted as browsers accept them;
+an element below `MAX_DEPTH` levels is put beside the one above it, with all its text.
 """
 
 from __future__ import annotations
@@ -55,6 +56,7 @@ ENDS = {
 }
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
 HEADING = re.compile("h[1-6]")
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption legend".split())
 DROPPED_TAGS = frozenset(
     "head nav aside footer form button select input label menu dialog canvas audio video object".split()
 ) | RAW
@@ -69,10 +71,13 @@ DROPPED_NAMES = re.compile(
 #: Names of what a layout has or lacks.
 LAYOUT_NAMES = re.compile(r"(?:^|(?<=[-_\s]))(?:with|without|has|no)[-_]+\S+", re.I)
 COMMENT_NAMES = re.compile(r"comment|reply|replies|disqus", re.I)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: Where a comment, a declaration or a tag begins; the end of a tag is found by `_tag_end`.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The same beyond the last ">", where no tag can end.
+_COMMENT = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
+_QUOTE_OR_END = re.compile("[>\"']")
+#: Levels of elements; a deeper one is put beside the last one, as browsers do, so that no page is too deep.
+MAX_DEPTH = 200
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -81,10 +86,10 @@ class Element:
     no part of an article, and its children, elements or texts. `named` says that nothing but the name
     marks it, `comments` that it is the name of comments."""
 
-    __slots__ = ("tag", "label", "dropped", "named", "comments", "children", "page")
+    __slots__ = ("tag", "label", "dropped", "named", "comments", "children", "page", "whole")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.label, self.page = tag, [], tag, None
+        self.tag, self.children, self.label, self.page, self.whole = tag, [], tag, None, None
         self.dropped = tag in DROPPED_TAGS
         self.named = self.comments = False
         if attributes and not attributes.isspace():
@@ -103,26 +108,53 @@ class Element:
                 self.dropped = self.named = bool(DROPPED_NAMES.search(names))
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """The place behind the ">" that ends a tag, given one behind its name: the first outside of quotes, else
+    the first at all. `failed` are quotes from which no end is reached, so that none is followed twice."""
+    place, quotes = at, []
+    while m := _QUOTE_OR_END.search(page, place):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in failed:
+            break
+        quotes.append(m.start())
+        place = page.find(m[0], m.end()) + 1
+        if not place:
+            break
+    failed.update(quotes)
+    return page.find(">", at) + 1
+
+
 def parse(page: str) -> Element:
-    """The element tree of a page, with unclosed and stray tags put right."""
+    """The element tree of a page, with unclosed and stray tags put right, in time linear in its length."""
     root = Element("html")
     root.page = zlib.crc32(page.encode())
     stack, at, n = [root], 0, len(page)
+    last, failed = page.rfind(">"), set()
+    beside: dict[str, int] = {}  # elements below the deepest level that are open
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last else _COMMENT).search(page, at)
+        if m is not None and m.re is _TOKEN and m[2] and m.start() > last:
+            m = _COMMENT.search(page, at)
         if m is None:
             stack[-1].children.append(page[at:])
             break
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower() if m.re is _TOKEN else ""
         if not tag:
             continue  # comment or declaration
-        if m[1] or m[4]:
+        at = _tag_end(page, m.end(), failed)
+        attributes = page[m.end() : at - 1]
+        if m[1]:
+            if beside.get(tag):
+                beside[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
+                    beside.clear()
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
@@ -137,14 +169,17 @@ def parse(page: str) -> Element:
             _end(stack, *ENDS[tag])
         if tag == "body":
             del stack[1:]
-        element = Element(tag, m[3] or m[6] or "")
+        element = Element(tag, attributes)
+        opens = tag not in RAW and tag not in VOID and (not attributes.endswith("/") or tag not in ("svg", "math"))
+        if opens and len(stack) > MAX_DEPTH:
+            above = stack.pop()
+            beside[above.tag] = beside.get(above.tag, 0) + 1
+            element.dropped |= above.dropped  # what is beside was inside
         stack[-1].children.append(element)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at, last + 1)
             at = close.end() if close else n
-        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-            stack.append(element)
-        elif tag not in VOID and tag not in ("svg", "math"):
+        elif opens:
             stack.append(element)  # a slash does not close an HTML element
     return root
 
@@ -160,7 +195,7 @@ def _end(stack: list[Element], tags: set, within: set) -> None:
 
 # --- expressions ------------------------------------------------------------------------
 # An expression is a dict: l label, d dropped, o optional, r repeated, n pages, s slot (checksum of the text, or null once texts differed), t pages that had a text in
-# the slot, c children. A group of children has the label "()". The root also has p, checksums of
+# the slot, w checksum of all text in the element (or null once it differed; false without any), c children. A group of children has the label "()". The root also has p, checksums of
 # different pages.
 
 
@@ -168,6 +203,19 @@ def _text_sum(text: str) -> int:
     return zlib.crc32(" ".join(text.split()).encode())
 
 
+def _whole_sum(slot: int | bool, children: list[int | bool]) -> int | bool:
+    return zlib.crc32(repr((slot, children)).encode()) if slot is not False or any(c is not False for c in children) else False
+
+
+def _whole(element: Element) -> int | bool:
+    """The checksum of all text in an element of a page."""
+    if element.whole is None:
+        text = [c for c in element.children if isinstance(c, str) and not c.isspace()]
+        below = [_whole(c) for c in element.children if not isinstance(c, str)]
+        element.whole = _whole_sum(_text_sum(" ".join(text)) if text else False, below)
+    return element.whole
+
+
 def expression(element: Element) -> dict:
     """The expression of one page's element."""
     found = _expression(element)
@@ -184,7 +232,7 @@ def _expression(element: Element) -> dict:
             children.append(_expression(child))
     slot = _text_sum(" ".join(text)) if text else False
     return {"l": element.label, "d": element.dropped, "o": False, "r": False, "n": 1, "s": slot,
-            "t": int(slot is not False), "c": fold(children)}
+            "t": int(slot is not False), "w": _whole_sum(slot, [c["w"] for c in children]), "c": fold(children)}
 
 
 def _runs(labels: list[str]) -> list[tuple[str, list]]:
@@ -225,7 +273,7 @@ def _folded(children: list[dict], label: str, found: list) -> dict:
     merged = [_folded(children, *run) for run in found[0]]
     for sequence in found[1:]:
         merged = [merge(a, _folded(children, *run), pages=False) for a, run in zip(merged, sequence)]
-    return {"l": "()", "d": False, "o": False, "r": True, "n": 1, "s": False, "t": 0, "c": merged}
+    return {"l": "()", "d": False, "o": False, "r": True, "n": 1, "s": False, "t": 0, "w": None, "c": merged}
 
 
 def merge(a: dict, b: dict, pages: bool = True) -> dict:
@@ -237,7 +285,7 @@ def merge(a: dict, b: dict, pages: bool = True) -> dict:
     both = (lambda x, y: x + y) if pages else max
     out = {
         "l": a["l"], "d": a["d"] or b["d"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "n": both(a["n"], b["n"]),
-        "s": slot, "t": both(a["t"], b["t"]), "c": align(a["c"], b["c"], pages),
+        "s": slot, "t": both(a["t"], b["t"]), "w": a["w"] if a["w"] == b["w"] and pages else None, "c": align(a["c"], b["c"], pages),
     }
     if "p" in a or "p" in b:
         out["p"] = sorted({*a.get("p", ()), *b.get("p", ())})[:DIFFERENT]
@@ -319,11 +367,18 @@ def _own_varies(entry: dict, pages: int) -> bool:
     return entry["s"] is not False and (not pages or entry["s"] is None or entry["t"] < pages)
 
 
+def _same(entry: dict | None, pages: int) -> bool:
+    """Whether an element has the same text, whole, on all `pages` of the host."""
+    return bool(pages) and entry is not None and entry["w"] not in (None, False) and not entry["o"] and entry["n"] >= pages
+
+
 def _varies(entry: dict, pages: int) -> bool:
     if entry["d"]:
         return False
     if HEADING.fullmatch(entry["l"].split(".")[0]):
         return True
+    if _same(entry, pages):
+        return False
     return _own_varies(entry, pages) or any(_varies(c, pages) for c in entry["c"])
 
 
@@ -331,7 +386,11 @@ def _needed(element: Element, known: dict | None, pages: int) -> bool:
     """Whether a page's element has a heading or text that is not template."""
     if element.dropped:
         return False
-    if HEADING.fullmatch(element.tag) or _own_needed(element, known, pages):
+    if HEADING.fullmatch(element.tag):
+        return True
+    if _same(known, pages) and _whole(element) == known["w"]:
+        return False
+    if _own_needed(element, known, pages):
         return True
     return any(_needed(c, entry, pages) for c, entry in _entries(element, known))
 
@@ -400,6 +459,17 @@ def _unmark_most(parts: list[tuple[Element, dict | None]], pages: int) -> None:
             element.dropped = element.named = False
 
 
+def _unmark_titles(article: Element) -> bool:
+    """Whether an article holds an h1; names of elements around it count for nothing, but those of comments do."""
+    found = article.tag == "h1"
+    for child in article.children:
+        if not isinstance(child, str) and (not child.dropped or child.named and not child.comments):
+            found |= _unmark_titles(child)
+    if found and article.named:
+        article.dropped = article.named = False
+    return found
+
+
 def _has_named(element: Element) -> bool:
     return element.named or any(_has_named(c) for c in element.children if not isinstance(c, str))
 
@@ -434,6 +504,9 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
         parts = parts or _articles(root, wrapper, ("article",)) or _articles(root, wrapper, ("main",))
     if parts and marked:
         _unmark_most(parts, pages)
+        for part, _ in parts:
+            _unmark_titles(part)
+    whole = not parts
     if not parts:
         known = wrapper or expression(root)
         parts = [_down(root, known, _region(known, pages) if region is None else region, pages)]
@@ -446,9 +519,10 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
         if text:
             lines.append(text)
 
-    def walk(element: Element, known: dict | None, prose: bool):
-        prose = prose or element.tag in PROSE
-        steady = not prose and _steady(element, known, pages)
+    def walk(element: Element, known: dict | None, title: bool):
+        # A title that all articles have, or a heading beside text that varies, is no template; other text of all pages is.
+        title = title or bool(HEADING.fullmatch(element.tag)) or not whole and element.tag in TITLES
+        steady = not title and _steady(element, known, pages)
         entries = iter(_entries(element, known))
         for child in element.children:
             if isinstance(child, str):
@@ -456,17 +530,17 @@ def extract(page: str | None, wrapper: dict | None, least_pages: int = LEAST_PAG
                     buffer.append(child)
                 continue
             child, entry = next(entries)
-            if child.dropped:
+            if child.dropped or whole and not HEADING.fullmatch(child.tag) and _same(entry, pages) and _whole(child) == entry["w"]:
                 if child.tag in BLOCKS or child.tag in RAW:
                     flush()
             elif child.tag == "br":
                 buffer.append(" ")
             elif child.tag in BLOCKS:
                 flush()
-                walk(child, entry, prose)
+                walk(child, entry, title)
                 flush()
             else:
-                walk(child, entry, prose)
+                walk(child, entry, title)
 
     for element, known in parts:
         walk(element, known, False)

@@ -581,3 +581,39 @@ def test_held_out_follows_crc32(spark):
     found = {r.doc_id for r in table.filter(langid.held_out("doc_id")).collect()}
     assert found == {i for i in range(50) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert table.select(F.lit(None).cast("long").alias("doc_id")).filter(langid.held_out("doc_id")).count() == 0
+
+
+def _host(pages):
+    wrapper = functools.reduce(wrappers.merge, [wrappers.expression(wrappers.parse(p)) for p in pages])
+    return [wrappers.extract(p, json.loads(json.dumps(wrapper))) for p in pages]
+
+
+@pytest.mark.parametrize("page", [
+    "<body><header><h1>My Site</h1><p>Tagline</p></header><div><h2>{t}</h2>{b}</div></body>",
+    "<body><ul><li>Home<li>About</ul><div><h1>{t}</h1>{b}</div><div class=bottom><p>All rights reserved</p></div></body>",
+    "<body><article><div class='entry-header'><h1>{t}</h1></div>{b}<div class=bottom><p>All rights reserved</p></div></article></body>",
+    "<body><p>Welcome<table><tr><td>Home<td>Shop</table><section><h3>{t}</h3>{b}</section></body>",
+])
+def test_text_of_all_pages_is_template_in_any_tag(page):
+    body = [f"<p>Story {i} about {i * 7} things.</p><p>More {i * 3}.</p>" for i in range(8)]
+    found = _host([page.format(t=f"Title {i}", b=b) for i, b in enumerate(body)])
+    assert found == [f"Title {i}\nStory {i} about {i * 7} things.\nMore {i * 3}." for i in range(8)]
+
+
+def test_deep_pages_keep_their_text(spark):
+    deep = ["<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "<b>" * 3000 + "deep<p>after", "<ul><li>" * 2000 + "deep</ul><p>after"]
+    table = spark.createDataFrame([(i, f"http://h{i}.x/", p) for i, p in enumerate(deep)], "page_id long, url string, html string")
+    assert {r.page_id: r.text.split() for r in wrappers.main_text(table).collect()} == {i: ["deep", "after"] for i in range(3)}
+
+
+def test_scanning_is_linear_in_unfinished_tags():
+    import time
+
+    times = []
+    for n in (4_000, 64_000):
+        start = time.perf_counter()
+        for part in ('<a "', "<a x ", "<a<b", '<a "> " ', "</script", "<a '\">"):
+            wrappers.parse(part * n + '"')
+        times.append(time.perf_counter() - start)
+    assert times[1] < 16 * 6 * times[0] + 1  # 16 times the text; quadratic would be 256 times as long
+    assert wrappers.extract('<p title="a>b">x<p title=\'c>y<p "d>z', None).split() == ["x", "y", "z"]
