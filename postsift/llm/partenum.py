@@ -365,23 +365,16 @@ def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) ->
     """Links (a, b) between members of one least document that are in different components so far."""
     member = pairs.select(F.col("b").alias("home"), F.col("a").alias("id")).unionByName(pairs.select("b", "b").distinct().toDF("home", "id"))
     at = member.join(stars, member["id"] == stars["node"], "left").select("home", "id", F.coalesce("component", "id").alias("c"))
-    size = sets.groupBy("id").agg(F.sum(F.col("n") * 8 + F.length("bits")).alias("bytes"))
+    size = sets.groupBy("id").agg(F.sum(F.length("bits")).alias("small"), F.sum(F.col("n") * 8 + F.length("bits")).alias("bytes"))
     at = pin(at.join(size, "id"), "members")
-    counts = at.groupBy("home", "c").agg(F.sum("bytes").alias("bytes"))
-    mixed = counts.groupBy("home").agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("bytes", "c")).alias("most"), F.sum("bytes").alias("whole")
-    ).filter("parts > 1").select("home", F.col("most.c").alias("most"), "whole", (F.col("whole") - F.col("most.bytes")).alias("others"))
-    mixed = pin(mixed, "mixed")
-    chunks, slices = (F.ceil(F.col(c) / F.lit(CELL_BYTES)).cast("int") for c in ("others", "whole"))
-    met = at.drop("bytes").join(mixed, "home").select(
-        "home", "id", "c", (F.col("c") != F.col("most")).alias("pivot"), chunks.alias("chunks"), slices.alias("slices")
-    )
-    # A pivot meets all slices of the members, a member all chunks of the pivots; sets follow their ids.
-    own = lambda n: F.pmod(F.xxhash64("id", "home"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = met.filter("pivot").select("home", "id", "c", "pivot", own("chunks").alias("chunk"), every("slices").alias("slice"))
-    asked = met.select("home", "id", "c", F.lit(False).alias("pivot"), every("chunks").alias("chunk"), own("slices").alias("slice"))
-    rows = asking.unionByName(asked).join(sets, "id").select("home", "chunk", "slice", "id", "c", "pivot", "n", "bits", "s")
+    counts = at.groupBy("home", "c").agg(F.count(F.lit(1)).alias("members"))
+    mixed = counts.groupBy("home").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "c")).alias("most")).filter("parts > 1")
+    met = at.join(pin(mixed.select("home", F.col("most.c").alias("most")), "mixed"), "home").withColumn("pivot", F.col("c") != F.col("most"))
+    # Sketches alone first: sets are sent only where a sketch leaves a partner, so most never are.
+    close = _cells(met, "small", sets.select("id", "n", "bits")).groupBy("home", "chunk", "slice").applyInArrow(
+        _with_partners(percent), "home long, id long"
+    ).distinct()
+    left = pin(met.join(close, ["home", "id"], "left_semi"), "partners")
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -392,14 +385,7 @@ def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) ->
         bits, (hashes, ends) = table.column("bits").combine_chunks(), unpacked(table.column("s"), _U)
         asking, asked = np.flatnonzero(pivot), np.flatnonzero(~pivot)
         out_a, out_b = [], []
-        step = max(1, SKETCH_PAIRS // max(1, len(asked)))
-        for lo in range(0, len(asking), step):
-            p = np.repeat(asking[lo : lo + step], len(asked))
-            m = np.tile(asked, len(asking[lo : lo + step]))
-            apart = group[p] != group[m]
-            p, m = p[apart], m[apart]
-            keep, _ = _near(n[p], n[m], bits, bits, p, m, percent)
-            p, m = p[keep], m[keep]
+        for p, m in _apart(asking, asked, group, n, bits, percent):
             for k in np.unique(p):
                 rest = m[p == k]
                 rest = rest[group[rest] != group[k]]  # others may have been joined meanwhile
@@ -415,4 +401,44 @@ def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) ->
                         group[group == group[i]] = group[k]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.groupBy("home", "chunk", "slice").applyInArrow(judge, "a long, b long")
+    return _cells(left, "bytes", sets).groupBy("home", "chunk", "slice").applyInArrow(judge, "a long, b long")
+
+
+def _cells(met: DataFrame, weight: str, sets: DataFrame) -> DataFrame:
+    """home, chunk, slice, id, c, pivot and the columns of `sets`: a pivot meets all slices of the members of
+    its home, a member all chunks of the pivots; chunks and slices have about CELL_BYTES of `weight`."""
+    totals = met.groupBy("home").agg(F.sum(F.when(F.col("pivot"), F.col(weight))).alias("others"), F.sum(weight).alias("whole"))
+    chunks, slices = (F.ceil(F.col(c) / F.lit(CELL_BYTES)).cast("int") for c in ("others", "whole"))
+    both = met.join(totals.filter("others > 0"), "home").select("home", "id", "c", "pivot", chunks.alias("chunks"), slices.alias("slices"))
+    own = lambda n: F.pmod(F.xxhash64("id", "home"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = both.filter("pivot").select("home", "id", "c", "pivot", own("chunks").alias("chunk"), every("slices").alias("slice"))
+    asked = both.select("home", "id", "c", F.lit(False).alias("pivot"), every("chunks").alias("chunk"), own("slices").alias("slice"))
+    return asking.unionByName(asked).join(sets, "id")
+
+
+def _apart(asking: np.ndarray, asked: np.ndarray, group: np.ndarray, n: np.ndarray, bits: pa.Array, percent: int):
+    """Pairs of places of pivots and members, some at a time, in different groups that sizes and sketches leave."""
+    step = max(1, SKETCH_PAIRS // max(1, len(asked)))
+    for lo in range(0, len(asking), step):
+        p = np.repeat(asking[lo : lo + step], len(asked))
+        m = np.tile(asked, len(asking[lo : lo + step]))
+        apart = group[p] != group[m]
+        p, m = p[apart], m[apart]
+        keep, _ = _near(n[p], n[m], bits, bits, p, m, percent)
+        yield p[keep], m[keep]
+
+
+def _with_partners(percent: int):
+    """A function that gives the members of a cell that a sketch leaves a partner of another component."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        pivot = np.asarray(table.column("pivot").to_numpy(zero_copy_only=False), bool)
+        ids, n, group = (int64_column(table.column(c)) for c in ("id", "n", "c"))
+        found = np.zeros(len(ids), bool)
+        for p, m in _apart(np.flatnonzero(pivot), np.flatnonzero(~pivot), group, n, table.column("bits").combine_chunks(), percent):
+            found[p] = found[m] = True
+        some = np.unique(ids[found])
+        return pa.table({"home": pa.array(np.full(len(some), table.column("home")[0].as_py()), pa.int64()), "id": pa.array(some, pa.int64())})
+
+    return judge
