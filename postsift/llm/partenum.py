@@ -50,6 +50,8 @@ SPARE = 0.12
 CELL_BYTES = 8_000_000
 #: Pairs of pivot and member whose sketches are compared at once.
 SKETCH_PAIRS = 100_000
+#: Rows that say which documents meet where, up to this number, are broadcast, about 16 MB.
+BROADCAST_CELLS = 300_000
 #: Keys of dropped documents up to this number are broadcast, about 16 MB.
 BROADCAST_KEYS = 1_000_000
 _SEEDS = seeded("partenum", 8)
@@ -179,18 +181,19 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     is the smallest key reachable by links."""
     n = n_blocks(text_bytes(docs, text))
     sent = pin(_find(docs, n, size, percent, key, text), "partenum")
-    rows = sent.filter("kind = 0").select(F.col("a").alias("id"), "n", "bits", "s", "d")
-    known = rows.filter("s is not null and id is not null")
+    rows = sent.filter("kind = 0").select(F.col("a").alias("id"), "n", "bits", "d")
+    known = rows.filter("bits is not null and id is not null")
     # Equal sets are one node, the least key of them.
     least = known.groupBy("d").agg(F.min("id").alias("node"))
     nodes = pin(known.select("d", "id").distinct().join(least, "d").select("id", "node").distinct(), "nodes")
-    first = [F.first(c).alias(c) for c in ("n", "bits", "s")]  # of rows that are equal in all
-    sets = pin(known.join(least.withColumnRenamed("node", "id"), ["id", "d"], "left_semi").groupBy("id", "d").agg(*first).drop("d"), "sets")
+    first = [F.first(c).alias(c) for c in ("n", "bits")]  # of rows that are equal in all
+    sketch = pin(known.join(least.withColumnRenamed("node", "id"), ["id", "d"], "left_semi").groupBy("id", "d").agg(*first).drop("d"), "sketches")
     pairs = _candidates(sent, n).join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b")
     pairs = pin(pairs.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    stars = components(_linked(pairs, sets, percent))
+    whole = functools.partial(_with_sets, docs=docs, key=key, text=text, size=size)
+    stars = components(_linked(pairs, sketch, percent, whole))
     edges = stars.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    edges = edges.unionByName(pin(_rest(pairs, stars, sets, percent), "links"))
+    edges = edges.unionByName(pin(_rest(pairs, stars, sketch, percent, whole), "links"))
     # Rows of one key may have several sets, whose nodes then are one document.
     several = nodes.groupBy("id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     edges = edges.unionByName(nodes.join(several, "id").select(F.col("node").alias("a"), "b"))
@@ -211,11 +214,11 @@ def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, key:
     return docs.join(dropped, key, "left_anti").select(*docs.columns)
 
 
-_SENT = "kind int, bucket int, block int, keys binary, least binary, a long, n long, bits binary, s binary, d binary"
+_SENT = "kind int, bucket int, block int, keys binary, least binary, a long, n long, bits binary, d binary"
 
 
 def _find(docs: DataFrame, n: int, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """kind 0: (a id, n shingles; bits sketch, s set and d digest if a signature is shared), a row per document;
+    """kind 0: (a id, n shingles; bits sketch and d digest of the set if a signature is shared), a row per document;
     1: (bucket, block, keys, least): the shared signatures of a block and the least document of each, by bucket;
     2: (block, keys, least): which shared signature each document of a block has, as places and ids."""
     parts = blocks(docs, n, key, text)
@@ -244,16 +247,14 @@ def _find(docs: DataFrame, n: int, size: int, percent: int, key: str, text: str)
         least = member[first] if len(shared) else np.empty(0, np.int64)
         buckets, ends = by_bucket(shared, n)
         full = np.flatnonzero(ends[1:] > ends[:-1])
-        counts, bits, sets, digests = np.zeros(len(ids), np.int64), [], [], []
+        counts, bits, digests = np.zeros(len(ids), np.int64), [], []
         for a, m, hashes, rows in slices:
             counts[a : a + m] = np.bincount(rows, minlength=m)
-            end = np.concatenate(([0], np.cumsum(counts[a : a + m])))
             want = needed[a : a + m].tolist()
             bits += [b if w else None for b, w in zip(sketches(hashes, rows, m), want)]
-            sets += [hashes[end[i] : end[i + 1]].tobytes() if w else None for i, w in enumerate(want)]
             digests += [b if w else None for b, w in zip(set_digests(hashes, rows, m), want)]
         return pa.concat_tables([
-            _sent(0, len(ids), a=table.column("row_key").combine_chunks(), n=counts, bits=bits, s=sets, d=digests),
+            _sent(0, len(ids), a=table.column("row_key").combine_chunks(), n=counts, bits=bits, d=digests),
             _sent(1, len(full), bucket=buckets[full], block=np.full(len(full), block),
                   keys=[shared[ends[b] : ends[b + 1]].tobytes() for b in full], least=[least[ends[b] : ends[b + 1]].tobytes() for b in full]),
             _sent(2, 1, block=np.full(1, block), keys=[at.tobytes()], least=[member.tobytes()]),
@@ -332,49 +333,69 @@ def _near(na: np.ndarray, nb: np.ndarray, bits_a: pa.Array, bits_b: pa.Array, at
     return keep & (distance <= bound), distance
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    small = sets.select("id", "n", "bits")
-    both = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
+def _with_sets(cells: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The rows of `cells` with n, bits and s of the documents' sets, made from their texts where these are read."""
+    cells = pin(cells, "cells")
+    small = cells.count() <= BROADCAST_CELLS  # beyond, both sides are shuffled
+    texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("row_text"))
+    rows = texts.join(F.broadcast(cells) if small else cells, "id").select("home", "chunk", "slice", "id", "c", "pivot", "row_text")
+
+    def run(batches):
+        for batch in batches:
+            for a, m, hashes, owner in _sets(pa.Table.from_batches([batch]), size):
+                counts = np.bincount(owner, minlength=m)
+                end = np.concatenate(([0], np.cumsum(counts)))
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(i).slice(a, m) for i in range(6)), pa.array(counts, pa.int64()),
+                    pa.array(sketches(hashes, owner, m), pa.binary()), packed([hashes[end[i] : end[i + 1]] for i in range(m)]),
+                ], names=["home", "chunk", "slice", "id", "c", "pivot", "n", "bits", "s"])
+
+    return rows.mapInArrow(run, "home long, chunk int, slice int, id long, c long, pivot boolean, n long, bits binary, s binary")
+
+
+def _linked(pairs: DataFrame, sketch: DataFrame, percent: int, whole) -> DataFrame:
+    """Links (a, b) of documents with the least one, of all they are paired with, whose sketch is the nearest."""
+    both = pairs.join(sketch.toDF("a", "na", "bits_a"), "a").join(sketch.toDF("b", "nb", "bits_b"), "b")
 
     def near(batches):
         for batch in batches:
             every = np.arange(batch.num_rows)
-            keep, _ = _near(
+            keep, distance = _near(
                 int64_column(batch.column(2)), int64_column(batch.column(3)), batch.column(4), batch.column(5), every, every, percent
             )
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.int64())], names=["a", "b", "distance"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    close = both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long, distance long")
+    nearest = pin(close.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "nearest")
+    met = nearest.select(F.col("b").alias("home"), F.col("a").alias("id"), F.col("a").alias("c"), F.lit(False).alias("pivot"))
+    met = met.unionByName(nearest.select("b").distinct().select(*[F.col("b").alias(x) for x in ("home", "id", "c")], F.lit(True).alias("pivot")))
+    return _judged(whole(_cells(met.join(_sizes(sketch), "id"), "bytes")), percent)
 
-    def exact(batches):
-        for batch in batches:
-            (ha, ea), (hb, eb) = unpacked(batch.column(2), _U), unpacked(batch.column(3), _U)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = ha[ea[i] : ea[i + 1]], hb[eb[i] : eb[i + 1]]
-                common = int(contains(x, y).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    close = both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
-    whole = sets.select("id", "s")
-    joined = close.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(exact, "a long, b long").distinct()
+def _sizes(sketch: DataFrame) -> DataFrame:
+    """Bytes of the sketches, and of the sets with them, of each id."""
+    return sketch.groupBy("id").agg(F.sum(F.length("bits")).alias("small"), F.sum(F.col("n") * 8 + F.length("bits")).alias("bytes"))
 
 
-def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(pairs: DataFrame, stars: DataFrame, sketch: DataFrame, percent: int, whole) -> DataFrame:
     """Links (a, b) between members of one least document that are in different components so far."""
     member = pairs.select(F.col("b").alias("home"), F.col("a").alias("id")).unionByName(pairs.select("b", "b").distinct().toDF("home", "id"))
     at = member.join(stars, member["id"] == stars["node"], "left").select("home", "id", F.coalesce("component", "id").alias("c"))
-    size = sets.groupBy("id").agg(F.sum(F.length("bits")).alias("small"), F.sum(F.col("n") * 8 + F.length("bits")).alias("bytes"))
-    at = pin(at.join(size, "id"), "members")
+    at = pin(at.join(_sizes(sketch), "id"), "members")
     counts = at.groupBy("home", "c").agg(F.count(F.lit(1)).alias("members"))
     mixed = counts.groupBy("home").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "c")).alias("most")).filter("parts > 1")
     met = at.join(pin(mixed.select("home", F.col("most.c").alias("most")), "mixed"), "home").withColumn("pivot", F.col("c") != F.col("most"))
     # Sketches alone first: sets are sent only where a sketch leaves a partner, so most never are.
-    close = _cells(met, "small", sets.select("id", "n", "bits")).groupBy("home", "chunk", "slice").applyInArrow(
+    close = _cells(met, "small").join(sketch, "id").groupBy("home", "chunk", "slice").applyInArrow(
         _with_partners(percent), "home long, id long"
     ).distinct()
     left = pin(met.join(close, ["home", "id"], "left_semi"), "partners")
+    return _judged(whole(_cells(left, "bytes")), percent)
+
+
+def _judged(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between pivots and members of each cell that join all of its components that links join."""
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -401,11 +422,11 @@ def _rest(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) ->
                         group[group == group[i]] = group[k]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return _cells(left, "bytes", sets).groupBy("home", "chunk", "slice").applyInArrow(judge, "a long, b long")
+    return rows.groupBy("home", "chunk", "slice").applyInArrow(judge, "a long, b long")
 
 
-def _cells(met: DataFrame, weight: str, sets: DataFrame) -> DataFrame:
-    """home, chunk, slice, id, c, pivot and the columns of `sets`: a pivot meets all slices of the members of
+def _cells(met: DataFrame, weight: str) -> DataFrame:
+    """home, chunk, slice, id, c, pivot: a pivot meets all slices of the members of
     its home, a member all chunks of the pivots; chunks and slices have about CELL_BYTES of `weight`."""
     totals = met.groupBy("home").agg(F.sum(F.when(F.col("pivot"), F.col(weight))).alias("others"), F.sum(weight).alias("whole"))
     chunks, slices = (F.ceil(F.col(c) / F.lit(CELL_BYTES)).cast("int") for c in ("others", "whole"))
@@ -414,7 +435,7 @@ def _cells(met: DataFrame, weight: str, sets: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = both.filter("pivot").select("home", "id", "c", "pivot", own("chunks").alias("chunk"), every("slices").alias("slice"))
     asked = both.select("home", "id", "c", F.lit(False).alias("pivot"), every("chunks").alias("chunk"), own("slices").alias("slice"))
-    return asking.unionByName(asked).join(sets, "id")
+    return asking.unionByName(asked).select("home", "chunk", "slice", "id", "c", "pivot")
 
 
 def _apart(asking: np.ndarray, asked: np.ndarray, group: np.ndarray, n: np.ndarray, bits: pa.Array, percent: int):

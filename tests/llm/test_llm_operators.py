@@ -248,14 +248,15 @@ def test_members_that_met_in_different_cells_still_link(spark, monkeypatch):
     made += [(100 + 2 * i + side, text + (" end" if side else "")) for i, text in enumerate(_text(rng, 40) for _ in range(12)) for side in (0, 1)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     sent = partenum._find(docs, 1, 3, 90, "doc_id", "text")
-    sets = sent.filter("kind = 0").selectExpr("a as id", "n", "bits", "s").filter("s is not null").cache()
+    sets = sent.filter("kind = 0").selectExpr("a as id", "n", "bits").filter("bits is not null").cache()
+    whole = functools.partial(partenum._with_sets, docs=docs, key="doc_id", text="text", size=3)
     pairs = spark.createDataFrame([(i, 0) for i, _ in made if i], "a long, b long").join(sets.select("id").withColumnRenamed("id", "a"), "a")
     stars = spark.createDataFrame([(i, 0) for i in range(41)] + [(i, 41) for i in range(41, 81)], "node long, component long")
     expected = {frozenset((i, j)) for (i, s), (j, t) in itertools.combinations([(i, _shingles(t, 3)) for i, t in made], 2)
                 if 100 * len(s & t) >= 90 * len(s | t)}
     for cell in (10_000_000, 1500):
         monkeypatch.setattr(partenum, "CELL_BYTES", cell)
-        found = {frozenset((r.a, r.b)) for r in partenum._rest(pairs, stars, sets, 90).collect()}
+        found = {frozenset((r.a, r.b)) for r in partenum._rest(pairs, stars, sets, 90, whole).collect()}
         assert found <= expected and {frozenset((100 + 2 * i, 101 + 2 * i)) for i in range(12)} <= found
         assert any(min(f) < 41 <= max(f) < 81 for f in found) == any(min(f) < 41 <= max(f) < 81 for f in expected)
     assert sorted(map(tuple, partenum.similar_sets(docs).collect()), key=repr) == _plain_components(made, 3, 90)
