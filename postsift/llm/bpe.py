@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 SLICE_CHARS = 2_000_000
 #: Distinct matches whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
