@@ -1,8 +1,7 @@
-"""Learners: linear models on Spark ML, boosted trees, searches and out-of-fold stacking.
+"""Learners: linear models, boosted trees, searches and out-of-fold stacking.
 
-Every model offers `scores(df, out)`, which adds an ARRAY<DOUBLE> of class probabilities as Column
-expressions over JVM model transforms; nothing but fitted parameters comes to the driver. Loops on
-the driver run over classes, folds and trials only.
+Every model offers `scores(df, out)`, which adds an ARRAY<DOUBLE> of class probabilities; nothing but
+fitted parameters comes to the driver. Loops on the driver run over folds and trials only.
 """
 
 from __future__ import annotations
@@ -17,12 +16,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import (
-    LinearSVC,
-    LinearSVCModel,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +25,9 @@ from postsift import fixed_values as fv
 from postsift.functions.scores import softmax
 from postsift.operators import boosting
 from postsift.operators import evaluate as ev
+from postsift.operators import linear
 from postsift.operators import search as se
+from postsift.operators.linear import Linear
 from postsift.operators.sampling import union_all
 from postsift.sources.staging import pin
 
@@ -72,108 +67,20 @@ def label_name(
 # --- linear models ----------------------------------------------------------------------
 
 
-@dataclass
-class Logistic:
-    model: LogisticRegressionModel
-
-    def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
-        scored = self.model.transform(df)
-        return scored.select(*df.columns, vector_to_array("probability").alias(out))
-
-    def linear(self) -> tuple[np.ndarray, np.ndarray]:
-        """(classes x features, intercepts)"""
-        return self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
-
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
-
-    @classmethod
-    def load(cls, path: str) -> "Logistic":
-        return cls(LogisticRegressionModel.load(path))
-
-
 def fit_logistic(
-    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000,
+    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000, n_classes: int | None = None,
     features: str = "features", label: str = "label", weight: str = "weight",
-) -> Logistic:
-    """Multinomial logistic regression. C weighs the summed loss, Spark's regParam the mean loss."""
-    total = df.agg(F.sum(weight)).first()[0]
-    learner = LogisticRegression(
-        featuresCol=features, labelCol=label, weightCol=weight, family="multinomial",
-        standardization=False, regParam=1.0 / (c * total), tol=tol, maxIter=max_iter,
-    )
-    return Logistic(learner.fit(df))
-
-
-@dataclass
-class OneVsRest:
-    """One linear SVM per class. Its transforms stay in the JVM, class after class."""
-
-    models: list[Any]
-    features: str = "features"
-
-    def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
-        """softmax of the SVM decisions."""
-        scored = df
-        for i, model in enumerate(self.models):
-            one = model.copy({model.rawPredictionCol: f"_raw{i}"})
-            keep = [c for c in scored.columns]
-            scored = one.transform(scored).select(*keep, f"_raw{i}")
-        margins = [vector_to_array(f"_raw{i}")[1] for i in range(len(self.models))]
-        return scored.withColumn(out, softmax(F.array(*margins))).select(*df.columns, out)
-
-    def linear(self) -> tuple[np.ndarray, np.ndarray]:
-        """(classes x features, intercepts)"""
-        return (
-            np.stack([m.coefficients.toArray() for m in self.models]),
-            np.array([m.intercept for m in self.models]),
-        )
-
-    def save(self, path: str) -> None:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/class={i}")
-        spark = SparkSession.active()
-        meta = [(json.dumps({"n": len(self.models), "features": self.features}),)]
-        spark.createDataFrame(meta, "meta string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/meta"
-        )
-
-    @classmethod
-    def load(cls, path: str) -> "OneVsRest":
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()[0])
-        return cls([LinearSVCModel.load(f"{path}/class={i}") for i in range(meta["n"])], meta["features"])
-
-
-def _per_class(n: int, fit: Callable[[int], Any], parallelism: int) -> list[Any]:
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return list(pool.map(fit, range(n)))
+) -> Linear:
+    """Multinomial logistic regression."""
+    return linear.fit(df, "logistic", c, tol, max_iter, n_classes, features, label, weight)
 
 
 def fit_linear_svm(
-    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000, n_classes: int = 2,
-    features: str = "features", label: str = "label", weight: str = "weight", parallelism: int = 4,
-) -> OneVsRest:
-    """One-vs-rest linear SVM; the balanced weight applies to the positive side of each problem."""
-    sums = {
-        int(r[label]): (r["n"], r["w"])
-        for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).collect()
-    }  # one row per class
-    rows = sum(n for n, _ in sums.values())
-
-    def fit(i: int) -> LinearSVCModel:
-        n, w = sums.get(i, (0, 0.0))
-        mine = F.col(label) == i
-        side = df.select(
-            features, mine.cast("double").alias("_y"),
-            F.when(mine, F.col(weight)).otherwise(1.0).alias("_w"),
-        )
-        learner = LinearSVC(
-            featuresCol=features, labelCol="_y", weightCol="_w", standardization=False,
-            regParam=1.0 / (c * (w + rows - n)), tol=tol, maxIter=max_iter,
-        )
-        return learner.fit(side)
-
-    return OneVsRest(_per_class(n_classes, fit, parallelism), features)
+    df: DataFrame, c: float = 1.0, tol: float = 1e-4, max_iter: int = 2000, n_classes: int | None = None,
+    features: str = "features", label: str = "label", weight: str = "weight",
+) -> Linear:
+    """One-vs-rest SVM with squared hinge loss; the balanced weight applies to the positive side of each problem."""
+    return linear.fit(df, "svm", c, tol, max_iter, n_classes, features, label, weight)
 
 
 # --- boosted trees ----------------------------------------------------------------------
@@ -310,12 +217,16 @@ def oof_stack(
     A train row is scored by the models that did not see its fold.
     """
     names = list(learners)
-    parts, models = [], {name: [] for name in names}
+    with ThreadPoolExecutor(max(1, folds * len(names))) as pool:  # a fit is one task, or jobs that share the cluster
+        jobs = {
+            (name, i): pool.submit(learners[name], train.filter(F.col(fold) != i)) for i in range(folds) for name in names
+        }
+        models = {name: [jobs[name, i].result() for i in range(folds)] for name in names}
+    parts = []
     for i in range(folds):
-        rest, held = train.filter(F.col(fold) != i), train.filter(F.col(fold) == i)
+        held = train.filter(F.col(fold) == i)
         for name in names:
-            models[name].append(learners[name](rest))
-            held = models[name][-1].scores(held, name)
+            held = models[name][i].scores(held, name)
         parts.append(pin(held.select(key, *names), "oof"))
     return oof_union(parts), models
 
@@ -336,7 +247,7 @@ class LinearBank:
     blocks: dict[str, tuple[np.ndarray, np.ndarray]]  # name: (classes x terms, intercepts)
 
     @classmethod
-    def of(cls, models: Mapping[str, "Logistic | OneVsRest"]) -> "LinearBank":
+    def of(cls, models: Mapping[str, Linear]) -> "LinearBank":
         return cls({name: m.linear() for name, m in models.items()})
 
     def table(self, spark: SparkSession) -> DataFrame:

@@ -157,7 +157,7 @@ class FlatModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FlatModel":
         meta = _load_meta(spark, path)
-        readers = {"logistic": ln.Logistic, "svm": ln.OneVsRest, "boosted": Boosted}
+        readers = {"logistic": ln.Linear, "svm": ln.Linear, "boosted": Boosted}
         models = {n: readers[n].load(f"{path}/models/{n}") for n in meta["params"]}
         reports = {n: spark.read.json(f"{path}/reports/{n}") for n in meta["params"]}
         return cls(
@@ -190,7 +190,7 @@ def train_flat(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None) -
     scaling = StandardScaling.fit(raw, psych_names())
     train = pin(flat_features(data.train, terms, scaling, lexicons), "flat_train")
     test = pin(flat_features(data.test, terms, scaling, lexicons), "flat_test")
-    fits = {"logistic": ln.fit_logistic, "svm": partial(ln.fit_linear_svm, n_classes=k)}
+    fits = {"logistic": partial(ln.fit_logistic, n_classes=k), "svm": partial(ln.fit_linear_svm, n_classes=k)}
     models, params = {}, {}
     for name, fit in fits.items():
         params[name] = _linear_params(train, name, k, cfg)
@@ -218,8 +218,8 @@ def meta_features(base: DataFrame, psych: DataFrame, key: str = "post_id") -> Da
 class StackedModel:
     labels: list[str]
     terms: TermModel
-    logistic: ln.Logistic
-    svm: ln.OneVsRest
+    logistic: ln.Linear
+    svm: ln.Linear
     boosted: Boosted
     lexicons: Lexicons
     params: dict[str, dict[str, Any]]
@@ -258,7 +258,7 @@ class StackedModel:
         meta = _load_meta(spark, path)
         return cls(
             meta["labels"], TermModel.load(spark, f"{path}/terms"),
-            ln.Logistic.load(f"{path}/logistic"), ln.OneVsRest.load(f"{path}/svm"),
+            ln.Linear.load(f"{path}/logistic"), ln.Linear.load(f"{path}/svm"),
             Boosted.load(f"{path}/boosted"), load_lexicons(spark, f"{path}/lexicons"),
             meta["params"],
         )
@@ -277,11 +277,10 @@ def train_stacked(rows: DataFrame, lexicons: Lexicons, cfg: Config | None = None
 
     vectors = terms.vectors(data.train, "text", "features")
     train = pin(data.train.drop("text").join(vectors, "post_id"), "term_train")
-    svm = partial(ln.fit_linear_svm, n_classes=k)
     params = {name: _linear_params(train, name, k, cfg) for name in ("logistic", "svm")}
     learners = {
-        "logistic": partial(ln.fit_logistic, **params["logistic"]),
-        "svm": partial(svm, **params["svm"]),
+        "logistic": partial(ln.fit_logistic, n_classes=k, **params["logistic"]),
+        "svm": partial(ln.fit_linear_svm, n_classes=k, **params["svm"]),
     }
     oof, fold_models = ln.oof_stack(train, learners, cfg.folds)
     # The test side is not capped: its terms are scored in long form by all fold models at once.
