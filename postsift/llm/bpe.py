@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from postsift.llm.common import give_back
+
 SLICE_CHARS = 2_000_000
 #: Distinct matches whose ids a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
@@ -145,6 +147,7 @@ def _run(docs: DataFrame, rank_file: bytes, pattern: str, text: str, keep: list[
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)])
 
     def apply(batches):
+        give_back()
         codec = _codec(shared.value, pattern)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(len(keep)).to_pylist()]

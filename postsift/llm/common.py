@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -78,6 +80,16 @@ def unpacked(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype), offsets // size
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: Spark keeps workers from stage to
+    stage, and the allocators of Arrow and of C keep what earlier stages used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
