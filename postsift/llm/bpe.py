@@ -157,6 +157,8 @@ def _run(docs: DataFrame, rank_file: bytes, pattern: str, text: str, keep: list[
                     [batch.column(i).slice(start, end - start) for i in range(len(keep))] + list(made.values()),
                     names=[*keep, *made],
                 )
+        codec.known.clear()  # the worker may serve other stages next
+        give_back()
 
     return narrow.mapInArrow(apply, f"{fields}, {schema}")
 

@@ -80,10 +80,11 @@ def unpacked(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype), offsets // size
 
 
-def give_back() -> None:
+def give_back(cycles: bool = True) -> None:
     """Memory that a Python worker has freed goes back to the system: Spark keeps workers from stage to
     stage, and the allocators of Arrow and of C keep what earlier stages used."""
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:

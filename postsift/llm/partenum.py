@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from postsift.llm import words
 from postsift.llm.common import (
-    blocks, by_bucket, contains, int64_column, mix, n_blocks, packed, row_slices, seeded,
+    blocks, by_bucket, contains, give_back, int64_column, mix, n_blocks, packed, row_slices, seeded,
     shared_keys, shared_of_block, text_buffer, text_bytes, unpacked,
 )
 from postsift.llm.components import components
@@ -225,6 +225,7 @@ def _find(docs: DataFrame, n: int, size: int, percent: int, key: str, text: str)
     answers = shared_keys(parts, functools.partial(_keys, size=size, percent=percent), n)
 
     def send(table: pa.Table, answer: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         block = (table if table.num_rows else answer).column("block")[0].as_py()
         ids, known = _ids(table)
         slices = list(_sets(table, size))
@@ -398,6 +399,7 @@ def _judged(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between pivots and members of each cell that join all of its components that links join."""
 
     def judge(table: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         table = table.combine_chunks()
         pivot = np.asarray(table.column("pivot").to_numpy(zero_copy_only=False), bool)
         ids, n = int64_column(table.column("id")), int64_column(table.column("n"))

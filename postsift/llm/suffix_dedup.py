@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postsift.llm.common import (
-    blocks, by_bucket, contains, int64_column, mix, n_blocks, packed, row_slices, seeded, shared_keys,
+    blocks, by_bucket, contains, give_back, int64_column, mix, n_blocks, packed, row_slices, seeded, shared_keys,
     shared_of_block, text_buffer, text_bytes, unpacked,
 )
 from postsift.llm.suffixes import SEPARATOR, common_prefixes, sort_suffixes
@@ -127,6 +127,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     answers = shared_keys(parts, keys_of, n)
 
     def send(table: pa.Table, answer: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         block = (table if table.num_rows else answer).column("block")[0].as_py()
         shared = shared_of_block(table, keys_of, answer, n)
         ids = _documents(table)
@@ -158,6 +159,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         })
 
     def judge(table: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         names, at = unpacked(table.column("names"), _U)
         owners, sizes = unpacked(table.column("owners"), np.int64)[0], unpacked(table.column("sizes"), np.int32)[0].astype(np.int64)
         flat = text_buffer(table.column("texts"))[0]
@@ -180,6 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         })
 
     def result(table: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         names, at = unpacked(replies.column("names"), _U)
         owners, counts = unpacked(replies.column("owners"), np.int64)[0], unpacked(replies.column("counts"), np.int32)[0].astype(np.int64)
         flags = [
