@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "sampling_queries", "feature_queries", "model_queries")
+MODULES = ("text_queries", "sampling_queries", "feature_queries", "model_queries", "stage_queries")
 
 
 def load() -> None:

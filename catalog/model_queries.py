@@ -9,7 +9,9 @@ from functools import lru_cache
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalog.feature_queries import ALL_TOKENS, EMOTION_SQL, TOKENS, VAD_SQL, _aggregate_sql
+from catalog.feature_queries import (
+    ALL_TOKENS, CHAR_TF, EMOTION_SQL, LABELLED_DOCS, TOKENS, VAD_SQL, WORD_TF, _aggregate_sql,
+)
 from catalog.registry import query
 from catalog.text_queries import CLINICAL_OUT, SCREENED, clean_sql
 from catalog.views import (
@@ -172,7 +174,28 @@ def _p(df, *cols):
     return df.select("post_id", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in cols])
 
 
-@query("save_features")
+# The training rows of the labelled documents: past the test share and within the cap of a class.
+TRAIN = dict(
+    labelled_docs=LABELLED_DOCS,
+    ranked="""
+SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || post_id), post_id)
+  - ceil(count(*) OVER (PARTITION BY quality) * CAST(0.15 AS DOUBLE)) AS place FROM labelled_docs""",
+    docs=f"""
+SELECT post_id, post, CAST(dense_rank() OVER (ORDER BY quality) - 1 AS DOUBLE) AS label FROM ranked
+WHERE place BETWEEN 1 AND {fv.CLASS_CAP}""",
+)
+
+
+@query(
+    "save_features",
+    with_cte(
+        "",
+        f"""
+SELECT post_id, label, CAST((SELECT least(count(DISTINCT term), {fv.WORD_SELECTED}) FROM word_tf)
+  + (SELECT least(count(DISTINCT term), {fv.CHAR_SELECTED}) FROM char_tf) AS INTEGER) AS width FROM docs""",
+        **TRAIN, word_tf=WORD_TF, char_tf=CHAR_TF,
+    ),
+)
 def save_features(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)
     path = _folder(spark, "features")
@@ -202,6 +225,28 @@ def fit_logistic(spark, sf_dir):
     return _p(ln.fit_logistic(train).scores(train), "p")
 
 
+@query(
+    "fit_logistic_optimum",
+    with_cte("", "SELECT label, count(*) AS n, CAST(0 AS DOUBLE) AS residual, CAST(1 AS DOUBLE) AS least, "
+             "CAST(1 AS DOUBLE) AS most FROM docs GROUP BY label", **TRAIN),
+)
+def fit_logistic_optimum(spark, sf_dir):
+    """What holds at the optimum: weighted p - y sums to zero for each class, and p to one for each row."""
+    _, _, train = _prepared(spark, sf_dir)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    scored = ln.fit_logistic(train).scores(train).select("label", "weight", "p", total.alias("total"))
+    ends = scored.agg(F.round(F.min("total"), 6).alias("least"), F.round(F.max("total"), 6).alias("most"))
+    per_class = scored.select("label", "weight", F.posexplode("p").alias("class", "v")).groupBy("class").agg(
+        F.count_if(F.col("label") == F.col("class")).alias("n"),
+        F.round(F.sum(F.col("weight") * (F.col("v") - (F.col("label") == F.col("class")).cast("double"))) / F.sum("weight"), 3).alias("residual"),
+    )
+    least, most = ends.first()
+    return per_class.select(
+        F.col("class").cast("double").alias("label"), "n", (F.col("residual") + F.lit(0.0)).alias("residual"),
+        F.lit(least).alias("least"), F.lit(most).alias("most"),
+    )
+
+
 @query("fit_linear_svm")
 def fit_linear_svm(spark, sf_dir):
     _, _, train = _prepared(spark, sf_dir)

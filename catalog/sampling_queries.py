@@ -13,6 +13,7 @@ from postsift.functions import text as tx
 from postsift.operators import evaluate as ev
 from postsift.operators import filters as fl
 from postsift.operators import joins as jn
+from postsift.operators import learners as ln
 from postsift.operators import sampling as sp
 
 LABELLED = "SELECT post_id, subreddit FROM posts WHERE subreddit IS NOT NULL"
@@ -312,13 +313,21 @@ def log_loss(spark, sf_dir):
 
 @query(
     "fold_average",
-    with_cte("", "SELECT y, i, round(avg(p[i]), 6) AS p FROM probs, (SELECT unnest(range(1, 17)) AS i) AS t "
-             "GROUP BY y, i", **RANKING),
+    with_cte("", "SELECT vec_id, i, round(avg(exp(f * s[i]) / list_sum(list_transform(s, lambda x: exp(f * x)))), 6) AS p "
+             "FROM scores, (SELECT unnest(range(1, 17)) AS i) AS t, (SELECT unnest(range(1, 4)) AS f) AS models "
+             "GROUP BY vec_id, i", **RANKING),
 )
 def fold_average(spark, sf_dir):
-    out = ev.fold_average(prob_rows(spark, sf_dir), key="y", n=16)
-    return out.select("y", F.posexplode("p").alias("i", "p")).select(
-        "y", (F.col("i") + 1).cast("long").alias("i"), F.round("p", 6).alias("p")
+    """Mean class scores of each vector over three models, a row per vector and model."""
+    scores = score_rows(spark, sf_dir)
+
+    def model(f):
+        return scores.select("vec_id", sc.softmax(F.transform("s", lambda x: x * f)).alias("p"))
+
+    models = [model(f) for f in (1.0, 2.0, 3.0)]
+    out = ev.fold_average(sp.union_all(models), key="vec_id", n=16)
+    return out.select("vec_id", F.posexplode("p").alias("i", "p")).select(
+        "vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("p", 6).alias("p")
     )
 
 
@@ -332,7 +341,7 @@ def fold_average(spark, sf_dir):
 def oof_union(spark, sf_dir):
     folds = sp.stratified_folds(labelled(spark, sf_dir), "subreddit")
     parts = [folds.filter(F.col("fold") == i) for i in range(fv.FOLDS)]
-    return sp.union_all(parts).groupBy("fold").agg(
+    return ln.oof_union(parts).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("post_id").alias("keys")
     )
 

@@ -20,6 +20,8 @@ from postsift.operators.sampling import class_counts
 from postsift.sources.staging import pin
 
 WORD, CHAR = "word", "char_wb"
+#: Bands of frequencies in one pass for the cut of a vocabulary.
+BANDS = 1024
 
 
 def by_post(df: DataFrame, *cols: str, key: str = "post_id") -> DataFrame:
@@ -65,18 +67,42 @@ def corpus_counts(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
 
 
+def kth_frequency(counts: DataFrame, k: int) -> int:
+    """The frequency of the k-th most frequent term, 0 if there are fewer terms.
+
+    Terms are counted per band of frequencies: small frequencies have a band each, and a band of larger
+    ones that holds the k-th term is cut into bands again. At most BANDS + 1 rows reach the driver.
+    """
+    first = counts.groupBy(F.least("ctf", F.lit(BANDS)).alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("ctf").alias("top")
+    ).collect()
+    sizes, low, width, above = {r["band"]: r["n"] for r in first}, 0, 1, 0
+    if sum(sizes.values()) < k or k < 1:
+        return 0
+    high = max(r["top"] for r in first)
+    while True:
+        for band in sorted(sizes, reverse=True):
+            if above + sizes[band] >= k:
+                break
+            above += sizes[band]
+        # The open last band of small frequencies ends at the largest one.
+        low, high = low + band * width, high if low == 0 and band == BANDS else low + (band + 1) * width - 1
+        if low >= high:
+            return low
+        width = -(-(high - low + 1) // BANDS)
+        inside = counts.filter(F.col("ctf").between(low, high))
+        rows = inside.groupBy(F.expr(f"(ctf - {low}) div {width}").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = {r["band"]: r["n"] for r in rows.collect()}
+
+
 def top_vocabulary(tf: DataFrame, k: int) -> DataFrame:
     """The k most frequent terms, ties in term order.
 
-    The frequency of the k-th term is read off the counts per frequency first. Only terms that reach
-    it are sorted, so the sort sees about k terms and not k from every partition.
+    The frequency of the k-th term is found first. Only terms that reach it are sorted, so the sort
+    sees about k terms and not k from every partition.
     """
     counts = pin(corpus_counts(tf), "corpus_counts")
-    sizes = counts.groupBy("ctf").agg(F.count(F.lit(1)).alias("n"))
-    # One row per distinct frequency.
-    before = F.sum("n").over(Window.orderBy(F.desc("ctf"))) - F.col("n")
-    reached = sizes.withColumn("before", before).filter(F.col("before") < k)
-    cut = reached.agg(F.min("ctf")).first()[0] or 0
+    cut = kth_frequency(counts, k)
     return counts.filter(F.col("ctf") >= cut).orderBy(F.desc("ctf"), "term").limit(k)
 
 

@@ -39,6 +39,26 @@ def test_top_vocabulary_sorts_no_more_than_needed(spark):
     assert vz.top_vocabulary(tf.filter("false"), 5).count() == 0
 
 
+def test_cut_of_the_vocabulary_is_the_kth_frequency(spark, monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    for bands in (3, 8, 1024):
+        monkeypatch.setattr(vz, "BANDS", bands)
+        for n in (1, 40):
+            ctf = [draw.choice((1, 2, 5, draw.randrange(1, 5000))) for _ in range(n)]
+            counts = spark.createDataFrame([(f"t{i}", c) for i, c in enumerate(ctf)], "term string, ctf long")
+            ranked = sorted(ctf, reverse=True)
+            for k in (1, n // 2, n, n + 1):
+                want = ranked[k - 1] if 0 < k <= n else 0
+                assert vz.kth_frequency(counts, k) == want, (bands, k, ctf)
+
+
+def test_top_vocabulary_has_no_window(spark):
+    tf = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "post_id long, term string, tf long")
+    assert "Window" not in plan(vz.top_vocabulary(tf, 1))
+
+
 def test_report_reads_and_shuffles_little(spark, sf_dir):
     text = plan(fl.noise_report(docs(spark, sf_dir)))
     assert "ReadSchema: struct<text:string>" in text
