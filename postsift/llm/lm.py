@@ -94,23 +94,31 @@ def _bigrams(vocabulary: np.ndarray, code: np.ndarray, row: np.ndarray, counts:
     limit = max(1.0, HOT * total / n)
     fan = np.minimum(n, np.ceil(counts / limit)).astype(np.int64)
     fan = np.where(counts > limit, fan, 1)
-    follower = vocabulary[code] >> _U(64 - FOLLOWER_BITS)
-    turn = (mix(follower + _PAIR[0]) % fan[before].astype(_U)).astype(np.int64)
-    bucket = (home[before] + turn) % n
-    # Context and bucket as one number, then the follower.
-    first = bucket * len(vocabulary) + before
-    order = np.lexsort((follower, first))
+    # Followers by rank: a bigram is one number of context and follower, so that the tokens are sorted once by it.
+    names = vocabulary >> _U(64 - FOLLOWER_BITS)
+    rank = np.cumsum(np.concatenate(([False], names[1:] != names[:-1]))[: len(names)])
+    pair = before * max(len(vocabulary), 1) + rank[code]
+    order = np.argsort(pair)
+    ordered = pair[order]
     new = np.ones(len(order), bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (follower[order][1:] != follower[order][:-1])
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
+    new[1:] = ordered[1:] != ordered[:-1]
     pick = order[new]
+    follower, context = names[code[pick]], before[pick]
+    turn = (mix(follower + _PAIR[0]) % fan[context].astype(_U)).astype(np.int64)
+    # Context and bucket as one number, then the follower.
+    first = (home[context] + turn) % n * len(vocabulary) + context
+    moved = np.argsort(first, kind="stable")  # only the followers of hot contexts change places
+    place = np.empty(len(moved), np.int64)
+    place[moved] = np.arange(len(moved))
+    index = np.empty(len(order), np.int64)
+    index[order] = place[np.cumsum(new) - 1]
+    first, follower = first[moved], follower[moved]
     # Every block names a hot context to all of its buckets, so that it hears of all followers.
     hot = np.flatnonzero(fan > 1)
     owner = np.repeat(hot, fan[hot])
     step = np.arange(len(owner)) - np.repeat(np.cumsum(fan[hot]) - fan[hot], fan[hot])
-    named = np.unique(np.concatenate([first[pick], ((home[owner] + step) % n) * len(vocabulary) + owner]))
-    return first[pick], follower[pick], index, before, named, fan
+    named = np.unique(np.concatenate([first, ((home[owner] + step) % n) * len(vocabulary) + owner]))
+    return first, follower, index, before, named, fan
 
 
 def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT,
@@ -186,15 +194,18 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
         context_total = np.zeros(len(which), np.int64)
         np.maximum.at(context_total, back, totals)
         owner = np.repeat(back, sizes)
-        order = np.lexsort((follower, owner))
+        if len(which) <= 1 << (64 - FOLLOWER_BITS):
+            order = np.argsort((owner.astype(_U) << _U(FOLLOWER_BITS)) | follower)
+        else:
+            order = np.lexsort((follower, owner))
         o, f = owner[order], follower[order]
         new = np.ones(len(order), bool)
         new[1:] = (o[1:] != o[:-1]) | (f[1:] != f[:-1])
         start = np.flatnonzero(new)
         count = np.add.reduceat(here[order], start) if len(start) else np.empty(0, np.int64)
-        o, f = o[start], f[start]
+        asked, wanted = o[start], f[start]
         seen = count > 0
-        o, f, count = o[seen], f[seen], count[seen]
+        o, f, count = asked[seen], wanted[seen], count[seen]
         own = np.zeros(len(which), np.int64)
         np.add.at(own, o, count)
         context_total = np.where(context_total > 0, context_total, own)
@@ -202,8 +213,11 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", disco
         buffer = BigramTrie.build(which, np.bincount(o, minlength=len(which)), f, codes, FOLLOWER_BITS)
         with _mapped(folder, table.column("bucket")[0].as_py(), buffer, keep=root is not None) as mapped:
             trie = BigramTrie(mapped)
-            rank, spread = trie.find(names)
-            found = trie.lookup(np.repeat(rank, sizes), follower, FOLLOWER_BITS)
+            # What several blocks ask for is looked up once.
+            rank, spread = trie.find(which)
+            answer, spread = trie.lookup(rank[asked], wanted, FOLLOWER_BITS), spread[back]
+        found = np.empty(len(order), np.uint8)
+        found[order] = np.repeat(answer, np.diff(np.append(start, len(order))))
         m = len(at) - 1
         return pa.table({
             "block": table.column("block"), "bucket": table.column("bucket"),
