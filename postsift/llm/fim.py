@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.llm import words
-from postsift.llm.common import mix, row_slices, seeded, text_buffer
+from postsift.llm.common import give_back, mix, row_slices, seeded, text_buffer
 
 SENTINELS = ("<P>", "<S>", "<M>")
 #: A lane keeps about one of 2^LANE_BITS nodes of the lane below.
@@ -34,6 +34,9 @@ LANE_BITS = 2
 #: The top lane has no more links than this in any list.
 TOP_LINKS = 4
 
+#: Bytes of text cut by one run of array operations; their arrays take some eighty bytes for each of them.
+SLICE_BYTES = 250_000
+
 _HEIGHT_SEED = seeded("skip list", 1)[0]
 
 
@@ -124,6 +127,25 @@ def _slice(data: np.ndarray, offsets: np.ndarray, h: list[np.ndarray], rate: int
     return n, forms, np.ma.array(first, mask=plain), np.ma.array(second - first, mask=plain), outputs
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rate: int, spm: int, marks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Output rows of batches of key, text and four hashes; a batch's memory goes back before the next one is read."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(1))
+        h = [np.asarray(batch.column(2 + i).to_numpy(zero_copy_only=False), np.int64) for i in range(4)]
+        for a, b in row_slices(offsets, SLICE_BYTES):
+            n, forms, prefix, middle, out = _slice(
+                data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], [x[a:b] for x in h], rate, spm, marks
+            )
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(forms, pa.string()),
+                *(pa.array(x.data, pa.int64(), mask=np.ma.getmaskarray(x)) for x in (prefix, middle)),
+                pa.array(out, pa.binary()).view(pa.string()),
+            ], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+            del n, forms, prefix, middle, out
+        del data, offsets, h, batch
+        give_back(cycles=False)
+
+
 def transform(
     docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 42, rate: int = 50, spm: int = 80,
     sentinels: tuple[str, str, str] = SENTINELS,
@@ -135,18 +157,7 @@ def transform(
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("t"), *_hashes(docs[key], seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            h = [np.asarray(batch.column(2 + i).to_numpy(zero_copy_only=False), np.int64) for i in range(4)]
-            for a, b in row_slices(offsets):
-                n, forms, prefix, middle, out = _slice(
-                    data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], [x[a:b] for x in h], rate, spm, marks
-                )
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(forms, pa.string()),
-                    *(pa.array(x.data, pa.int64(), mask=np.ma.getmaskarray(x)) for x in (prefix, middle)),
-                    pa.array(out, pa.binary()).view(pa.string()),
-                ], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+        return _cut(batches, rate, spm, marks)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")

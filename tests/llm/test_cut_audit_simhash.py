@@ -76,6 +76,22 @@ def test_cuts_equal_plain_cuts_and_are_undone(docs, rows, none):
     assert fim.transform(none).count() == 0
 
 
+def test_memory_of_cuts_goes_back_after_each_batch(monkeypatch):
+    """A worker kept what every batch had used, until an executor had taken 3290 of 3000 MB."""
+    import pyarrow as pa
+
+    given, sizes, plain_slice = [], [], fim._slice
+    monkeypatch.setattr(fim, "give_back", lambda cycles=True: given.append(cycles), raising=False)
+    monkeypatch.setattr(fim, "_slice", lambda data, *a: sizes.append(len(data)) or plain_slice(data, *a))
+    text = ["some words " * 20_000, None, "", *["a few words"] * 30_000]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(text))), pa.array(text), *[pa.array([7] * len(text))] * 4], names=["doc_id", "t", "h1", "h2", "h3", "h4"]
+    )
+    out = pa.Table.from_batches(fim._cut(iter([batch, batch]), 50, 80, [s.encode() for s in fim.SENTINELS]))
+    assert out.num_rows == 2 * len(text) and len(given) == 2 and max(sizes) <= 250_000
+    assert [len(x) for x in out.column("output").to_pylist()[:3]] == [len(text[0]) + 9, 0, 0]
+
+
 def test_skip_lists_reach_every_rank():
     rng = np.random.default_rng(4)
     counts = np.array([0, 1, 2, 700, 0, 33, 5000])
