@@ -327,10 +327,10 @@ def top_vocabulary(spark, sf_dir):
 def doc_weights(spark, sf_dir, analyzer=vz.WORD, docs_of=all_docs):
     """(documents, weights over the K most frequent terms)."""
     docs = docs_of(spark, sf_dir)
-    tf = pin(vz.term_counts(docs, analyzer), "tf")
     n = docs.count()
-    vocabulary = pin(vz.top_vocabulary(tf, K).withColumn("idf", vz.idf(n)), "vocabulary")
-    return docs, vz.tfidf(tf, vocabulary)
+    top = vz.top_vocabulary(vz.term_counts(docs, analyzer), K)
+    vocabulary = pin(top.withColumn("idf", vz.idf(n)), "vocabulary")
+    return docs, vz.tfidf(vz.term_counts(docs, analyzer, vocabulary=vocabulary), vocabulary)
 
 
 @query("tfidf", with_cte("", "SELECT post_id, term, round(weight, 6) AS weight FROM weights",
