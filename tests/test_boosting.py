@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -198,3 +199,47 @@ def test_bins_part_zero_from_both_sides():
     assert number.tolist() == [0, 2, 4, 4, 5] and bins.zero().tolist() == [1, 3]
     vectors = pa.array([{"type": 1, "size": None, "indices": None, "values": [0.0, 2.0]}])
     assert [x.tolist() for x in bo.entries(vectors)] == [[0], [1], [2.0]]
+
+
+def _wide_block(n=4000, width=300, seed=5):
+    rng = np.random.default_rng(seed)
+    bins = bo.Bins(np.arange(width), np.arange(width + 1) * 3, np.tile([0.0, 1.0, 2.0], width))
+    packed = [(np.sort(rng.choice(width, 100, replace=False)) * 4 + rng.integers(1, 4, 100)).astype(np.int32).tobytes() for _ in range(n)]
+    table = pa.table({"key": pa.array(range(n), pa.int64()), "label": pa.array(rng.integers(0, 2, n), pa.int32()),
+                      "fold": pa.array(np.arange(n) % 3, pa.int32()), "bins": pa.array(packed, pa.binary())})
+    return bo.Block.of(table, bins)
+
+
+def test_two_classes_grow_one_tree_a_round(monkeypatch):
+    grown, one = [], bo._one_tree
+    monkeypatch.setattr(bo, "_one_tree", lambda *a: grown.append(1) or one(*a))
+    trees, _, _ = bo.boost(_wide_block(), 2, {"n_estimators": 3})
+    assert len(grown) == 3
+    monkeypatch.setattr(bo, "_opposite", lambda a, b: False)
+    both, _, _ = bo.boost(_wide_block(), 2, {"n_estimators": 3})
+    assert len(grown) == 9
+    for mine, theirs in zip((t for r in trees for t in r), (t for r in both for t in r)):
+        assert mine[:4] == theirs[:4] and np.allclose(mine[4], theirs[4], rtol=0, atol=0)
+
+
+def test_histograms_and_bins_are_the_same_by_row_and_by_bin():
+    plain, sorted_ = _wide_block(), _wide_block().by_bin()
+    weights = np.stack([*np.random.default_rng(1).integers(-99, 99, (2, 4000)), np.ones(4000)], axis=1).astype(float)
+    for rows in (np.arange(4000), np.arange(0, 4000, 2), np.array([7]), np.empty(0, np.int64)):
+        assert (plain.histogram(rows, weights) == sorted_.histogram(rows, weights)).all()
+        assert (plain.bin_of(rows, 17) == sorted_.bin_of(rows, 17)).all()
+
+
+def test_memory_of_a_growing_tree_has_a_bound(monkeypatch):
+    block = _wide_block().by_bin()
+    weights = bo.gradients(np.zeros((4000, 2)), block.labels, 0)
+    params = {**bo.DEFAULTS, "num_leaves": 60, "max_depth": 12, "min_child_samples": 5}
+    free, at = bo._one_tree(block, weights, np.ones(300, bool), params)
+    monkeypatch.setattr(bo, "KEPT_BYTES", 1)
+    monkeypatch.setattr(bo, "SLICE", 10_000)
+    tracemalloc.start()
+    tight, same = bo._one_tree(block, weights, np.ones(300, bool), params)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert free.arrays() == tight.arrays() and (at == same).all()
+    assert peak < 8 * len(block.flat)  # twice the entries, which are 4 bytes each
