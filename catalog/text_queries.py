@@ -202,8 +202,7 @@ SELECT gram, count(*) AS n FROM (
     ),
 )
 def char_wb_ngrams(spark, sf_dir):
-    grams = posts(spark, sf_dir).select(F.explode(tk.char_wb_ngrams(F.col("post"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return tk.char_wb_counts(posts(spark, sf_dir))
 
 
 @query(

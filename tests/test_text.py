@@ -160,3 +160,16 @@ def test_top_pairs_break_ties_by_name(spark):
     df = spark.createDataFrame([([0.4, 0.4, 0.2],)], "p array<double>")
     top = df.select(sc.top_pairs(F.col("p"), ["b", "a", "c"], 2)).first()[0]
     assert [(t["label"], t["p"]) for t in top] == [("a", 0.4), ("b", 0.4)]
+
+
+def test_char_wb_counts_cut_each_word_once(spark):
+    rows = [(1, "To be, or NOT to be"), (2, "to be"), (3, None), (4, ""), (5, " a ÉTÉ  to\n")] * 3
+    df = spark.createDataFrame(rows, "post_id long, post string")
+    counted = tk.char_wb_counts(df)
+    plain = df.select(F.explode(tk.char_wb_ngrams(F.col("post"))).alias("gram")).groupBy("gram").count()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+    # The query cuts words of a table that is grouped already.
+    from catalog.text_queries import char_wb_ngrams
+
+    plan = char_wb_ngrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.count("Generate") >= 2
