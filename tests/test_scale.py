@@ -97,3 +97,38 @@ def test_vectors_are_made_of_arrays(spark):
     made = vz._sparse_vectors(df, 5, "post_id", "v")
     assert "MapInArrow" in plan(made) and "EvalPython" not in plan(made)
     assert {r["post_id"]: r["v"].toArray().tolist() for r in made.collect()} == {1: [0.5, 0, 0, 1.0, 0], 2: [0.0] * 5}
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_tokens_are_not_sorted_for_a_large_lexicon(spark, posts, lexicons, limit):
+    """They were: a task then held its tokens; 64 MB of shuffled tokens took 1 GB."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    tokens, vad, category = lx.explode_tokens(posts), pin(lexicons.vad), pin(lexicons.category)
+    spark.conf.set(key, limit)
+    try:
+        valued, kinds = lx.lexicon_join(tokens, vad), lx.category_join(tokens, category)
+        for out in (valued, kinds):
+            text = plan(out)
+            assert ("BroadcastHashJoin" if limit == "10m" else "ShuffledHashJoin") in text and "SortMergeJoin" not in text
+        assert valued.columns == ["word", "post_id", *fv.VAD]
+        rows = sorted((r["post_id"], r["word"], r["valence"], r["dominance"]) for r in valued.filter("post_id in (2, 4)").collect() if r["word"] in (None, "good", "but"))
+        assert rows == [(2, None, 0.0, 0.0), (4, "but", 0.0, 0.0), *[(4, "good", 0.9, 0.0)] * 3]
+        assert valued.filter("word = 'bad'").count() == 4  # two rows of the lexicon
+        got = kinds.groupBy("post_id", "category").count().collect()
+    finally:
+        spark.conf.set(key, before)
+    a, b = fv.CATEGORIES[0], fv.CATEGORIES[3]
+    assert {tuple(r) for r in got} == {(1, a, 3), (1, b, 1), (4, a, 3), (4, b, 3), (None, a, 1), (None, b, 1)}
+
+
+def test_broadcast_is_judged_by_all_columns(spark):
+    """The word column alone was weighed, so tokens were sorted for a lexicon that was then too large."""
+    lexicon = pin(spark.range(20000).selectExpr("concat('w', id) as word", *[f"rand({i}) as v{i}" for i in range(10)]))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        assert not lx._is_broadcast(lexicon) and lx._is_broadcast(lexicon.select("word"))
+    finally:
+        spark.conf.set(key, before)
