@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 
@@ -173,3 +174,38 @@ def test_char_wb_counts_cut_each_word_once(spark):
 
     plan = char_wb_ngrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2 and plan.count("Generate") >= 2
+
+
+def test_disclosure_patterns_are_tried_in_one_pass(spark):
+    """Each of the 18 patterns was a pass of its own that tested a word border at every character."""
+    df = spark.createDataFrame([("",)], "t string")
+    text = df.select(fl.is_self_disclosure(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RLIKE") == 2
+    # As each pattern for itself says, in any case and with letters that Java folds to I, K and S.
+    draw = random.Random(1)
+    words = ["I", "ı", "İ", "i", "MY", "my", "ſtudy", "ſuffer", "I've", "feel", "diagnosed", "was", "have", "been", "not",
+             "sure", "if", "Know", "don't", "know", "how", "to", "help", "someone", "me", "asking", "for", "mom", "has", "mind", "xI", "Í",
+             "article", "found", "anyone else", "\n", ".", "need", "illness", "just", "_I", "é"]
+    rows = [(" ".join(draw.choices(words, k=draw.randint(1, 12))),) for _ in range(3000)]
+    rows += [(chr(i) + " feel " + chr(i) + "y life",) for i in range(0x20, 0x2200)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    for patterns in (fv.DISCLOSURE_INCLUDE, fv.DISCLOSURE_EXCLUDE, [r"\bfoo|article", r"\b(not)?\s", r"\bmy [a-z]", r"\bI\b", r"(I|my) mind"]):
+        alone = F.lit(False)
+        for p in patterns:
+            alone = alone | F.col("t").rlike(tx.UNICODE_ANY_CASE + p)
+        got = df.select(tx.matches_any(F.col("t"), patterns).alias("a"), alone.alias("b"))
+        assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+        assert 10 < got.filter("a").count() < len(rows) - 10
+    assert len(tx.any_of([r"\bfoo|article", r"\bmy [a-z]", r"\bI\b", r"\bmy\b"])) == 3
+
+
+def test_trim_and_masks_as_their_plain_patterns(spark):
+    rows = [(f"{chr(i)}{chr(i)} a{chr(i)}b {chr(i)}\n",) for i in range(0xD800)] + [(f"a{chr(i)}uicide {chr(i)}uicide {chr(i)}dd",) for i in range(0x20, 0x2200)] + [(None,), ("",), (" \n",)]
+    t = F.col("t")
+    plain = rf"{tx.UNICODE_ANY_CASE}{tx.WORD_BORDER}(?:s(?:uicide)|a(?:dd)|i(?:dd)|k(?:dd)){tx.WORD_BORDER}"
+    out = spark.createDataFrame(rows, "t string").select(
+        tx.strip_text(t).alias("a"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "").alias("b"),
+        tx.mask_terms(t, ["suicide", "add", "idd", "kdd"]).alias("c"), F.regexp_replace(t, plain, fv.MASK_TOKEN).alias("d"),
+    )
+    assert out.filter("not (a <=> b) or not (c <=> d)").count() == 0
+    assert out.filter("c <> a").count() > 3
