@@ -281,3 +281,17 @@ def test_trials_send_no_copies_of_the_rows(df):
     assert [t["score"] for t in found] == [t["params"]["c"] for t in found] and len(found) == 5
     # Rows are read in place: the plan has no exchange of them by trial.
     assert all("hashpartitioning" not in p and "rangepartitioning" not in p for p in (d._jdf.queryExecution().executedPlan().toString() for d in seen))
+
+
+def test_a_search_of_dealt_rows_has_the_trials_of_a_task(df, monkeypatch):
+    """A training table beyond the bound of a task was refused, so it had to be capped."""
+    space = {**ln.BOOST_SPACE, "n_estimators": ("int", 3, 9), "num_leaves": ("int", 3, 4), "max_depth": ("int", 2, 2)}
+    boosted, lines = ln.search(ln.tune_boosted, df, 2, 3, space=space), ln.search(ln.tune_linear, df, "logistic", 2, 3, max_iter=20)
+    monkeypatch.setattr(se, "TASK_BYTES", 10)
+    dealt = ln.search(ln.tune_boosted, df, 2, 3, space=space)
+    assert [t["params"] for t in dealt.trials] == [t["params"] for t in boosted.trials]
+    for a, b in zip(dealt.trials, boosted.trials):
+        assert np.allclose(a["curve"], b["curve"])
+    many = ln.search(ln.tune_linear, df, "logistic", 2, 3, max_iter=20)
+    assert [t["params"] for t in many.trials] == [t["params"] for t in lines.trials]
+    assert np.allclose([t["curve"] for t in many.trials], [t["curve"] for t in lines.trials], atol=0.02)
