@@ -29,3 +29,23 @@ def test_a_split_keeps_every_row_past_the_test_share(spark, many):
     held = -(-n * 15 // 100)
     assert {r["label"]: r["count"] for r in data.train.groupBy("label").count().collect()} == {0.0: 85, 1.0: n - held}
     assert data.train.count() + data.test.count() == n + 100
+
+
+def test_the_learner_queries_train_on_all_rows(spark, many, monkeypatch):
+    path, n = many
+    seen = []
+    monkeypatch.setattr(tr, "fit_terms", lambda train, cfg: seen.append(train.count()) or 1 / 0)
+    for cap in ((), (fv.CLASS_CAP,)):
+        with pytest.raises(ZeroDivisionError):
+            mq._prepared(spark, path, *cap)
+    assert seen == [n + 100 - -(-n * 15 // 100) - 15, fv.CLASS_CAP + 85]  # the SQL of two queries has the cap
+
+
+def _few_rounds(fit):
+    return partial(fit, params={"n_estimators": 2, "max_depth": 2})
+
+
+def test_flat_trees_score_the_held_out_documents_too(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ln, "fit_boosted_flat", _few_rounds(ln.fit_boosted_flat))
+    ids = [r["post_id"] for r in mq.fit_boosted_flat(spark, sf_dir).collect()]
+    assert sorted(ids) == sorted(r["post_id"] for r in mq.rows(spark, sf_dir).select("post_id").collect())
