@@ -49,3 +49,11 @@ def test_flat_trees_score_the_held_out_documents_too(spark, sf_dir, monkeypatch)
     monkeypatch.setattr(ln, "fit_boosted_flat", _few_rounds(ln.fit_boosted_flat))
     ids = [r["post_id"] for r in mq.fit_boosted_flat(spark, sf_dir).collect()]
     assert sorted(ids) == sorted(r["post_id"] for r in mq.rows(spark, sf_dir).select("post_id").collect())
+
+
+def test_meta_trees_score_the_held_out_documents_too(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ln, "fit_boosted_meta", _few_rounds(ln.fit_boosted_meta))
+    for name in ("fit_logistic", "fit_linear_svm"):
+        monkeypatch.setattr(ln, name, partial(getattr(ln, name), max_iter=5))
+    ids = [r["post_id"] for r in mq.fit_boosted_meta(spark, sf_dir).collect()]
+    assert sorted(ids) == sorted(r["post_id"] for r in mq.rows(spark, sf_dir).select("post_id").collect())
