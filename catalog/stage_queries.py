@@ -17,6 +17,7 @@ from catalog.views import lexicons, posts, with_cte
 from postsift import fixed_values as fv
 from postsift.operators import filters as fl
 from postsift.operators import lexicon as lx
+from postsift.operators import vectorize as vz
 from postsift.plans import stages as sg
 from postsift.plans import training as tr
 
@@ -94,7 +95,5 @@ def tfidf_chi2_vectorizer(spark, sf_dir):
     of equal chi-square would be cut by their last bits (`select_k_best` holds the cut)."""
     sizes = [fv.WORD_VOCABULARY, fv.CHAR_VOCABULARY, fv.WORD_VOCABULARY, fv.CHAR_VOCABULARY]
     stage = sg.TfidfChi2Vectorizer(inputCol="post", labelCol="quality", sizes=sizes)
-    values = _applied(spark, stage, labelled_docs(spark, sf_dir)).select(
-        "post_id", F.posexplode(vector_to_array("tfidf")).alias("idx", "weight")
-    )
-    return values.filter("weight != 0").select("post_id", "idx", F.round("weight", 6).alias("weight"))
+    values = vz.vector_rows(_applied(spark, stage, labelled_docs(spark, sf_dir)), "tfidf")
+    return values.select("post_id", "idx", F.round("weight", 6).alias("weight"))

@@ -29,6 +29,7 @@ from postsift.operators import filters as fl
 from postsift.operators.lexicon import psych_features
 from postsift.operators.vectorize import TermModel
 from postsift.plans.training import load_lexicons
+from postsift.sources.staging import pin
 
 
 class TextCleaner(
@@ -130,9 +131,8 @@ class TfidfChi2Vectorizer(
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> "TfidfChi2Model":
-        fitted = TermModel.fit(
-            df, self.getLabelCol(), self.getInputCol(), *self.getOrDefault(self.sizes)
-        )
+        rows = pin(df.select("post_id", self.getLabelCol(), self.getInputCol()), "labelled")  # read by each pass
+        fitted = TermModel.fit(rows, self.getLabelCol(), self.getInputCol(), *self.getOrDefault(self.sizes))
         model = TfidfChi2Model(fitted)
         model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
         return model
@@ -146,8 +146,7 @@ class TfidfChi2Model(Model, HasInputCol, HasOutputCol, MLReadable, MLWritable):
         self.fitted = fitted
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        vectors = self.fitted.vectors(df, self.getInputCol(), self.getOutputCol())
-        return df.join(vectors, "post_id")
+        return self.fitted.attach(df, self.getInputCol(), self.getOutputCol())
 
     def write(self) -> MLWriter:
         return _TermWriter(self)
