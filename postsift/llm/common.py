@@ -128,7 +128,7 @@ def block_keys(table: pa.Table, keys_of: Callable) -> tuple[np.ndarray, np.ndarr
         found.append(keys)
         docs.append(ids)
     keys, docs = np.concatenate(found), np.concatenate(docs)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # the order of equal keys does not matter
     keys, docs = keys[order], docs[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     several = np.zeros(len(first), bool)
@@ -167,7 +167,7 @@ def shared_keys(parts: DataFrame, keys_of: Callable, n: int) -> DataFrame:
         flags = [np.unpackbits(np.frombuffer(s, np.uint8), count=int(at[i + 1] - at[i]))
                  for i, s in enumerate(table.column("several").to_pylist())]
         several = np.concatenate([np.empty(0, np.uint8), *flags]).astype(bool)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)  # the order of equal keys does not matter
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         sizes = np.diff(np.append(first, len(ordered)))

@@ -80,20 +80,21 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, n_rows: int, percent: int)
     ends, ks = bands(percent, 1 << int(max(4, sizes.max(initial=1))).bit_length())
     band = np.searchsorted(ends, np.maximum(sizes, 1))
     out, owner = [np.empty(0, _U)], [np.empty(0, np.int64)]
+    # Of an element: what decides its part, its sub-part, and its share of the sub-part's sum.
+    part_of, second_of, share_of = mix(hashes ^ _SEEDS[0]), (mix(hashes ^ _SEEDS[1]) % _U(3)).astype(np.int64), mix(hashes ^ _SEEDS[2])
     for shift in (0, 1):
         join = band - shift
         usable = (sizes > 0) & (join >= 0)
         k = ks[np.maximum(join, 0)]
         n1 = np.where(usable, parts_of(k), 0)
         at = np.concatenate(([0], np.cumsum(3 * n1)))
-        inside = usable[rows]
-        h, r = hashes[inside], rows[inside]
-        first = (mix(h ^ _SEEDS[0]) % n1[r].astype(_U)).astype(np.int64)
-        second = (mix(h ^ _SEEDS[1]) % _U(3)).astype(np.int64)
-        cell = at[r] + 3 * first + second
+        inside = slice(None) if usable.all() else usable[rows]
+        r = rows[inside]
+        first = (part_of[inside] % n1.astype(_U)[r]).astype(np.int64)
+        cell = at[r] + 3 * first + second_of[inside]
         sums = np.zeros(at[-1], _U)
         with np.errstate(over="ignore"):
-            np.add.at(sums, cell, mix(h ^ _SEEDS[2]))
+            np.add.at(sums, cell, share_of[inside])
             counts = np.bincount(cell, minlength=at[-1])
             # All three cells of one part, in rows of three.
             sums, counts = sums.reshape(-1, 3), counts.reshape(-1, 3)
@@ -285,7 +286,7 @@ def _candidates(sent: DataFrame, n: int) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         keys, at = unpacked(table.column("keys"), _U)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         least = np.minimum.reduceat(unpacked(table.column("least"), np.int64)[0][order], first)
@@ -309,13 +310,18 @@ def _candidates(sent: DataFrame, n: int) -> DataFrame:
     return own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(result, "a long, b long")
 
 
+def _bit_words(bits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as numbers of 64 bits, and the n + 1 offsets of the rows; a sketch has one number at least."""
+    return unpacked(bits, _U)
+
+
 def _near(na: np.ndarray, nb: np.ndarray, bits_a: pa.Array, bits_b: pa.Array, at_a: np.ndarray, at_b: np.ndarray,
           percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether sizes and sketches allow that two sets are similar enough, for pairs of places in `bits`,
     and the distances of the sketches."""
     keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
     bound = (na + nb) * (100 - percent) // (100 + percent)
-    (data_a, off_a), (data_b, off_b) = text_buffer(bits_a), text_buffer(bits_b)
+    (data_a, off_a), (data_b, off_b) = _bit_words(bits_a), _bit_words(bits_b)
     size_a, size_b = np.diff(off_a)[at_a], np.diff(off_b)[at_b]
     left, distance = np.flatnonzero(keep), np.zeros(len(keep), np.int64)
     kinds = size_a[left] * (1 << 32) + size_b[left]
@@ -441,15 +447,48 @@ def _cells(met: DataFrame, weight: str) -> DataFrame:
 
 
 def _apart(asking: np.ndarray, asked: np.ndarray, group: np.ndarray, n: np.ndarray, bits: pa.Array, percent: int):
-    """Pairs of places of pivots and members, some at a time, in different groups that sizes and sketches leave."""
-    step = max(1, SKETCH_PAIRS // max(1, len(asked)))
-    for lo in range(0, len(asking), step):
-        p = np.repeat(asking[lo : lo + step], len(asked))
-        m = np.tile(asked, len(asking[lo : lo + step]))
-        apart = group[p] != group[m]
-        p, m = p[apart], m[apart]
-        keep, _ = _near(n[p], n[m], bits, bits, p, m, percent)
-        yield p[keep], m[keep]
+    """Pairs of places of pivots and members, some at a time, in different groups that sizes and sketches leave.
+
+    Sketches of one width are a matrix, folded once to the width they are compared at; both sides are in order of
+    size, so that a run of pivots meets only the members of sizes that can be similar."""
+    data, ends = _bit_words(bits)
+    width = np.diff(ends)
+
+    def by_width(at: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for w in np.unique(width[at]).tolist():
+            mine = at[width[at] == w]
+            mine = mine[np.argsort(n[mine], kind="stable")]
+            out[w] = mine, data[ends[mine][:, None] + np.arange(w)].T
+        return out
+
+    def folded(words: np.ndarray, w: int) -> np.ndarray:
+        while len(words) > w:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]  # the bitmaps of half the bits
+        return np.ascontiguousarray(words)
+
+    members = by_width(asked)
+    for wide, (pivots, x) in by_width(asking).items():
+        for other, (rest, y) in members.items():
+            w = min(wide, other)
+            x_w, y_w, sizes = folded(x, w), folded(y, w), n[rest]
+            step = max(1, SKETCH_PAIRS // max(1, len(rest)))
+            for lo in range(0, len(pivots), step):
+                p = pivots[lo : lo + step]
+                first = np.searchsorted(100 * sizes, percent * n[p[0]], "left")
+                last = np.searchsorted(percent * sizes, 100 * n[p[-1]], "right")
+                m = rest[first:last]
+                if not len(m):
+                    continue
+                distance = np.zeros((len(p), len(m)), np.int32)
+                for a, b in zip(x_w[:, lo : lo + step], y_w[:, first:last]):
+                    distance += np.bitwise_count(a[:, None] ^ b)
+                na, nb = n[p][:, None], n[m]
+                keep = (distance <= (na + nb) * (100 - percent) // (100 + percent)) & (group[p][:, None] != group[m])
+                keep &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+                at, to = np.nonzero(keep)
+                if len(at):
+                    yield p[at], m[to]
 
 
 def _with_partners(percent: int):

@@ -96,7 +96,8 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tup
                 out.append(mix(value + _U(length)))
                 owner.append(short)
     out, owner = np.concatenate(out), np.concatenate(owner)
-    order = np.lexsort((out, owner))
+    order = np.argsort(out)  # equal hashes of a row are one shingle, so their order does not matter
+    order = order[np.argsort(owner[order].astype(np.uint16) if n_rows <= 1 << 16 else owner[order], kind="stable")]
     out, owner = out[order], owner[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])

@@ -85,3 +85,29 @@ def test_empty_tables(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sketches_of_a_width_are_compared_as_a_matrix(monkeypatch):
+    """Every pair of pivot and member was made and its sketches gathered byte by byte, whatever their sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from postsift.llm import partenum as pe
+
+    draw = np.random.default_rng(5)
+    base = [draw.integers(0, 1 << 63, k).astype(np.uint64) for k in (1, 3, 40, 70, 500)]
+    sets = [np.unique(b[draw.integers(0, len(b) // 6 + 1):]) for b in base for _ in range(30)]
+    n = np.array([len(x) for x in sets])
+    bits = pe.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
+    group, pivot = draw.integers(0, 9, len(sets)), draw.random(len(sets)) < 0.4
+    p, m = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+    want = {
+        (a, b) for a in p.tolist() for b in m.tolist()
+        if group[a] != group[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])
+        and pe.sketch_distance(bits[a], bits[b]) <= (n[a] + n[b]) * 20 // 180
+    }
+    monkeypatch.setattr(pe, "_near", lambda *a: 1 / 0)  # the way for pairs
+    for pairs in (1, 50, 100_000):
+        monkeypatch.setattr(pe, "SKETCH_PAIRS", pairs)
+        found = [x for a, b in pe._apart(p, m, group, n, pa.array(bits, pa.binary()), 80) for x in zip(a.tolist(), b.tolist())]
+        assert len(found) == len(set(found)) and set(found) == want and want
